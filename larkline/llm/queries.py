@@ -1,5 +1,34 @@
 """Queries of the llm operators."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from larkline.core import table
+from larkline.llm import pairs, transcripts
 from larkline.plans.registry import Registry
 
 R = Registry()
+
+
+@R.add("p1_found")
+def p1_found(spark, sf_dir):
+    return pairs.defective_pairs(table(spark, sf_dir, "predictions"))
+
+
+@R.add("p1_rates")
+def p1_rates(spark, sf_dir):
+    return pairs.defect_rates(table(spark, sf_dir, "predictions"))
+
+
+@R.add("p5_found")
+def p5_found(spark, sf_dir):
+    langs = table(spark, sf_dir, "sessions").select("session_id", "lang")
+    return transcripts.speaker_turns(table(spark, sf_dir, "segments"), langs).select("session_id", "turn_no", "speaker_id", "words")
+
+
+@R.add("p5_turns")
+def p5_turns(spark, sf_dir):
+    langs = table(spark, sf_dir, "sessions").select("session_id", "lang")
+    rows = table(spark, sf_dir, "turns").withColumn("text", F.col("speech_unsummarised"))
+    return transcripts.speaker_turns(rows, langs, pos="turn_index").select("session_id", "turn_no", "speaker_id", "words")
