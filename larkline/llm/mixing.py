@@ -43,8 +43,12 @@ def subset_sum(counts: dict[int, int], target: int) -> dict[int, int]:
     return out
 
 
-def fit_budget(counts: dict[int, int], budget: int, max_repeats: int) -> tuple[int, dict[int, int]]:
-    """Whole passes over a source and the extra documents by length that bring it closest to its budget."""
+def fit_budget(counts: dict[int, int], budget: int, max_repeats: int, seed: int = 7) -> tuple[int, dict[int, int]]:
+    """Whole passes over a source and the extra documents by length that bring it closest to its budget.
+
+    The extra draw takes every length in proportion, rounded at random, so that it looks like the
+    source; only the small remainder is fitted exactly.
+    """
     whole = sum(k * n for k, n in counts.items())
     if not whole or max_repeats < 1 or budget <= 0:
         return 0, {}
@@ -52,14 +56,20 @@ def fit_budget(counts: dict[int, int], budget: int, max_repeats: int) -> tuple[i
     rest = budget - passes * whole
     if passes == max_repeats or not rest:
         return passes, {}
-    extra = {k: n * rest // whole for k, n in counts.items()}
-    rest -= sum(k * n for k, n in extra.items())
+    rng, lengths = np.random.default_rng(seed), np.array(sorted(counts))
+    rng.shuffle(lengths)
+    share, extra = rest / whole, dict.fromkeys(counts, 0)
+    for k in lengths.tolist():
+        x = counts[k] * share
+        n = min(int(x) + int(rng.random() < x - int(x)), rest // k)
+        extra[k], rest = n, rest - n * k
     left = {k: counts[k] - n for k, n in extra.items() if counts[k] > n}
-    for k in sorted(left, reverse=True):
+    for k in lengths.tolist():
         if rest <= WINDOW:
             break
-        n = min(left[k], (rest - WINDOW // 2) // k)
-        extra[k], left[k], rest = extra[k] + n, left[k] - n, rest - n * k
+        n = min(left.get(k, 0), (rest - WINDOW // 2) // k)
+        if n > 0:
+            extra[k], left[k], rest = extra[k] + n, left[k] - n, rest - n * k
     for k, n in subset_sum({k: n for k, n in left.items() if n and k <= rest}, min(rest, WINDOW)).items():
         extra[k] += n
     return passes, {k: n for k, n in extra.items() if n}
@@ -97,7 +107,7 @@ def mix_sources(
     total = total_tokens
     if total is None:
         total = min((int(size[s] * want[s][1] * share / want[s][0]) for s in counts), default=0)
-    plans = {s: fit_budget(c, round(total * want[s][0] / share), want[s][1]) for s, c in counts.items()}
+    plans = {s: fit_budget(c, round(total * want[s][0] / share), want[s][1], seed) for s, c in counts.items()}
     shared = documents.sparkSession.sparkContext.broadcast(plans)
     mix = F.xxhash64(F.lit(seed), F.col("id"))
     ranked = rank_within(known, ["source", "tokens"], [mix, F.col("id")], mix, "rank")
