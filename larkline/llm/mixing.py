@@ -58,7 +58,9 @@ def fit_budget(counts: dict[int, int], budget: int, max_repeats: int, seed: int
         return passes, {}
     rng, lengths = np.random.default_rng(seed), np.array(sorted(counts))
     rng.shuffle(lengths)
-    share, extra = rest / whole, dict.fromkeys(counts, 0)
+    # What the draw leaves open gives the exact fit room to choose.
+    slack, extra = min(WINDOW // 8, rest // 4), dict.fromkeys(counts, 0)
+    share = (rest - slack) / whole
     for k in lengths.tolist():
         x = counts[k] * share
         n = min(int(x) + int(rng.random() < x - int(x)), rest // k)
