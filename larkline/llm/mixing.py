@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkline.core import cut, source_name
@@ -132,9 +132,9 @@ def mixture_report(mixture: DataFrame, targets: DataFrame) -> DataFrame:
     got = mixture.groupBy("source").agg(
         F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.count("*").alias("documents"), F.max("repeats").alias("most_repeats")
     )
-    total = got.agg(F.sum("tokens").alias("total"))
     want = targets.select(source_name("source").alias("source"), "target_share", "max_repeats")
-    return want.join(got, "source", "left").crossJoin(F.broadcast(total)).select(
+    # One row a source by now, so one window holds them all.
+    return want.join(got, "source", "left").withColumn("total", F.sum("tokens").over(Window.partitionBy())).select(
         "source", "target_share", "max_repeats",
         F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"),
         F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"),

@@ -176,8 +176,8 @@ def split_conflicts(sessions: DataFrame) -> DataFrame:
 def split_report(assigned: DataFrame, targets: DataFrame) -> DataFrame:
     """Sessions and share per split after assignment, beside the target; quarantined ones under null."""
     got = assigned.groupBy("split").agg(F.count("*").alias("sessions"))
-    whole = got.filter("split is not null").agg(F.sum("sessions").alias("whole"))
+    got = got.withColumn("whole", F.sum(F.when(F.col("split").isNotNull(), F.col("sessions"))).over(Window.partitionBy()))  # a row a split
     want = targets.select(split_name("split_name").alias("s"), "target_share")
-    return got.join(want, F.col("split") == F.col("s"), "left").crossJoin(F.broadcast(whole)).select(
+    return got.join(want, F.col("split") == F.col("s"), "left").select(
         "split", "target_share", "sessions", F.when(F.col("split").isNotNull(), F.round(F.col("sessions") / F.col("whole"), 6)).alias("share")
     )
