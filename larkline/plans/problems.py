@@ -25,7 +25,8 @@ TIMES_SQL = """rows as (select distinct session_id, least(start_s, end_s) as a,
  where start_s is not null and end_s is not null and session_id is not null),
 unit as (select session_id, case when max(b) > 4000 then 1 else 1000 end as u from rows group by 1),
 times as (select session_id, cast(round(a * u) as bigint) as lo, cast(round(b * u) as bigint) as hi from rows join unit using (session_id)),
-ended as (select *, max(hi) over (partition by session_id order by lo, hi rows between unbounded preceding and 1 preceding) as e from times)"""
+spans as (select * from times where hi > lo union all select session_id, min(lo), min(lo) from times group by 1 union all select session_id, max(hi), max(hi) from times group by 1),
+ended as (select *, max(hi) over (partition by session_id order by lo, hi rows between unbounded preceding and 1 preceding) as e from spans)"""
 
 
 @R.add(
