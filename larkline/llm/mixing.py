@@ -63,7 +63,7 @@ def fit_budget(counts: dict[int, int], budget: int, max_repeats: int, seed: int
     share = (rest - slack) / whole
     for k in lengths.tolist():
         x = counts[k] * share
-        n = min(int(x) + int(rng.random() < x - int(x)), rest // k)
+        n = min(int(x) + int(rng.random() < x - int(x)), max(0, rest - slack) // k)
         extra[k], rest = n, rest - n * k
     left = {k: counts[k] - n for k, n in extra.items() if counts[k] > n}
     for k in lengths.tolist():

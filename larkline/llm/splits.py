@@ -25,22 +25,22 @@ def components(links: DataFrame) -> DataFrame:
     Defined cases: links with a null end name no node for it; a link to itself, or with one null
     end, makes a component of one; repeated links change nothing; no links give no rows.
     """
-    ends = links.select(F.coalesce("a", "b").alias("a"), F.coalesce("b", "a").alias("b")).filter("a is not null").distinct()
-    table = cut(ends.select(F.col("a").alias("node")).union(ends.select("b")).distinct().withColumn("component", F.col("node")))
-    edges = cut(ends.filter("a <> b"))
+    ends = cut(links.select(F.coalesce("a", "b").alias("a"), F.coalesce("b", "a").alias("b")).filter("a is not null").distinct())
+    table = ends.select(F.col("a").alias("node")).union(ends.select("b")).distinct().withColumn("component", F.col("node"))
+    edges = ends.filter("a <> b")
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
         hook = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("up")))
-        for _ in range(2):  # pointer jumping
+        for _ in range(3):  # pointer jumping
             top = hook.select(F.col("a").alias("x"), F.col("up").alias("over"))
             hook = hook.join(top, F.col("up") == F.col("x"), "left").select("a", F.coalesce("over", "up").alias("up"))
         hook = cut(hook)
         step = hook.select(F.col("a").alias("x"), "up")
-        table = cut(table.join(step, F.col("component") == F.col("x"), "left").select("node", F.coalesce("up", "component").alias("component")))
+        table = table.join(step, F.col("component") == F.col("x"), "left").select("node", F.coalesce("up", "component").alias("component"))
         a = edges.join(step, F.col("a") == F.col("x")).select(F.col("up").alias("a"), "b")
         b = a.join(step, F.col("b") == F.col("x")).select("a", F.col("up").alias("b"))
         edges = cut(b.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    return table
+    return cut(table)
 
 
 def update_components(table: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
