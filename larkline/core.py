@@ -73,3 +73,11 @@ def finite(c: Column | str) -> Column:
     """Null for NaN and infinities, else the number as double."""
     x = (F.col(c) if isinstance(c, str) else c).cast("double")
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(None)).otherwise(x)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder name in the session's shared checkpoint folder, or a temporary one where that is unset."""
+    import uuid
+
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="larkline-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"

@@ -120,7 +120,7 @@ def a14(spark, d):
     return se(spark, d).filter("patient is not null").groupBy("patient").agg(last("pr"), last("inn"))
 
 
-@R.add("A-15_speaker_imbalance", "with s as (select session_id, sum((lower(trim(speaker_id)) = 'client')::int) as client, sum((lower(trim(speaker_id)) = 'therapist')::int) as therapist from segments group by 1) select session_id, coalesce(client, 0) as client, coalesce(therapist, 0) as therapist, coalesce(client, 0) + coalesce(therapist, 0) > 0 and least(coalesce(client, 0), coalesce(therapist, 0)) < 0.1 * (coalesce(client, 0) + coalesce(therapist, 0)) as imbalanced from s")
+@R.add("A-15_speaker_imbalance", "with s as (select session_id, sum((lower(trim(speaker_id)) = 'client')::int) as client, sum((lower(trim(speaker_id)) = 'therapist')::int) as therapist from segments group by 1) select session_id, coalesce(client, 0) as client, coalesce(therapist, 0) as therapist, coalesce(client, 0) + coalesce(therapist, 0) > 0 and least(coalesce(client, 0), coalesce(therapist, 0)) < 0.1 * (coalesce(client, 0) + coalesce(therapist, 0)) as imbalanced from s", longs=("client", "therapist"))
 def a15(spark, d):
     return turns.speaker_shares(table(spark, d, "segments"), "session_id", "speaker_id")
 
@@ -140,7 +140,7 @@ def a18(spark, d):
     return metrics.confusion(lb(spark, d).filter("stage = 'cot_sleep'"), "g", "p", SLEEP)
 
 
-@R.add("A-19_accuracy", f"with {LB} select stage, count(*) as total, sum((p = g)::int) as correct, sum((p <> g)::int) as incorrect, round(100.0::double * sum((p = g)::int) / count(*), 6) as pct from lb group by 1")
+@R.add("A-19_accuracy", f"with {LB} select stage, count(*) as total, sum((p = g)::int) as correct, sum((p <> g)::int) as incorrect, round(100.0::double * sum((p = g)::int) / count(*), 6) as pct from lb group by 1", longs=("correct", "incorrect"))
 def a19(spark, d):
     hit = (F.col("p") == F.col("g")).cast("long")
     return lb(spark, d).groupBy("stage").agg(F.count("*").alias("total"), F.sum(hit).alias("correct"), F.sum(1 - hit).alias("incorrect"), F.round(100 * F.sum(hit) / F.count("*"), 6).alias("pct"))
@@ -154,7 +154,7 @@ def f1_sql(long: str, by: str = "") -> str:
 A20A = f1_sql("select stage, g as class, (p = g)::int as tp, 0 as fp, (p <> g)::int as fn, 1 as support from lb union all select stage, p, 0, 1, 0, 0 from lb where p <> g", "stage")
 
 
-@R.add("A-20a_f1_open", f"with {LB}, {A20A} select stage, class, tp, fp, fn, round(f1, 6) as f1 from f")
+@R.add("A-20a_f1_open", f"with {LB}, {A20A} select stage, class, tp, fp, fn, round(f1, 6) as f1 from f", longs=("tp", "fp", "fn"))
 def a20a(spark, d):
     return metrics.with_f1(metrics.class_counts(lb(spark, d), "g", "p", ["stage"])).select("stage", "class", "tp", "fp", "fn", F.round("f1", 6).alias("f1"))
 
@@ -162,13 +162,13 @@ def a20a(spark, d):
 A20B = f1_sql(f"select g as class, (p = g)::int as tp, 0 as fp, (p <> g)::int as fn, 1 as support from s union all select p, 0, 1, 0, 0 from s where p <> g and p in {SL} union all select unnest(['wake', 'n1', 'n2', 'n3', 'rem', 'movement']), 0, 0, 0, 0")
 
 
-@R.add("A-20b_f1_allowed", f"with {LB}, s as (select * from lb where stage = 'cot_sleep'), {A20B} select class, tp, fp, fn, round(f1, 6) as f1 from f")
+@R.add("A-20b_f1_allowed", f"with {LB}, s as (select * from lb where stage = 'cot_sleep'), {A20B} select class, tp, fp, fn, round(f1, 6) as f1 from f", longs=("tp", "fp", "fn"))
 def a20b(spark, d):
     c = metrics.class_counts(lb(spark, d).filter("stage = 'cot_sleep'"), "g", "p", labels=SLEEP)
     return metrics.with_f1(c).select("class", "tp", "fp", "fn", F.round("f1", 6).alias("f1"))
 
 
-@R.add("A-20c_f1_supported", f"with {LB}, s as (select * from lb where stage = 'cot_sleep' and g in {SL}), {A20B} select class, tp, fp, fn, round(f1, 6) as f1 from f")
+@R.add("A-20c_f1_supported", f"with {LB}, s as (select * from lb where stage = 'cot_sleep' and g in {SL}), {A20B} select class, tp, fp, fn, round(f1, 6) as f1 from f", longs=("tp", "fp", "fn"))
 def a20c(spark, d):
     c = metrics.class_counts(lb(spark, d).filter("stage = 'cot_sleep'"), "g", "p", labels=SLEEP, skip_unknown_gold=True)
     return metrics.with_f1(c).select("class", "tp", "fp", "fn", F.round("f1", 6).alias("f1"))
@@ -189,7 +189,7 @@ def a21(spark, d):
     return a.select("stage", *[F.round(c, 6).alias(c) for c in ("accuracy", "macro_f1", "weighted_f1", "micro_f1")])
 
 
-@R.add("A-22_template_rollup", f"with {LB}, t as (select template_id, count(*) as n, avg((p = g)::int) as acc from lb where stage = 'cot_ecg' group by 1) select sum(n) as n, round(sum(acc * n) / sum(n), 6) as overall, round(avg(acc), 6) as mean_of_templates from t")
+@R.add("A-22_template_rollup", f"with {LB}, t as (select template_id, count(*) as n, avg((p = g)::int) as acc from lb where stage = 'cot_ecg' group by 1) select sum(n) as n, round(sum(acc * n) / sum(n), 6) as overall, round(avg(acc), 6) as mean_of_templates from t", longs=("n",))
 def a22(spark, d):
     t = lb(spark, d).filter("stage = 'cot_ecg'").groupBy("template_id").agg(F.count("*").alias("n"), F.avg((F.col("p") == F.col("g")).cast("int")).alias("acc"))
     return t.agg(F.sum("n").alias("n"), F.round(F.sum(F.col("acc") * F.col("n")) / F.sum("n"), 6).alias("overall"), F.round(F.avg("acc"), 6).alias("mean_of_templates"))
@@ -302,7 +302,7 @@ def a38(spark, d):
     return table(spark, d, "events").withColumn("k", k).filter("k <= 6").groupBy("user_id", "event_type").agg(F.round(F.avg("value"), 6).alias("score"))
 
 
-@R.add("A-39_known_rows", f"with {LB} select count(*) as n, sum((p not in {SL})::int) as unknown_pred, sum((g not in {SL})::int) as unknown_gold, sum((p in {SL} and g in {SL})::int) as known, round(avg((p = g)::int) filter (p in {SL} and g in {SL}), 6) as accuracy from lb where stage = 'cot_sleep'")
+@R.add("A-39_known_rows", f"with {LB} select count(*) as n, sum((p not in {SL})::int) as unknown_pred, sum((g not in {SL})::int) as unknown_gold, sum((p in {SL} and g in {SL})::int) as known, round(avg((p = g)::int) filter (p in {SL} and g in {SL}), 6) as accuracy from lb where stage = 'cot_sleep'", longs=("unknown_pred", "unknown_gold", "known"))
 def a39(spark, d):
     p, g = F.col("p").isin(*SLEEP), F.col("g").isin(*SLEEP)
     num = lambda c: F.sum(c.cast("long"))

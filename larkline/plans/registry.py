@@ -16,7 +16,11 @@ class Registry:
         self.queries: dict[str, Query] = {}
         self.oracles: dict[str, str] = {}
 
-    def add(self, name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(self, name: str, sql: str | None = None, longs: tuple[str, ...] = ()) -> Callable[[Query], Query]:
+        """Register a query; ``longs`` are result columns that SQL sums to a wider type than 64 bits."""
+        if sql is not None and longs:
+            sql = f"select * replace ({', '.join(f'cast({c} as bigint) as {c}' for c in longs)}) from ({sql})"
+
         def keep(f: Query) -> Query:
             if name in self.queries:
                 raise ValueError(f"{name} is registered twice")

@@ -16,7 +16,7 @@ R = Registry()
 K = "patient_id, subject_role, itype"
 
 
-@R.add("W-01_speaker_turns", "with s as (select distinct session_id, pos, lower(trim(speaker_id)) as sp, least(start_s, end_s) as lo, greatest(start_s, end_s) as hi, trim(text) as text from segments where trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) <> ''), o as (select *, lag(sp) over w as prev, row_number() over w as i from s window w as (partition by session_id order by lo, pos)), g as (select *, sum(case when i = 1 or sp is distinct from prev then 1 else 0 end) over (partition by session_id order by lo, pos) - 1 as turn_index from o) select session_id, turn_index, sp as speaker, arg_min(lo, i) as start, arg_max(hi, i) as end, count(*) as segments, sum(length(text)) + count(*) - 1 as chars from g group by session_id, turn_index, sp")
+@R.add("W-01_speaker_turns", "with s as (select distinct session_id, pos, lower(trim(speaker_id)) as sp, least(start_s, end_s) as lo, greatest(start_s, end_s) as hi, trim(text) as text from segments where trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) <> ''), o as (select *, lag(sp) over w as prev, row_number() over w as i from s window w as (partition by session_id order by lo, pos)), g as (select *, sum(case when i = 1 or sp is distinct from prev then 1 else 0 end) over (partition by session_id order by lo, pos) - 1 as turn_index from o) select session_id, turn_index, sp as speaker, arg_min(lo, i) as start, arg_max(hi, i) as end, count(*) as segments, sum(length(text)) + count(*) - 1 as chars from g group by session_id, turn_index, sp", longs=("turn_index", "chars"))
 def w01(spark, d):
     s = table(spark, d, "segments").select("session_id", "pos", "speaker_id", F.least("start_s", "end_s").alias("lo"), F.greatest("start_s", "end_s").alias("hi"), "text").distinct()
     got = turns.merge_speakers(s, "session_id", [F.col("lo"), F.col("pos")], "speaker_id", "lo", "hi", "text")
@@ -77,7 +77,7 @@ def w08(spark, d):
     return s.select(*KEY, F.size(x).alias("n"), F.round(F.aggregate(x, F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
 
 
-@R.add("W-09_tumbling_modes", "with f as (select user_id, min(ts) as t0 from events group by 1), w as (select user_id, (epoch_us(e.ts) - epoch_us(t0)) // 259200000000 as win, event_type, count(*) as n from events e join f using (user_id) group by all), b as (select *, sum(n) over (partition by user_id, win) as rows, row_number() over (partition by user_id, win order by n desc, event_type) as k from w) select user_id, win, event_type, n, rows from b where k = 1 and n >= 0.5 * rows")
+@R.add("W-09_tumbling_modes", "with f as (select user_id, min(ts) as t0 from events group by 1), w as (select user_id, (epoch_us(e.ts) - epoch_us(t0)) // 259200000000 as win, event_type, count(*) as n from events e join f using (user_id) group by all), b as (select *, sum(n) over (partition by user_id, win) as rows, row_number() over (partition by user_id, win order by n desc, event_type) as k from w) select user_id, win, event_type, n, rows from b where k = 1 and n >= 0.5 * rows", longs=("rows",))
 def w09(spark, d):
     e = table(spark, d, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
     return timeseries.tumbling_modes(e, ["user_id"], "t", "event_type", 259200).withColumnRenamed("window", "win")
