@@ -257,7 +257,7 @@ def a31(spark, d):
     return table(spark, d, "part").groupBy((F.col("p_size") % 4).alias("length"), (F.col("p_partkey") % 5).alias("n")).agg(F.min("p_retailprice").cast("double").alias("low"), F.max("p_retailprice").cast("double").alias("high"))
 
 
-@R.add("A-32_roc_auc", "with s as (select l_returnflag as by, l_quantity::double as score, (l_linestatus = 'O')::int as y from lineitem), p as (select by, score, sum(y) as p, sum(1 - y) as q from s group by all), b as (select *, coalesce(sum(q) over (partition by by order by score rows between unbounded preceding and 1 preceding), 0) as below from p) select by, round(sum(p * (below + q / 2.0::double)) / nullif(sum(p) * sum(q), 0), 6) as auc from b group by 1".replace("by as", "flag as").replace("l_returnflag as by", "l_returnflag as flag").replace("select by,", "select flag,").replace("partition by by", "partition by flag"))
+@R.add("A-32_roc_auc", "with s as (select l_returnflag as flag, l_quantity::double as score, (l_linestatus = 'O')::int as y from lineitem), p as (select flag, score, sum(y) as p, sum(1 - y) as q from s group by all), b as (select *, coalesce(sum(q) over (partition by flag order by score rows between unbounded preceding and 1 preceding), 0) as below from p) select flag, round(sum(p * (below + q / 2.0::double)) / nullif(sum(p) * sum(q), 0), 6) as auc from b group by 1")
 def a32(spark, d):
     s = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_quantity").cast("double").alias("score"), (F.col("l_linestatus") == "O").cast("int").alias("y"))
     return metrics.roc_auc(s, "score", "y", ["flag"]).select("flag", F.round("auc", 6).alias("auc"))

@@ -146,7 +146,7 @@ def p24(spark, d):
     return table(spark, d, "predictions").select("pair_id", clean.remap("stage", names, F.col("stage")).alias("label"))
 
 
-@R.add("P-25_name_parse", "with g as (select 'Simulation-L' || (p_size * 10) || '-N' || (p_partkey % 5 + 1) as name, p_partkey from part) select p_partkey, cast(regexp_extract(name, 'Simulation-L(\\d+)-N(\\d+)', 1) as int) as len, cast(regexp_extract(name, 'Simulation-L(\\d+)-N(\\d+)', 2) as int) as n from g".replace("\\\\", "\\"))
+@R.add("P-25_name_parse", r"with g as (select 'Simulation-L' || (p_size * 10) || '-N' || (p_partkey % 5 + 1) as name, p_partkey from part) select p_partkey, cast(regexp_extract(name, 'Simulation-L(\d+)-N(\d+)', 1) as int) as len, cast(regexp_extract(name, 'Simulation-L(\d+)-N(\d+)', 2) as int) as n from g")
 def p25(spark, d):
     name = F.concat(F.lit("Simulation-L"), F.col("p_size") * 10, F.lit("-N"), F.col("p_partkey") % 5 + 1)
     pattern = r"Simulation-L(\d+)-N(\d+)"

@@ -195,7 +195,7 @@ def j18(spark, d):
     return p.select("pair_id").distinct().join(q, "pair_id", "left").select("pair_id", F.coalesce("template_id", F.lit(-1)).alias("template_id"))
 
 
-@R.add("J-19_rater_pairs", "with r as (select o_orderkey % 500 as sample, o_orderkey as pos, o_orderpriority as v from orders where o_orderkey % 500 < 60 or o_orderkey % 500 >= 60), k as (select *, row_number() over (partition by sample order by pos) as i from r) select a.sample, a.pos as pos_a, b.pos as pos_b, a.v as a, b.v as b from k a join k b on a.sample = b.sample and a.i < b.i and a.i <= 4 and b.i <= 4".replace(" where o_orderkey % 500 < 60 or o_orderkey % 500 >= 60", ""))
+@R.add("J-19_rater_pairs", "with r as (select o_orderkey % 500 as sample, o_orderkey as pos, o_orderpriority as v from orders), k as (select *, row_number() over (partition by sample order by pos) as i from r) select a.sample, a.pos as pos_a, b.pos as pos_b, a.v as a, b.v as b from k a join k b on a.sample = b.sample and a.i < b.i and a.i <= 4 and b.i <= 4")
 def j19(spark, d):
     from pyspark.sql import Window
 
