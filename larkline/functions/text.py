@@ -68,10 +68,17 @@ def plain(c: Column | str) -> Column:
 
 def token_f1(a: Column, b: Column) -> Column:
     """F1 of the multisets of white-space tokens."""
-    x, y = (F.filter(F.split(plain(t), r"\s+"), lambda w: w != "") for t in (a, b))
-    count = lambda arr, w: F.size(F.filter(arr, lambda v: v == w))
-    both = F.aggregate(F.array_distinct(x), F.lit(0), lambda n, w: n + F.least(count(x, w), count(y, w)))
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), (F.size(x) == F.size(y)).cast("double")).otherwise(2.0 * both / (F.size(x) + F.size(y)))
+    def words(t: Column) -> Column:
+        return F.filter(F.split(plain(t), r"\s+"), lambda w: w != "")
+
+    def score(p: Column) -> Column:
+        x, y = p["x"], p["y"]
+        count = lambda arr, w: F.size(F.filter(arr, lambda v: v == w))
+        both = F.aggregate(F.array_intersect(x, y), F.lit(0), lambda n, w: n + F.least(count(x, w), count(y, w)))
+        return F.when((F.size(x) == 0) | (F.size(y) == 0), (F.size(x) == F.size(y)).cast("double")).otherwise(2.0 * both / (F.size(x) + F.size(y)))
+
+    # The word lists are made once a row, not anew for every word compared.
+    return F.transform(F.array(F.struct(words(a).alias("x"), words(b).alias("y"))), score)[0]
 
 
 def file_parts(c: Column | str) -> tuple[Column, Column]:
