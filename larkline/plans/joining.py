@@ -137,12 +137,12 @@ def j10(spark, d):
 @R.add("J-11_fuzzy_match", "with t as (select doc_id, list_distinct(list_filter(string_split(lower(substr(text, 1, 60)), ' '), lambda x: length(x) > 4)) as toks from documents), c as (select t.doc_id, s.st, len(list_filter(toks, lambda x: contains(s.st, x))) as score, least(2, len(toks)) as need from t join (select source as st from mix_targets) s on true), b as (select *, row_number() over (partition by doc_id order by score desc, st) as k from c where score >= 1 and score >= need - 1) select doc_id, st, score from b where k = 1")
 def j11_fuzzy(spark, d):
     docs = table(spark, d, "documents")
-    toks = F.array_distinct(F.filter(F.split(F.lower(F.substring("text", 1, 60)), " "), lambda x: F.length(x) > 4))
+    toks = F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda x: F.length(x) > 4))
     # The catalogue is a fixed table of nine sources, so it travels inside the plan.
     names = [r[0] for r in table(spark, d, "mix_targets").select("source").collect()]
     both = docs.select("doc_id", toks.alias("toks"), F.explode(F.array(*map(F.lit, names))).alias("st"))
     score = joins.token_coverage(F.col("toks"), F.col("st"))
-    both = both.withColumn("score", score).filter((F.col("score") > 0) & (F.col("score") >= F.least(F.lit(2), F.size("toks")) - 1))
+    both = both.withColumn("score", score).filter((F.col("score") > 0) & (F.col("score") >= F.least(F.lit(2), F.size("toks"))))
     return clean.latest(both, ["doc_id"], [F.desc("score"), F.col("st")]).select("doc_id", "st", "score")
 
 
