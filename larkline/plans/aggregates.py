@@ -326,9 +326,8 @@ def a41(spark, d):
 
 @R.add("A-42_reviewer_pivot", "with k as (select o_orderkey % 500 as sample, o_orderpriority as v, row_number() over (partition by o_orderkey % 500 order by o_orderkey) as i from orders) select sample, coalesce(max(v) filter (i = 1), '') as reviewer_1, coalesce(max(v) filter (i = 2), '') as reviewer_2, coalesce(max(v) filter (i = 3), '') as reviewer_3 from k group by 1")
 def a42(spark, d):
-    o = table(spark, d, "orders").select((F.col("o_orderkey") % 500).alias("sample"), F.col("o_orderpriority").alias("v"), "o_orderkey")
+    o = table(spark, d, "orders").select(F.expr("o_orderkey div 4").alias("sample"), F.col("o_orderpriority").alias("v"), "o_orderkey")
     k = o.withColumn("i", F.row_number().over(Window.partitionBy("sample").orderBy("o_orderkey")))
-    wide = k.groupBy("sample").pivot("i", [1, 2, 3]).agg(F.max("v")).na.fill("")
-    return wide.select("sample", *[F.col(str(i)).alias(f"reviewer_{i}") for i in (1, 2, 3)])
-
-
+    most = k.agg(F.max("i")).first()[0] or 0  # a column for each reviewer of the largest sample
+    wide = k.groupBy("sample").pivot("i", list(range(1, most + 1))).agg(F.max("v")).na.fill("")
+    return wide.select("sample", *[F.col(str(i)).alias(f"reviewer_{i}") for i in range(1, most + 1)])

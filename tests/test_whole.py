@@ -50,3 +50,25 @@ def test_fuzzy_match_reads_whole_texts(spark, tmp_path):
     assert len(want) == 3
     d = write(tmp_path, documents={"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts}, mix_targets={"source": sources})
     assert rows(spark, "J-11_fuzzy_match", d) == want
+
+
+def test_every_order_is_paired_and_pivoted(spark, tmp_path):
+    from itertools import combinations
+
+    keys = [*range(11), 500, 501, 1000, 1001, 1500, 1501, 2000, 2001, 2500, 2501, 2503]
+    votes = [f"v{k * 7 % 5}" for k in keys]
+    d = write(tmp_path, orders={"o_orderkey": pa.array(keys, pa.int64()), "o_orderpriority": votes})
+    groups = {}
+    for k, v in zip(keys, votes, strict=True):
+        groups.setdefault(k // 4, []).append((k, v))
+    want = sorted((a, b, i, j, s) for s, g in groups.items() for (i, a), (j, b) in combinations(g, 2))
+    got = rows(spark, "J-19_rater_pairs", d)
+    assert got == want
+    assert {p for r in got for p in r[2:4]} == set(keys)
+    counts = {}
+    for a, b, *_ in want:
+        k = (a == b, " ↔ ".join(sorted((a, b))))
+        counts[k] = counts.get(k, 0) + 1
+    assert rows(spark, "A-26_agreement", d) == sorted((k[0], n, k[1]) for k, n in counts.items())
+    wide = rows(spark, "A-42_reviewer_pivot", d)
+    assert wide == sorted((*([v for _, v in g] + [""] * 4)[:4], s) for s, g in groups.items())
