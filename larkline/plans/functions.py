@@ -186,7 +186,7 @@ def f31(spark, d):
 
 @R.add("F-32_two_decimals", f"with {ARR} select {K}, array_to_string(list_transform(x[1:20], lambda v: '\"' || replace(printf('%.2f', abs(v)), '.', '') || '\"'), ',') as text from s")
 def f32(spark, d):
-    return arr(spark, d).select(*KEY, arrays.two_decimals(F.transform(F.slice("x", 1, 20), F.abs)).alias("text"))
+    return arr(spark, d).select(*KEY, arrays.two_decimals(F.transform("x", F.abs)).alias("text"))
 
 
 @R.add("F-33_parse_series", f"with {TU}, s as (select session_id, list(lo order by lo, hi, turn_index, speaker) as x from tu group by 1) select session_id, len(x) as n, list_sum(x)::double as total from s")
@@ -203,7 +203,7 @@ def f34(spark, d):
 
 @R.add("F-37_softmax", "with e as (select vec_id, list_transform(embedding[1:8], lambda v: v::double) as x from embeddings), s as (select vec_id, list_transform(x, lambda v: exp(v - list_max(x))) as e from e) select vec_id, round(list_max(e) / list_sum(e), 6) as confidence from s")
 def f37(spark, d):
-    x = F.slice(F.col("embedding").cast("array<double>"), 1, 8)
+    x = F.col("embedding").cast("array<double>")
     return table(spark, d, "embeddings").select("vec_id", F.round(F.array_max(arrays.softmax(x)), 6).alias("confidence"))
 
 

@@ -145,7 +145,7 @@ def w14c(spark, d):
 
 @R.add("W-15_patches", f"with {ARR}, p as (select {K}, x[1:200] as x from s where len(x) >= 200), e as (select {K}, unnest(range(0, 50)) as i, x from p) select {K}, i, round(list_sum(x[i * 4 + 1:i * 4 + 4]) / 4, 6) as mean from e")
 def w15(spark, d):
-    s = arr(spark, d).filter(F.size("x") >= 200).select(*KEY, F.posexplode(timeseries.patches(F.slice("x", 1, 200), 4)).alias("i", "p"))
+    s = arr(spark, d).select(*KEY, F.posexplode(timeseries.patches(timeseries.pad_zero(F.col("x"), 4), 4)).alias("i", "p"))
     return s.select(*KEY, "i", F.round(F.aggregate("p", F.lit(0.0), lambda a, v: a + v) / 4, 6).alias("mean"))
 
 

@@ -72,3 +72,31 @@ def test_every_order_is_paired_and_pivoted(spark, tmp_path):
     assert rows(spark, "A-26_agreement", d) == sorted((k[0], n, k[1]) for k, n in counts.items())
     wide = rows(spark, "A-42_reviewer_pivot", d)
     assert wide == sorted((*([v for _, v in g] + [""] * 4)[:4], s) for s, g in groups.items())
+
+
+def test_series_are_whole(spark, tmp_path):
+    from larkline.plans.base import AUS
+    from larkline.plans.series import ARR, K
+
+    lengths = {"VP1": 3, "VP2": 21, "VP3": 203, "VP4": 1, "VP5": 204}
+    at = [(p, i) for p, n in lengths.items() for i in range(n)]
+    x = [i * 37 % 491 / 100 for _, i in at]
+    frames = {"patient_id": [p for p, _ in at], "subject_role": ["patient"] * len(at), "interview_type": ["bindung"] * len(at), "frame": pa.array([i for _, i in at], pa.int32()),
+              "ts_s": [i / 2 for _, i in at], "confidence": [0.9] * len(at), "success": pa.array([1] * len(at), pa.int32()), **{c: x for c in AUS}}
+    d = write(tmp_path, frames=frames)
+    patches = sql(d, ["frames"], f"with {ARR}, e as (select {K}, unnest(range(0, cast(ceil(len(x) / 4.0) as int))) as i, x from s) select {K}, i, list_sum(x[i * 4 + 1:i * 4 + 4]) / 4 as mean from e")
+    got = rows(spark, "W-15_patches", d)
+    assert [r[:2] + r[3:] for r in got] == [r[:2] + r[3:] for r in patches] and len(got) == 1 + 6 + 51 + 1 + 51
+    assert [r[2] for r in got] == pytest.approx([r[2] for r in patches], abs=1e-6)
+    text = {r[1]: r[3] for r in rows(spark, "F-32_two_decimals", d)}
+    assert text == {p: ",".join('"' + f"{v:.2f}".replace(".", "") + '"' for (q, _), v in zip(at, x, strict=True) if q == p) for p in lengths}
+
+
+def test_softmax_is_over_all_components(spark, tmp_path):
+    import numpy as np
+
+    e = np.random.default_rng(3).normal(size=(5, 64))
+    e[0, 40] = 9.0
+    d = write(tmp_path, embeddings={"vec_id": pa.array(range(5), pa.int64()), "embedding": e.tolist()})
+    got = [r[0] for r in rows(spark, "F-37_softmax", d)]
+    assert got == pytest.approx(sorted(np.exp(e.max(1)) / np.exp(e).sum(1)), abs=1e-6)
