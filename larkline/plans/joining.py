@@ -212,7 +212,9 @@ def j20(spark, d):
 def j22(spark, d):
     s = sg(spark, d)
     key = [F.col("session_id"), F.round(F.col("slo") / 1000, 3), F.round(F.col("shi") / 1000, 3), F.coalesce("text", F.lit(""))]
-    return joins.merge_new(s.filter("pos % 2 = 0"), s.filter("pos % 3 = 0"), key).select("session_id", "pos", "text")
+    # Every segment is on a side: the even positions, and all others with every third again.
+    new = s.filter("coalesce(pos % 2 <> 0 or pos % 3 = 0, true)")
+    return joins.merge_new(s.filter("pos % 2 = 0"), new, key).select("session_id", "pos", "text")
 
 
 @R.add("J-23_turns_with_predictions", f"with {PR}, {SE}, {TU} select distinct session_id, turn_index, speaker from tu where (session_id, turn_index) in (select (session_id, turn_index) from pr join se on pr.patient_id = se.patient and pr.interview_type = se.itype)")

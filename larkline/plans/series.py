@@ -166,7 +166,7 @@ def w17(spark, d):
 def w18(spark, d):
     order = [F.coalesce("turn_index", F.lit(10**9)), F.asc_nulls_last("start_s"), F.asc_nulls_last("end_s"), F.asc_nulls_last("speech_unsummarised"), F.asc_nulls_last("speaker_id")]
     place = F.row_number().over(Window.partitionBy("session_id").orderBy(*order))
-    return table(spark, d, "turns").withColumn("place", place).filter("place <= 3").select("session_id", "place", F.coalesce("turn_index", F.lit(-1)).alias("turn_index"))
+    return table(spark, d, "turns").withColumn("place", place).select("session_id", "place", F.coalesce("turn_index", F.lit(-1)).alias("turn_index"))
 
 
 @R.add("W-19_clock_labels", f"with {TU} select session_id, turn_index, printf('%02d:%02d', (lo // 1000) // 60, (lo // 1000) % 60) as label from tu")

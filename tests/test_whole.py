@@ -100,3 +100,24 @@ def test_softmax_is_over_all_components(spark, tmp_path):
     d = write(tmp_path, embeddings={"vec_id": pa.array(range(5), pa.int64()), "embedding": e.tolist()})
     got = [r[0] for r in rows(spark, "F-37_softmax", d)]
     assert got == pytest.approx(sorted(np.exp(e.max(1)) / np.exp(e).sum(1)), abs=1e-6)
+
+
+def test_every_turn_has_a_place(spark, small):
+    got = rows(spark, "W-18_default_sort_key", small)
+    want = sql(small, ["turns"], "select session_id, coalesce(turn_index, -1) as turn_index, row_number() over (partition by session_id order by coalesce(turn_index, 1000000000), start_s nulls last, end_s nulls last, speech_unsummarised nulls last, speaker_id nulls last) as place from turns")
+    assert got == want
+    last = {}
+    for place, session, _ in got:
+        last[session] = max(place, last.get(session, 0))
+    assert max(last.values()) > 3 and sum(last.values()) == len(got)
+
+
+def test_merge_new_holds_every_segment(spark, small):
+    from larkline.plans.joining import SEG
+
+    got = sql(small, ["segments"], f"with {SEG} select session_id, pos, text, round(slo / 1000.0, 3) as lo, round(shi / 1000.0, 3) as hi, coalesce(text, '') as t from sg")
+    old = {(hi, lo, session, t) for hi, lo, pos, session, t, _ in got if pos % 2 == 0}
+    want = [(pos, session, text) for hi, lo, pos, session, t, text in got if pos % 2 == 0 or (hi, lo, session, t) not in old]
+    key = lambda r: tuple(map(repr, r))
+    merged = E.queries()["J-22_merge_new"](spark, small)
+    assert sorted(((r.pos, r.session_id, r.text) for r in merged.collect()), key=key) == sorted(want, key=key)
