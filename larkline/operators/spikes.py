@@ -27,6 +27,9 @@ STRETCH = 16384
 #: Readings of the neighbouring stretches that a stretch also sees.
 HALO = 512
 
+#: Readings over which ``max_events`` excursions are few; more readings may hold more in proportion.
+HABIT = 320
+
 
 def _median(x: np.ndarray) -> float:
     half = len(x) // 2
@@ -73,9 +76,11 @@ def _ellipsoid(v: np.ndarray, rounds: int) -> np.ndarray:
 def _beyond(v: np.ndarray, suspect: np.ndarray, o: dict) -> np.ndarray:
     """Brief suspect events that a gap parts from the range of all other readings.
 
-    The lowest gap counts above which the excursions are few; a level reached more often is habit.
+    The lowest gap counts above which the excursions are few for so many readings; a level reached
+    more often is habit.
     """
     n = len(v)
+    few = max(o["events"], o["events"] * n // HABIT)
     s = -np.sort(-v)
     m = min(n - 2, max(12, int(o["most"] * n)))
     low = s[min(n - 1, n - 1 - n // 50)]
@@ -84,7 +89,7 @@ def _beyond(v: np.ndarray, suspect: np.ndarray, o: dict) -> np.ndarray:
     for k in np.flatnonzero(gaps >= np.maximum(o["min_gap"], o["rel_gap"] * (s[1 : m + 1] - low)))[::-1]:
         over = v > s[k + 1]
         edges = np.flatnonzero(np.diff(np.concatenate(([0], over.view(np.int8), [0]))))
-        if len(edges) <= 2 * o["events"]:
+        if len(edges) <= 2 * few:
             for i, j in zip(edges[::2], edges[1::2], strict=True):
                 if j - i <= o["longest"] and suspect[i:j].any():
                     hit[i:j] = True

@@ -121,3 +121,21 @@ def test_merge_new_holds_every_segment(spark, small):
     key = lambda r: tuple(map(repr, r))
     merged = E.queries()["J-22_merge_new"](spark, small)
     assert sorted(((r.pos, r.session_id, r.text) for r in merged.collect()), key=key) == sorted(want, key=key)
+
+
+def test_long_recording_keeps_all_its_spikes(spark):
+    import numpy as np
+
+    from larkline.operators import spikes
+
+    n = 20_000  # two stretches
+    rng = np.random.default_rng(5)
+    v = 1 + 0.2 * np.sin(np.arange(n) / 40) + rng.normal(0, 0.02, n)
+    habit = v.copy()
+    at = np.arange(100, n, 200)
+    v[at] += rng.uniform(1.5, 3, len(at))
+    habit[::20] += 2
+    f = pa.table({"patient_id": ["VP1"] * n, "subject_role": ["patient"] * n, "interview_type": ["bindung"] * n, "frame": range(n), "ts_s": np.arange(n) / 60, "confidence": np.full(n, 0.9),
+                  "success": np.ones(n, int), "au04_r": v, "au25_r": habit, "au45_r": 1 + rng.normal(0, 0.02, n)})
+    got = spikes.flag_faults(spark.createDataFrame(f)).collect()
+    assert sorted((r.frame, r.channel, r.fault) for r in got) == [(i, "au04_r", "spike") for i in at]
