@@ -90,6 +90,27 @@ class ComponentStore:
         return self.read()
 
 
+class SplitStore(ComponentStore):
+    """As ComponentStore, with the splits each component holds: node, component, splits (two or more: quarantined)."""
+
+    def read(self) -> DataFrame:
+        if not self._versions():
+            return self.spark.createDataFrame([], "node string, component string, splits array<string>")
+        return super().read()
+
+    def merged(self, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The table node, component with the links merged in; and of each component the splits its parts hold."""
+        old = cut(self.read())
+        new, _ = update_components(old.select("node", "component"), links)
+        parts = new.join(old.select("node", "splits"), "node").select("component", F.explode("splits").alias("s"))
+        return new, cut(parts.groupBy("component").agg(F.collect_set("s").alias("held")))
+
+    def save(self, table: DataFrame) -> None:
+        """Write the table as the next version."""
+        have = self._versions()
+        table.write.mode("overwrite").parquet(f"{self.path}/v={have[-1] + 1 if have else 0}")
+
+
 def current_sessions(sessions: DataFrame) -> DataFrame:
     """session, patient, therapist, split: each session's newest export, ids and splits in one spelling."""
     newest = F.max(F.struct(F.col("updated_at"), F.col("split"), F.col("patient_id"), F.col("therapist_id"))).alias("x")
@@ -102,30 +123,48 @@ def current_sessions(sessions: DataFrame) -> DataFrame:
     )
 
 
-def session_groups(sessions: DataFrame) -> DataFrame:
-    """current_sessions with its component; a session that names nobody is its own."""
+def _placed_in(sessions: DataFrame, store: SplitStore | None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """current_sessions with component and held (splits that the store knows of it); the table; its held splits."""
     rows = cut(current_sessions(sessions))
     p, t = F.concat(F.lit("p:"), F.col("patient")), F.concat(F.lit("t:"), F.col("therapist"))
-    table = components(rows.select(p.alias("a"), t.alias("b")))
     node = F.coalesce(p, t, F.concat(F.lit("s:"), F.col("session").cast("string")))
+    none = F.array().cast("array<string>")
+    if store is None:
+        table, held = components(rows.select(p.alias("a"), t.alias("b"))), None
+    else:
+        table, held = store.merged(rows.select(node.alias("a"), t.alias("b")))
     joined = rows.withColumn("node", node).join(table, "node", "left")
-    return joined.withColumn("component", F.coalesce("component", "node")).drop("node")
+    joined = joined.withColumn("component", F.coalesce("component", "node")).drop("node")
+    if held is None:
+        return joined.withColumn("held", none), table, None
+    return joined.join(held, "component", "left").withColumn("held", F.coalesce("held", none)), table, held
 
 
-def assign_splits(sessions: DataFrame, targets: DataFrame) -> DataFrame:
+def session_groups(sessions: DataFrame) -> DataFrame:
+    """current_sessions with its component; a session that names nobody is its own."""
+    return _placed_in(sessions, None)[0].drop("held")
+
+
+def assign_splits(sessions: DataFrame, targets: DataFrame, store: SplitStore | None = None) -> DataFrame:
     """session_id, component, group_therapist, old_split, split, status.
 
     status is ``kept`` (its component holds one split), ``new`` (none: it fills the split that lacks
     most of its share of ``targets``) or ``quarantined`` (two or more: split is null until settled).
 
+    With a ``store`` the components and splits of earlier loads count too, and the next version is
+    written: a component keeps its split whether or not it was written back to ``sessions``, a link
+    that joins components of different splits quarantines them, and they stay so in later loads.
+    Shares count the sessions of this load.
+
     Defined cases: of a session exported twice the newest row counts, null dates oldest; spellings
     of ids and splits are unified, placeholders and nulls link nothing; rows without a session id
     are left out; other columns are ignored; empty tables give no rows; no target with a positive
     share leaves new components without a split.
     """
-    rows = cut(session_groups(sessions))
+    rows, table, held_before = _placed_in(sessions, store)
+    rows = cut(rows)
     groups = rows.groupBy("component").agg(
-        F.sort_array(F.collect_set("split")).alias("have"), F.min("therapist").alias("group_therapist"), F.count("*").alias("n")
+        F.sort_array(F.array_union(F.collect_set("split"), F.first("held"))).alias("have"), F.min("therapist").alias("group_therapist"), F.count("*").alias("n")
     )
     groups = cut(
         groups.withColumn("status", F.when(F.size("have") == 1, "kept").when(F.size("have") == 0, "new").otherwise("quarantined"))
@@ -161,15 +200,25 @@ def assign_splits(sessions: DataFrame, targets: DataFrame) -> DataFrame:
     done = groups.join(new_split, "component", "left").select(
         "component", "group_therapist", "status", F.when(F.col("status") == "kept", F.col("have")[0]).when(F.col("status") == "new", F.col("filled")).alias("new_split")
     )
+    if store is not None:
+        done = cut(done)
+        now = groups.select("component", "have").join(done.select("component", "new_split"), "component")
+        now = now.select("component", F.when(F.col("new_split").isNull(), F.col("have")).otherwise(F.array("new_split")).alias("now"))
+        splits = F.coalesce("now", "held", F.array().cast("array<string>")).alias("splits")
+        store.save(table.join(now, "component", "left").join(held_before, "component", "left").select("node", "component", splits))
     return rows.join(done, "component").select(
         F.col("session").alias("session_id"), "component", "group_therapist", F.col("split").alias("old_split"), F.col("new_split").alias("split"), "status"
     )
 
 
-def split_conflicts(sessions: DataFrame) -> DataFrame:
-    """Sessions of groups that now carry two or more splits: session_id, group_therapist."""
-    rows = cut(session_groups(sessions))
-    bad = rows.groupBy("component").agg(F.count_distinct("split").alias("k"), F.min("therapist").alias("group_therapist")).filter("k > 1")
+def split_conflicts(sessions: DataFrame, store: SplitStore | None = None) -> DataFrame:
+    """Sessions of groups that now carry two or more splits: session_id, group_therapist.
+
+    With a ``store`` the splits it holds count too; it is read, ``assign_splits`` updates it.
+    """
+    rows = cut(_placed_in(sessions, store)[0])
+    have = F.array_union(F.collect_set("split"), F.first("held"))
+    bad = rows.groupBy("component").agg(F.size(have).alias("k"), F.min("therapist").alias("group_therapist")).filter("k > 1")
     return rows.join(bad, "component").select(F.col("session").alias("session_id"), "group_therapist")
 
 
