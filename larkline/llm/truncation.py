@@ -1,7 +1,7 @@
 """Texts that were cut off: aligned near-copies and the terminality of closing words.
 
 Near-copies share a band of MinHash values over five-word shingles; each bucket's
-members are aligned with its longest one, and a copy whose alignment ends inside
+members are aligned with its longest ones in turn, and a copy whose alignment ends inside
 a sentence of the longer text was cut. All others are scored by how their closing
 words end lines elsewhere: labels, signatures and list items end lines all over
 the corpus, a cut ends on words that elsewhere go on, or on the beginning of one.
@@ -16,7 +16,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkline.core import cut, source_name
@@ -158,15 +158,23 @@ def ends_early(short: str, long: str, least: float = 0.8) -> bool:
     if len(at) < 4:
         return False
     tail = [t[i:j] for i, j in at[-4:]]
-    full = re.compile(r"(?<!\S)" + r"\s+".join(map(re.escape, tail[:3])) + r"\s+" + re.escape(tail[3]))
+    full = re.compile(r"(?<!\S)(?=(" + r"\s+".join(map(re.escape, tail[:3])) + r"\s+" + re.escape(tail[3]) + "))")
+    before, best, stop = t.split()[-2::-1], (-1, 0), 0
     for m in full.finditer(long):
-        rest = long[m.end() :]
-        if not rest.strip():
-            return False
-        if re.match(r"\S", rest) and re.match(r"[^\W_]", rest):
-            return True  # inside a word
-        return not (CLOSED.search(long[: m.end()]) or re.match(r"\s*\n", rest))
-    return False
+        # The occurrence that the words before it share furthest back with the short text.
+        run = 0
+        for x, y in zip(before, long[: m.end(1)].split()[-2::-1]):  # noqa: B905
+            if x != y:
+                break
+            run += 1
+        if (run, -abs(m.end(1) - len(t))) > best:
+            best, stop = (run, -abs(m.end(1) - len(t))), m.end(1)
+    rest = long[stop:]
+    if not stop or not rest.strip():
+        return False
+    if re.match(r"[^\W_]", rest):
+        return True  # inside a word
+    return not (CLOSED.search(long[:stop]) or re.match(r"\s*\n", rest))
 
 
 def _aligned(closers: DataFrame, texts: DataFrame) -> DataFrame:
@@ -174,20 +182,34 @@ def _aligned(closers: DataFrame, texts: DataFrame) -> DataFrame:
     keyed = closers.filter(F.size("bands") > 0).select("id", "n", "text_key", F.posexplode("bands").alias("band", "h"))
     # Exact copies end alike: one of each text looks for a partner.
     one = keyed.groupBy("text_key", "band").agg(F.min(F.struct("h", "n", "id")).alias("x")).select("text_key", "band", "x.*")
-    best = one.groupBy("band", "h").agg(F.max(F.struct("n", "id")).alias("top"), F.count("*").alias("m")).filter("m > 1")
-    found = one.join(best, ["band", "h"]).filter(F.col("n") < F.col("top.n"))
-    pairs = found.select("id", "text_key", F.col("top.id").alias("other")).distinct()
-    t = texts.select(F.col("id").alias("i"), F.col("text"))
-    both = pairs.join(t.select(F.col("i").alias("id"), F.col("text").alias("short")), "id").join(
-        t.select(F.col("i").alias("other"), F.col("text").alias("long")), "other"
-    )
+    place = F.row_number().over(Window.partitionBy("band", "h").orderBy(F.desc("n"), F.desc("id")))
+    many = F.count("*").over(Window.partitionBy("band", "h"))
+    waiting = cut(one.withColumn("place", place).withColumn("many", many).filter("many > 1").drop("many"))
+    longer = waiting.select("band", "h", "place", F.col("n").alias("more"), F.col("id").alias("other"))
+    t = texts.select(F.col("id").alias("i"), F.col("text")).dropDuplicates(["i"])
 
     def judge(batches):
         for b in batches:
             hit = [ends_early(x, y) for x, y in zip(b.column("short").to_pylist(), b.column("long").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("text_key").filter(pa.array(hit, pa.bool_()))], names=["text_key"])
 
-    return both.select("text_key", "short", "long").mapInArrow(judge, "text_key string").distinct()
+    # Each bucket's longest member first, then twice as many of the next longer ones, until a text is
+    # found cut or has met all longer members of its buckets.
+    found, lo, hi = None, 1, 1
+    while True:
+        waiting = waiting.filter(F.col("place") > lo)
+        if waiting.isEmpty():
+            break
+        some = longer.filter(F.col("place").between(lo, hi)).drop("place")
+        pairs = waiting.join(some, ["band", "h"]).filter(F.col("n") < F.col("more")).select("id", "text_key", "other").distinct()
+        both = pairs.join(t.select(F.col("i").alias("id"), F.col("text").alias("short")), "id").join(
+            t.select(F.col("i").alias("other"), F.col("text").alias("long")), "other"
+        )
+        hit = cut(both.select("text_key", "short", "long").mapInArrow(judge, "text_key string").distinct())
+        found = hit if found is None else found.union(hit)
+        waiting = waiting.join(hit, "text_key", "left_anti")
+        lo, hi = hi + 1, hi + 2 * (hi - lo + 1)
+    return closers.select("text_key").limit(0) if found is None else found
 
 
 def truncated_documents(
