@@ -120,14 +120,8 @@ def _aligned(sentence: list[str], templates: list[list[str]], of_template: float
     return False
 
 
-# Fixed value: a word of this list stands in every refusal template.
-_CUE = re.compile(r"\b(?:i|we|me|my|ich|mir|this request|such material|solche inhalte)\b", re.I)
-
-
 def is_refusal(text: str) -> bool:
     """All that the text says, but courtesies, is that the task is declined."""
-    if not _CUE.search(text):
-        return False
     refused, other, total = 0, 0, 0
     for s in SENTENCE.split(re.sub(r"[\"“„][^\"”“]*[\"”“]", " ", text)):
         t = tokens(s)
