@@ -1,33 +1,45 @@
 """Texts that were cut off: aligned near-copies and the terminality of closing words.
 
-Near-copies share a band of MinHash values over five-word shingles; each bucket's
-members are aligned with its longest ones in turn, and a copy whose alignment ends inside
-a sentence of the longer text was cut. All others are scored by how their closing
-words end lines elsewhere: labels, signatures and list items end lines all over
-the corpus, a cut ends on words that elsewhere go on, or on the beginning of one.
+A cut copy is the beginning of its original, so MinHash bands over five-word shingles
+are taken of every text at doubling lengths from its start, and of the whole: a text
+meets the longer ones that begin like it however much it lost. Verified pairs (the
+shorter one's shingles lie in the longer one) are aligned, and a copy whose alignment
+ends inside a sentence of the longer text was cut. All others are scored by how their
+closing words end lines elsewhere: labels, signatures and list items end lines all
+over the corpus, a cut ends on words that elsewhere go on, or on the beginning of one.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkline.core import cut, source_name
+from larkline.llm.ranks import rank_within
 
-SHINGLE, BANDS, ROWS = 5, 16, 5
+SHINGLE, BANDS, ROWS = 5, 5, 4
+
+#: Shingles of the shortest beginning that is banded; texts of fewer words are scored by terminality alone.
+FIRST = 4
+
+#: Bits of the filters that keep what no judged text asks for out of the shuffles; joins decide afterwards.
+BITS = 1 << 23
+
+#: Words of an unfinished sentence up to which it is judged as a whole; of longer ones the last two.
+OPENER = 6
 
 # What is put behind a cut, and what closes a sentence.
 MARKER = re.compile(r"\s*(?:\[\s*(?:\.\.\.|…|cut|truncated|gekürzt|abgeschnitten)[^\]\n]*\]|\(\s*(?:\.\.\.|…)\s*\)|\.\.\.+|…)\s*$", re.I)
 CLOSED = re.compile(r"[.!?。！？][\"'”’»)\]*_]*$")
 NUMBER_DOT = re.compile(r"(?:^|\s)\d+\.$")
 DIGITS = re.compile(r"\d+")
+SENTENCE = re.compile(r"(?<=[.!?])\s+")
 TRAIL = ".,;:!?"
 
 _P = (1 << 61) - 1
@@ -40,8 +52,8 @@ def masked(word: str) -> str:
     return DIGITS.sub("9", word.lower())
 
 
-def shingles(text: str) -> np.ndarray:
-    """Distinct hashes of the five-word shingles; a shorter text is one shingle; none without words."""
+def _hashes(text: str) -> np.ndarray:
+    """Hashes of the five-word shingles in order; a shorter text is one shingle; none without words."""
     t = np.fromiter((zlib.crc32(w.encode()) for w in text.lower().split()), np.uint64)
     if not len(t):
         return t
@@ -50,112 +62,172 @@ def shingles(text: str) -> np.ndarray:
     for k in range(min(SHINGLE, len(t))):
         h = h * np.uint64(0x9E3779B97F4A7C15) + t[k : k + n]
     h ^= h >> np.uint64(29)
-    return np.unique(h * np.uint64(0xBF58476D1CE4E5B9))
+    return h * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def bands(text: str) -> list[int]:
-    """One hash a band of the text's MinHash values."""
-    h = shingles(text)
-    if not len(h):
-        return []
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+def shingles(text: str) -> np.ndarray:
+    """Distinct hashes of the five-word shingles."""
+    return np.unique(_hashes(text))
+
+
+def _lowest(h: np.ndarray, low: np.ndarray) -> np.ndarray:
     for s in range(0, len(h), 4096):
         x = (h[s : s + 4096] >> np.uint64(31))[None, :] * _A[:, None] + _B[:, None]
         x ^= h[s : s + 4096][None, :] << np.uint64(7)
         x = x * _A[::-1, None]
         low = np.minimum(low, (x ^ (x >> np.uint64(33))).min(1))
-    rows = low.reshape(BANDS, ROWS)
-    out = np.zeros(BANDS, np.uint64)
+    return low
+
+
+def bands(text: str) -> tuple[list[int], list[int]]:
+    """Keys of the text's MinHash bands, and those of them under which it looks for its original.
+
+    Bands are taken of the first 4, 8, 16 and so on shingles and of all. A cut copy asks with its two
+    longest beginnings, which its original has too, and with its whole.
+    """
+    h = _hashes(text)
+    if len(h) < FIRST:
+        return [], []
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    lows, at, size = [], 0, FIRST
+    while size <= len(h):
+        low = _lowest(h[at:size], low)
+        lows.append((size, low))
+        at, size = size, 2 * size
+    lows.append((0, _lowest(h[at:], low)))
+    own = np.stack([x for _, x in lows]).reshape(len(lows), BANDS, ROWS)
+    out = np.array([n for n, _ in lows], np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(BANDS, dtype=np.uint64)[None, :]
     for k in range(ROWS):
-        out = (out ^ rows[:, k]) * np.uint64(0x100000001B3)
-    return out.astype(np.int64).tolist()
+        out = (out ^ own[:, :, k]) * np.uint64(0x100000001B3)
+        out ^= out >> np.uint64(31)
+    ask = [i for i, (n, _) in enumerate(lows) if 0 < n < len(h)][-2:] + [len(lows) - 1]
+    return out.astype(np.int64).ravel().tolist(), out[ask].astype(np.int64).ravel().tolist()
+
+
+def _word_hash(word: str) -> int:
+    return zlib.crc32(word.encode())
+
+
+def _grown(h: int, word: int) -> int:
+    """Hash of an unfinished sentence with one more word."""
+    return ((h ^ word) * 0x100000001B3 + 0x9E3779B9) & 0x7FFFFFFFFFFFFFFF
 
 
-def closing(text: str) -> tuple[str, str | None, str | None]:
-    """How a text ends: kind, and the masked last two words of its last line.
+def closing(text: str) -> tuple[str, str | None, str | None, int | None]:
+    """How a text ends: kind, the masked last two words of its unfinished sentence, the hash of all of it.
 
     Kinds: empty, closed (a sentence's end), marked (a cut mark inside a sentence), number (a
-    number and a point, perhaps cut inside a decimal), open (anything else).
+    number and a point, perhaps cut inside a decimal), open (anything else). A sentence of one word
+    has ``^`` before it; of more than ``OPENER`` words there is no hash of the whole.
     """
     t = text.rstrip()
     if not t:
-        return "empty", None, None
+        return "empty", None, None, None
     m = MARKER.search(t)
     if m and m.start() < len(t):
         t = t[: m.start()].rstrip()
-        return ("marked" if t and not CLOSED.search(t) else "closed"), None, None
+        return ("marked" if t and not CLOSED.search(t) else "closed"), None, None, None
     closed = bool(CLOSED.search(t))
     if closed and not NUMBER_DOT.search(t):
-        return "closed", None, None
-    words = t[t.rfind("\n") + 1 :].split()
-    last = words[-1].rstrip(TRAIL) or words[-1]
-    before = masked(words[-2].rstrip(TRAIL) or words[-2]) if len(words) > 1 else "^"
-    return ("number" if closed else "open"), before, masked(last)
-
-
-def word_ends(documents: DataFrame, text: str = "text", flush: int = 200_000) -> DataFrame:
-    """Of each word pair of the corpus, how often it goes on, closes a sentence, or bare a line.
-
-    Columns: before, word, on, shut, bare. Counted per partition before anything is shuffled. The
-    bare ends of whole texts are left out: those are what is judged.
+        return "closed", None, None, None
+    words = [masked(w.rstrip(TRAIL) or w) for w in SENTENCE.split(t[t.rfind("\n") + 1 :])[-1].split()]
+    whole = None
+    if len(words) <= OPENER:
+        whole = 0
+        for w in words:
+            whole = _grown(whole, _word_hash(w))
+    return ("number" if closed else "open"), words[-2] if len(words) > 1 else "^", words[-1], whole
+
+
+def bit_filter(keys: DataFrame, key: str) -> bytes:
+    """One byte for each of ``BITS`` places, 1 where a key falls; its size does not depend on the data."""
+    at = F.pmod(F.col(key), F.lit(BITS))
+    words = keys.filter(F.col(key).isNotNull()).groupBy(F.floor(at / 64).alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))).alias("x"))
+    got = words.toArrow()
+    full = np.zeros(BITS // 64, np.int64)
+    full[got.column("i").to_numpy()] = got.column("x").to_numpy()
+    return np.unpackbits(full.view(np.uint8), bitorder="little").tobytes()
+
+
+def word_ends(documents: DataFrame, asked: bytes | None = None, text: str = "text", flush: int = 200_000) -> DataFrame:
+    """How often each word pair, and each beginning of a sentence, goes on, closes a sentence, or bare a line.
+
+    Columns: before, word, seg, on, shut, bare; pairs have no seg, beginnings (up to ``OPENER``
+    words) no words. Only what ``asked`` may hold is returned. Counted per partition before anything
+    is shuffled. The bare ends of whole texts are left out: those are what is judged.
     """
+    asked = asked or b"\1" * BITS
 
     def count(batches):
-        seen: dict[tuple[str, str], list[int]] = {}
-        cache: dict[str, tuple[str, bool]] = {}
+        seen: dict = {}
+        cache: dict[str, tuple[str, bool, int, int]] = {}
+        start = asked[_word_hash("^") % BITS]
 
         def out():
             keys = list(seen)
-            cols = [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys])]
+            cols = [pa.array([None if type(k) is int else k[i] for k in keys], pa.string()) for i in (0, 1)]
+            cols.append(pa.array([k if type(k) is int else None for k in keys], pa.int64()))
             cols += [pa.array([seen[k][i] for k in keys], pa.int64()) for i in range(3)]
-            return pa.RecordBatch.from_arrays(cols, names=["before", "word", "on", "shut", "bare"])
+            return pa.RecordBatch.from_arrays(cols, names=["before", "word", "seg", "on", "shut", "bare"])
 
         for b in batches:
-            lines: Counter[str] = Counter()
+            parts: Counter[tuple[str, int]] = Counter()
             for t in b.column(0).to_pylist():
-                t = t.rstrip()
-                rows = t.split("\n")
-                for line in rows[:-1]:
-                    lines[line] += 1
-                if rows[-1]:
-                    lines[rows[-1] + "\0"] += 1
-            for line, n in lines.items():
-                whole = line.endswith("\0")
-                words = line.rstrip("\0").split()
-                before = "^"
+                lines = t.rstrip().split("\n")
+                for k, line in enumerate(lines):
+                    sentences = SENTENCE.split(line)
+                    last = len(sentences) - 1
+                    for i, x in enumerate(sentences):
+                        parts[x, 0 if i < last else 1 if k < len(lines) - 1 else 2] += 1
+            for (sentence, end), n in parts.items():
+                before, asks, whole = "^", start, 0
+                words = sentence.split()
+                final = len(words) - 1
                 for i, w in enumerate(words):
                     got = cache.get(w)
                     if got is None:
                         if len(cache) > flush:
                             cache.clear()
-                        got = cache[w] = (masked(w.rstrip(TRAIL) or w), w[-1] in TRAIL and w[-1] != ":")
-                    word, shut = got
-                    last = i == len(words) - 1
-                    if not (last and whole and not shut):
-                        c = seen.setdefault((before, word), [0, 0, 0])
-                        c[1 if shut else 2 if last else 0] += n
-                    before = word
+                        m = masked(w.rstrip(TRAIL) or w)
+                        h = _word_hash(m)
+                        got = cache[w] = (m, w[-1] in TRAIL and w[-1] != ":", h, asked[h % BITS])
+                    word, shut, h, ask = got
+                    if i < OPENER:
+                        whole = _grown(whole, h)
+                    if not (i == final and end == 2 and not shut):
+                        how = 1 if shut else 2 if i == final and end else 0
+                        if asks:
+                            c = seen.get((before, word))
+                            if c is None:
+                                c = seen[before, word] = [0, 0, 0]
+                            c[how] += n
+                        if i < OPENER and asked[whole % BITS]:
+                            c = seen.get(whole)
+                            if c is None:
+                                c = seen[whole] = [0, 0, 0]
+                            c[how] += n
+                    before, asks = word, ask
             if len(seen) > flush:
                 yield out()
                 seen.clear()
         yield out()
 
     rows = documents.select(text).filter(F.col(text).isNotNull())
-    found = rows.mapInArrow(count, "before string, word string, on long, shut long, bare long")
-    return found.groupBy("before", "word").agg(*[F.sum(c).alias(c) for c in ("on", "shut", "bare")])
+    found = rows.mapInArrow(count, "before string, word string, seg long, on long, shut long, bare long")
+    return found.groupBy("before", "word", "seg").agg(*[F.sum(c).alias(c) for c in ("on", "shut", "bare")])
 
 
 def ends_early(short: str, long: str, least: float = 0.8) -> bool:
-    """The texts are near-copies and the short one's alignment stops inside a sentence of the long one."""
-    a, b = shingles(short), shingles(long)
-    if not len(a) or not len(b):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    if both < least * (len(a) + len(b) - both):
-        return False
+    """The long text holds the short one, whose alignment stops inside a sentence of the long one.
+
+    Held: at least ``least`` of the short text's shingles, without the one at its cut, are in the long one.
+    """
     t = MARKER.sub("", short.rstrip())
     at = [m.span() for m in re.finditer(r"\S+", t)]
-    if len(at) < 4:
+    if len(at) <= SHINGLE:
+        return False
+    a, b = shingles(t[: at[-2][1]]), shingles(long)
+    if not len(b) or len(np.intersect1d(a, b, assume_unique=True)) < least * len(a):
         return False
     tail = [t[i:j] for i, j in at[-4:]]
     full = re.compile(r"(?<!\S)(?=(" + r"\s+".join(map(re.escape, tail[:3])) + r"\s+" + re.escape(tail[3]) + "))")
@@ -177,39 +249,54 @@ def ends_early(short: str, long: str, least: float = 0.8) -> bool:
     return not (CLOSED.search(long[:stop]) or re.match(r"\s*\n", rest))
 
 
-def _aligned(closers: DataFrame, texts: DataFrame) -> DataFrame:
-    """Ids of documents that a longer near-copy shows to be cut."""
-    keyed = closers.filter(F.size("bands") > 0).select("id", "n", "text_key", F.posexplode("bands").alias("band", "h"))
-    # Exact copies end alike: one of each text looks for a partner.
-    one = keyed.groupBy("text_key", "band").agg(F.min(F.struct("h", "n", "id")).alias("x")).select("text_key", "band", "x.*")
-    place = F.row_number().over(Window.partitionBy("band", "h").orderBy(F.desc("n"), F.desc("id")))
-    many = F.count("*").over(Window.partitionBy("band", "h"))
-    waiting = cut(one.withColumn("place", place).withColumn("many", many).filter("many > 1").drop("many"))
-    longer = waiting.select("band", "h", "place", F.col("n").alias("more"), F.col("id").alias("other"))
-    t = texts.select(F.col("id").alias("i"), F.col("text")).dropDuplicates(["i"])
+def _aligned(sketches: DataFrame, texts: DataFrame, first: int = 8) -> DataFrame:
+    """Ids of texts that a longer near-copy shows to be cut: id.
+
+    ``sketches``: id, n (length), keys, ask; ``texts``: id, text; ids are those of texts, so exact
+    copies have one. Members of a bucket are numbered, whatever its size, by salted ranks; those that
+    ask meet the first ``first`` of them, then eight times as many of the next, until they are found
+    cut or have met all: only hot buckets of texts that begin alike and are not cut take more rounds.
+    """
+    asks = sketches.filter(F.size("ask") > 0).select("id", "n", F.explode("ask").alias("key")).distinct()
+    wanted = bit_filter(asks, "key")
+
+    def members(batches):
+        flags = np.frombuffer(wanted, np.uint8)
+        for b in batches:
+            keys = b.column("keys")
+            flat = keys.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(b.num_rows), keys.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            hit = np.flatnonzero(flags[flat % BITS])
+            at = pa.array(row[hit])
+            yield pa.RecordBatch.from_arrays([pa.array(flat[hit]), b.column("id").take(at), b.column("n").take(at)], names=["key", "other", "more"])
+
+    known = sketches.select("id", "n", "keys").filter(F.size("keys") > 0).mapInArrow(members, "key long, other long, more long").distinct()
+    known = known.join(asks.select("key").distinct(), "key", "left_semi")
+    longer = cut(rank_within(known, ["key"], [F.desc("more"), F.col("other")], F.xxhash64("other"), "place"))
+    t = texts.select("id", "text")
 
     def judge(batches):
         for b in batches:
             hit = [ends_early(x, y) for x, y in zip(b.column("short").to_pylist(), b.column("long").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("text_key").filter(pa.array(hit, pa.bool_()))], names=["text_key"])
-
-    # Each bucket's longest member first, then twice as many of the next longer ones, until a text is
-    # found cut or has met all longer members of its buckets.
-    found, lo, hi = None, 1, 1
-    while True:
-        waiting = waiting.filter(F.col("place") > lo)
-        if waiting.isEmpty():
-            break
+            yield pa.RecordBatch.from_arrays([b.column("id").filter(pa.array(hit, pa.bool_()))], names=["id"])
+
+    most = longer.agg(F.max("place")).first()[0]
+    waiting, found, lo, hi = asks, None, 0, first - 1
+    while most is not None and lo <= most:
         some = longer.filter(F.col("place").between(lo, hi)).drop("place")
-        pairs = waiting.join(some, ["band", "h"]).filter(F.col("n") < F.col("more")).select("id", "text_key", "other").distinct()
-        both = pairs.join(t.select(F.col("i").alias("id"), F.col("text").alias("short")), "id").join(
-            t.select(F.col("i").alias("other"), F.col("text").alias("long")), "other"
-        )
-        hit = cut(both.select("text_key", "short", "long").mapInArrow(judge, "text_key string").distinct())
+        pairs = cut(waiting.join(some, "key").filter(F.col("n") < F.col("more")).select("id", "other").distinct())
+        need = pairs.select("id").union(pairs.select("other")).distinct()
+        have = t.join(need, "id", "left_semi").dropDuplicates(["id"])
+        both = pairs.join(have.withColumnRenamed("text", "short"), "id").join(have.select(F.col("id").alias("other"), F.col("text").alias("long")), "other")
+        hit = cut(both.select("id", "short", "long").mapInArrow(judge, "id long").distinct())
         found = hit if found is None else found.union(hit)
-        waiting = waiting.join(hit, "text_key", "left_anti")
-        lo, hi = hi + 1, hi + 2 * (hi - lo + 1)
-    return closers.select("text_key").limit(0) if found is None else found
+        waiting = waiting.join(hit, "id", "left_anti")
+        lo, hi = hi + 1, hi + 8 * (hi - lo + 1)
+    return sketches.select("id").limit(0) if found is None else found
+
+
+def _share(end: Column, total: Column, prior: float, usual: Column) -> Column:
+    return (end + prior * usual) / (total + prior)
 
 
 def truncated_documents(
@@ -219,54 +306,67 @@ def truncated_documents(
 
     reason is ``copy_ends_early``, ``cut_mark``, ``fragment`` (the last word is the beginning of
     what usually follows), ``open_end`` (its closing words rarely end a line), or null where the
-    text is whole. Terminality is bare ends over all occurrences of the two closing words.
+    text is whole. Terminality is bare ends over all occurrences: of the unfinished sentence as a
+    whole among the other texts, as far as they hold it, and of its two closing words.
 
     Defined cases: null, empty and blank texts are not cut; whole texts of any length are read;
     exact copies get the same answer and count once as evidence; ids may repeat or be null, each
     row is answered; other columns are ignored; an empty table gives no rows.
     """
-    docs = documents.select(F.col(id_col).alias("doc"), F.col(text).alias("text")).withColumn("id", F.xxhash64("doc", "text"))
+    docs = documents.select(F.col(id_col).alias("doc"), F.col(text).alias("text")).withColumn("id", F.xxhash64("text", F.length("text")))
     kind = dict(docs.dtypes)["doc"]
 
     def read(batches):
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
             ends = [closing(t) for t in texts]
+            keys = [bands(MARKER.sub("", t.rstrip())) for t in texts]
+            asks = [k[1] if e[0] in ("open", "number") else [] for k, e in zip(keys, ends, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column("doc"), b.column("id"), pa.array([hashlib.md5(t.encode("utf-8", "replace")).hexdigest() for t in texts]),
-                    pa.array([len(t) for t in texts], pa.int64()), pa.array([bands(t) for t in texts], pa.list_(pa.int64())),
-                    *(pa.array([e[i] for e in ends], pa.string()) for i in range(3)),
+                    b.column("doc"), b.column("id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([k[0] for k in keys], pa.list_(pa.int64())),
+                    pa.array(asks, pa.list_(pa.int64())), *(pa.array([e[i] for e in ends], pa.string()) for i in range(3)),
+                    pa.array([e[3] for e in ends], pa.int64()), pa.array([None if e[1] is None else _word_hash(e[1]) for e in ends], pa.int64()),
                 ],
-                names=["doc", "id", "text_key", "n", "bands", "kind", "before", "word"],
+                names=["doc", "id", "n", "keys", "ask", "kind", "before", "word", "seg", "bh"],
             )
 
-    closers = cut(
-        docs.mapInArrow(read, f"doc {kind}, id long, text_key string, n long, bands array<long>, kind string, before string, word string")
-    )
+    schema = f"doc {kind}, id long, n long, keys array<long>, ask array<long>, kind string, before string, word string, seg long, bh long"
+    closers = cut(docs.mapInArrow(read, schema))
     early = _aligned(closers, docs).withColumn("early", F.lit(True))
-    ends = cut(word_ends(documents, text))
-    judged = closers.filter(F.col("kind").isin("open", "number")).groupBy("before", "word").agg(
-        F.count_distinct(F.when(F.col("kind") == "open", F.col("text_key"))).alias("own")
+    unsure = closers.filter(F.col("kind").isin("open", "number")).select("id", "kind", "before", "word", "seg", "bh").distinct()
+    asked = bit_filter(unsure.select(F.explode(F.array("seg", "bh")).alias("key")), "key")
+    ends = cut(word_ends(documents, asked, text))
+    is_open = F.when(F.col("kind") == "open", 1)
+    judged = unsure.groupBy("before", "word").agg(F.count(is_open).alias("own"))
+    pairs = ends.filter("seg is null").join(judged.select("before").distinct(), "before", "left_semi")
+    begun = pairs.filter(F.length("word") > 1).select(
+        "before", F.explode(F.expr("transform(sequence(1, length(word) - 1), i -> substring(word, 1, i))")).alias("word"), F.expr("on + shut + bare").alias("c")
     )
-    begun = ends.select("before", F.explode(F.expr("transform(sequence(1, greatest(length(word) - 1, 1)), i -> substring(word, 1, i))")).alias("word"),
-                        F.length("word").alias("l"), F.expr("on + shut + bare").alias("c"))
-    begun = begun.filter(F.length("word") < F.col("l")).groupBy("before", "word").agg(F.sum("c").alias("more"))
-    known = judged.join(ends, ["before", "word"], "left").join(begun, ["before", "word"], "left").na.fill(0)
+    begun = begun.groupBy("before", "word").agg(F.sum("c").alias("more"))
+    known = judged.join(pairs.drop("seg"), ["before", "word"], "left").join(begun, ["before", "word"], "left").na.fill(0)
     total = F.col("on") + F.col("shut") + F.col("bare") + F.col("own")
     scored = known.select(
         "before", "word",
-        ((F.col("bare") + F.col("own")) / (total + prior)).alias("terminality"),
+        _share(F.col("bare") + F.col("own"), total, prior, F.lit(0.0)).alias("usual"),
         (F.col("more") / (F.col("more") + total)).alias("fragment"),
     )
-    rows = closers.drop("bands", "n").join(scored, ["before", "word"], "left").join(early, "text_key", "left")
+    wholes = unsure.filter("seg is not null").groupBy("seg").agg(F.count(is_open).alias("s_own"))
+    wholes = wholes.join(ends.filter("seg is not null").select("seg", F.col("on").alias("s_on"), F.col("shut").alias("s_shut"), F.col("bare").alias("s_bare")), "seg", "left").na.fill(0)
+    rows = closers.select("doc", "id", "kind", "before", "word", "seg").join(scored, ["before", "word"], "left").join(wholes, "seg", "left").join(early, "id", "left")
+    # Of the whole sentence the other texts' ends count, its own is what is judged.
+    others = F.greatest(F.col("s_own") - is_open, F.lit(0))
+    end = F.coalesce(F.col("s_bare") + others, F.lit(0))
+    all_of = F.coalesce(F.col("s_on") + F.col("s_shut") + F.col("s_bare") + others, F.lit(0))
+    terminality = F.when(F.col("kind") == "open", _share(end, all_of, 1.0, F.coalesce("usual", F.lit(0.0))))
+    settled = (end > 1) & (terminality >= 0.5)
     reason = (
-        F.when(F.col("early"), "copy_ends_early")
+        F.when(F.col("early") & ~F.coalesce(settled, F.lit(False)), "copy_ends_early")
         .when(F.col("kind") == "marked", "cut_mark")
         .when(F.col("kind").isin("open", "number") & (F.col("fragment") > max_fragment), "fragment")
-        .when((F.col("kind") == "open") & (F.coalesce("terminality", F.lit(0.0)) < min_terminality), "open_end")
+        .when((F.col("kind") == "open") & (terminality < min_terminality), "open_end")
     )
-    return rows.select(F.col("doc").alias(id_col), reason.isNotNull().alias("is_cut"), reason.alias("reason"), F.round("terminality", 6).alias("terminality"))
+    return rows.select(F.col("doc").alias(id_col), reason.isNotNull().alias("is_cut"), reason.alias("reason"), F.round(terminality, 6).alias("terminality"))
 
 
 def cut_rates(documents: DataFrame, id_col: str = "doc_id", source: str = "source", **options) -> DataFrame:

@@ -4,15 +4,21 @@ from larkline.llm import truncation
 
 
 def test_copies_meet_all_longer_texts(spark):
+    """All texts in one bucket; only the last of thirty longer ones is the original."""
     words = [f"w{i}" for i in range(120)]
-    mid = " ".join(words[:100]) + "."
-    texts = {"short": " ".join(words[:90]), "mid": mid, "long": mid + " " + " ".join(words[100:]) + "."}
-    texts |= {f"far{k}": " ".join(f"x{k}y{i}" for i in range(150 + k)) + "." for k in range(6)}
+    texts = {"short": " ".join(words[:90]), "original": " ".join(words[:100]) + "."}
+    texts |= {f"far{k}": " ".join(f"x{k}y{i}" for i in range(150 + k)) + "." for k in range(30)}
     ids = {k: i for i, k in enumerate(texts)}
-    closers = spark.createDataFrame([(ids[k], len(x), k, [7]) for k, x in texts.items()], "id long, n long, text_key string, bands array<long>")
+    sketches = spark.createDataFrame([(ids[k], len(x), [7], [7] if k == "short" else []) for k, x in texts.items()], "id long, n long, keys array<long>, ask array<long>")
     t = spark.createDataFrame([(ids[k], x) for k, x in texts.items()], "id long, text string")
-    assert not truncation.ends_early(texts["short"], texts["long"]) and truncation.ends_early(texts["short"], mid)
-    assert [r.text_key for r in truncation._aligned(closers, t).collect()] == ["short"]
+    assert [r.id for r in truncation._aligned(sketches, t, first=2).collect()] == [ids["short"]]
+
+
+def test_containment_not_similarity():
+    words = [f"w{i}" for i in range(120)]
+    long = " ".join(words)
+    assert truncation.ends_early(" ".join(words[:30]), long) and truncation.ends_early(long[:100], long)
+    assert not truncation.ends_early(" ".join([*words[:30], *(f"x{i}" for i in range(30))]), long)
 
 
 def test_ends_are_judged_where_they_align():

@@ -60,9 +60,40 @@ def test_bands_meet_near_copies():
         a = [f"w{rnd.randint(0, 5000)}" for _ in range(200)]
         b = list(a)
         b[rnd.randrange(200)] = "changed"
-        met += bool(set(enumerate(truncation.bands(" ".join(a)))) & set(enumerate(truncation.bands(" ".join(b)))))
-        far += bool(set(enumerate(truncation.bands(" ".join(a)))) & set(enumerate(truncation.bands(" ".join(reversed(a))))))
+        ask = set(truncation.bands(" ".join(b[:-5]))[1])
+        met += bool(ask & set(truncation.bands(" ".join(a))[0]))
+        far += bool(ask & set(truncation.bands(" ".join(reversed(a)))[0]))
     assert met >= 99 and far == 0
+    assert truncation.bands("too few words") == ([], [])
+
+
+@pytest.mark.parametrize("kept", [0.2, 0.5, 0.8])
+@pytest.mark.parametrize("changed", [0.0, 0.02])
+def test_planted_cuts_are_found_by_alignment(spark, kept, changed):
+    """Copies that lost a part of their end, a few words altered: recall of the alignment alone."""
+    rnd = random.Random(round(kept * 10 + changed * 1000))
+    rows, cuts = [], set()
+    for i in range(150):
+        words = [f"v{rnd.randint(0, 3000)}" for _ in range(rnd.randint(80, 400))]
+        rows.append((2 * i, " ".join(words) + "."))
+        at = int(len(words) * kept)
+        copy = [f"c{rnd.randint(0, 99)}" if j < at - 4 and rnd.random() < changed else w for j, w in enumerate(words[:at])]
+        rows.append((2 * i + 1, " ".join(copy)))
+        a, b = truncation.shingles(" ".join(copy[:-1])), set(truncation.shingles(" ".join(words)))
+        if sum(x in b for x in a) >= 0.8 * len(a):  # else too much was altered for a copy
+            cuts.add(2 * i + 1)
+    found = truncation.truncated_documents(spark.createDataFrame(rows, "doc_id long, text string")).filter("reason = 'copy_ends_early'")
+    got = {r.doc_id for r in found.collect()}
+    assert len(cuts) >= 100 and got <= cuts and len(got) >= (0.99 if not changed else 0.9) * len(cuts)
+
+
+def test_labels_and_status_lines_are_whole(spark):
+    """Closing words that go on elsewhere are whole where the line they stand in ends all over the corpus."""
+    rnd = random.Random(3)
+    rows = [(i, sentences(rnd, 4) + " It is seen in lead II and in lead III. The end of the talk is near." + rnd.choice(["\nAnswer: lead II", "\nEnd of the talk"])) for i in range(30)]
+    rows += [(100 + i, sentences(rnd, 4) + x) for i, x in enumerate([" It is seen in lead", " The end of the", "\nAnswer: lea", "\nAnswer: lead"])]
+    got = {r.doc_id: r.is_cut for r in truncation.truncated_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i, c in got.items() if c} == {100, 101, 102, 103}
 
 
 def test_edges(spark):
