@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from larkline.core import cut, source_name
 from larkline.llm.ranks import rank_within
 
-SHINGLE, BANDS, ROWS = 5, 5, 4
+SHINGLE, BANDS, ROWS = 5, 7, 4
 
 #: Shingles of the shortest beginning that is banded; texts of fewer words are scored by terminality alone.
 FIRST = 4
@@ -70,38 +70,52 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(_hashes(text))
 
 
-def _lowest(h: np.ndarray, low: np.ndarray) -> np.ndarray:
-    for s in range(0, len(h), 4096):
-        x = (h[s : s + 4096] >> np.uint64(31))[None, :] * _A[:, None] + _B[:, None]
-        x ^= h[s : s + 4096][None, :] << np.uint64(7)
-        x = x * _A[::-1, None]
-        low = np.minimum(low, (x ^ (x >> np.uint64(33))).min(1))
-    return low
+def _lowest(h: np.ndarray, starts: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+    """MinHash values of the stretches of ``h`` that begin at ``starts``: one row a stretch."""
+    cuts = np.union1d(starts, np.arange(0, len(h), step))
+    parts = []
+    for s in range(0, len(h), step):
+        x = (h[s : s + step] >> np.uint64(31))[None, :] * _A[:, None] + _B[:, None]
+        x ^= h[s : s + step][None, :] << np.uint64(7)
+        x *= _A[::-1, None]
+        x ^= x >> np.uint64(33)
+        parts.append(np.minimum.reduceat(x, cuts[(cuts >= s) & (cuts < s + step)] - s, axis=1))
+    return np.minimum.reduceat(np.concatenate(parts, 1), np.searchsorted(cuts, starts), axis=1).T
 
 
-def bands(text: str) -> tuple[list[int], list[int]]:
-    """Keys of the text's MinHash bands, and those of them under which it looks for its original.
+def bands(texts: list[str]) -> list[tuple[list[int], list[int]]]:
+    """Of each text the keys of its MinHash bands, and those under which it looks for its original.
 
-    Bands are taken of the first 4, 8, 16 and so on shingles and of all. A cut copy asks with its two
-    longest beginnings, which its original has too, and with its whole.
+    Bands are taken of the first 4, 8, 16 and so on shingles and of all. A cut copy asks with its
+    longest beginning, which its original has too, and with its whole.
     """
-    h = _hashes(text)
-    if len(h) < FIRST:
-        return [], []
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    lows, at, size = [], 0, FIRST
-    while size <= len(h):
-        low = _lowest(h[at:size], low)
-        lows.append((size, low))
-        at, size = size, 2 * size
-    lows.append((0, _lowest(h[at:], low)))
-    own = np.stack([x for _, x in lows]).reshape(len(lows), BANDS, ROWS)
-    out = np.array([n for n, _ in lows], np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(BANDS, dtype=np.uint64)[None, :]
+    out: list[tuple[list[int], list[int]]] = [([], [])] * len(texts)
+    hashes = [_hashes(t) for t in texts]
+    has = [i for i, h in enumerate(hashes) if len(h) >= FIRST]
+    if not has:
+        return out
+    n = np.array([len(hashes[i]) for i in has])
+    begin = np.concatenate(([0], np.cumsum(n)[:-1]))
+    # A text's stretches: 0, 4, 8, 16 ...; the one behind its last whole beginning may be empty.
+    steps = np.log2(n // FIRST).astype(int) + 1  # beginnings of the text
+    steps += (FIRST << steps) <= n
+    steps -= (FIRST << (steps - 1)) > n
+    low = np.full((len(has), steps.max() + 1, BANDS * ROWS), np.iinfo(np.uint64).max, np.uint64)
+    edge = np.concatenate(([0], FIRST << np.arange(steps.max() + 1)))
+    text, scale = np.nonzero((np.arange(steps.max() + 1)[None, :] <= steps[:, None]) & (edge[: steps.max() + 1][None, :] < n[:, None]))
+    low[text, scale] = _lowest(np.concatenate([hashes[i] for i in has]), begin[text] + edge[scale])
+    low = np.minimum.accumulate(low, 1).reshape(len(has), -1, BANDS, ROWS)
+    size = np.where(np.arange(low.shape[1])[None, :] < steps[:, None], edge[1 : low.shape[1] + 1][None, :], 0).astype(np.uint64)
+    key = size[:, :, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(BANDS, dtype=np.uint64)
     for k in range(ROWS):
-        out = (out ^ own[:, :, k]) * np.uint64(0x100000001B3)
-        out ^= out >> np.uint64(31)
-    ask = [i for i, (n, _) in enumerate(lows) if 0 < n < len(h)][-2:] + [len(lows) - 1]
-    return out.astype(np.int64).ravel().tolist(), out[ask].astype(np.int64).ravel().tolist()
+        key = (key ^ low[:, :, :, k]) * np.uint64(0x100000001B3)
+        key ^= key >> np.uint64(31)
+    key = key.astype(np.int64)
+    for j, i in enumerate(has):
+        own = key[j, : steps[j] + 1]
+        ask = [s for s in range(steps[j]) if edge[s + 1] < n[j]][-1:] + [steps[j]]
+        out[i] = own.ravel().tolist(), own[ask].ravel().tolist()
+    return out
 
 
 def _word_hash(word: str) -> int:
@@ -226,11 +240,15 @@ def ends_early(short: str, long: str, least: float = 0.8) -> bool:
     at = [m.span() for m in re.finditer(r"\S+", t)]
     if len(at) <= SHINGLE:
         return False
-    a, b = shingles(t[: at[-2][1]]), shingles(long)
-    if not len(b) or len(np.intersect1d(a, b, assume_unique=True)) < least * len(a):
-        return False
     tail = [t[i:j] for i, j in at[-4:]]
+    if not all(w in long for w in tail):
+        return False
     full = re.compile(r"(?<!\S)(?=(" + r"\s+".join(map(re.escape, tail[:3])) + r"\s+" + re.escape(tail[3]) + "))")
+    if not full.search(long):
+        return False
+    a, b = shingles(t[: at[-2][1]]), shingles(long)
+    if len(np.intersect1d(a, b, assume_unique=True)) < least * len(a):
+        return False
     before, best, stop = t.split()[-2::-1], (-1, 0), 0
     for m in full.finditer(long):
         # The occurrence that the words before it share furthest back with the short text.
@@ -320,7 +338,7 @@ def truncated_documents(
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
             ends = [closing(t) for t in texts]
-            keys = [bands(MARKER.sub("", t.rstrip())) for t in texts]
+            keys = bands([MARKER.sub("", t.rstrip()) for t in texts])
             asks = [k[1] if e[0] in ("open", "number") else [] for k, e in zip(keys, ends, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [

@@ -60,11 +60,19 @@ def test_bands_meet_near_copies():
         a = [f"w{rnd.randint(0, 5000)}" for _ in range(200)]
         b = list(a)
         b[rnd.randrange(200)] = "changed"
-        ask = set(truncation.bands(" ".join(b[:-5]))[1])
-        met += bool(ask & set(truncation.bands(" ".join(a))[0]))
-        far += bool(ask & set(truncation.bands(" ".join(reversed(a)))[0]))
-    assert met >= 99 and far == 0
-    assert truncation.bands("too few words") == ([], [])
+        (_, ask), (own, _), (other, _) = truncation.bands([" ".join(b[:-5]), " ".join(a), " ".join(reversed(a))])
+        met += bool(set(ask) & set(own))
+        far += bool(set(ask) & set(other))
+    assert met >= 98 and far == 0
+    assert truncation.bands(["too few words", ""]) == [([], []), ([], [])]
+
+
+def test_bands_do_not_depend_on_the_batch():
+    rnd = random.Random(2)
+    texts = [" ".join(f"w{rnd.randint(0, 999)}" for _ in range(n)) for n in [8, 9, 11, 12, 13, 0, 3, 20, 68, 70_000, 132, 5]]
+    assert truncation.bands(texts) == [truncation.bands([t])[0] for t in texts]
+    long, cut = texts[9], " ".join(texts[9].split()[:40_000])
+    assert set(truncation.bands([cut])[0][1]) & set(truncation.bands([long])[0][0])
 
 
 @pytest.mark.parametrize("kept", [0.2, 0.5, 0.8])
