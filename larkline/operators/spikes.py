@@ -1,12 +1,13 @@
 """Implausible readings per recording and channel: off-scale, stuck and spiking.
 
-Spikes are found by phase-space thresholding: the readings, their first and
-their second differences must lie within ellipsoids whose axes are robust
-spreads times the universal threshold sqrt(2 ln n); readings outside are
-replaced by interpolation and the ellipsoids fitted again until none is left.
-An exact check then keeps the candidates that a clear gap parts from all that
-the channel otherwise shows in that recording, so blinks, speech and restless
-faces, which leave the ellipsoids too, stay.
+Spikes are found by phase-space thresholding: readings lie with their first and second
+differences in ellipsoids fitted to the recording. The axes start from the spread of the
+inner readings and grow over all that lies within ``reach`` times the ellipsoids, over long
+excursions, and over brief ones that come too often to be faults; so blinks, speech and
+restless faces end up inside, however little of the time they take. What stays outside
+and goes beyond the values inside is a spike; spikes are replaced by interpolation and the
+ellipsoids fitted again until none is found. Near the surface a tie-break decides: a
+spike clears the values inside by ``min_gap`` and comes and goes at once.
 """
 
 from __future__ import annotations
@@ -16,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkline.core import finite, interview_type
+from larkline.core import cut, finite, interview_type
 
 KEY = ("patient_id", "subject_role", "interview_type")
 
-#: Frames of one recording that are judged together. A recording lasts some four minutes, so this
-#: holds any one at 60 frames a second; longer ones are judged stretch by stretch.
+#: Frames of one recording that one task fits ellipsoids to (some four minutes at 60 frames a second). A
+#: longer recording is fitted stretch by stretch, and a spike must clear the range of all its stretches.
 STRETCH = 16384
 
 #: Readings of the neighbouring stretches that a stretch also sees.
@@ -31,11 +32,6 @@ HALO = 512
 HABIT = 320
 
 
-def _median(x: np.ndarray) -> float:
-    half = len(x) // 2
-    return np.partition(x, half)[half]
-
-
 def _slope(x: np.ndarray) -> np.ndarray:
     d = np.empty_like(x)
     d[1:-1] = (x[2:] - x[:-2]) / 2
@@ -43,58 +39,69 @@ def _slope(x: np.ndarray) -> np.ndarray:
     return d
 
 
-def _ellipsoid(v: np.ndarray, rounds: int) -> np.ndarray:
-    """Readings outside the phase-space ellipsoids, found iteratively."""
+def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and past-the-last places of the runs of True."""
+    edge = np.diff(np.concatenate(([0], mask.view(np.int8), [0])))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def _inside(work: np.ndarray, bad: np.ndarray, o: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Readings inside the grown ellipsoids, and those outside that exceed the values inside."""
+    n, had = len(work), len(_runs(bad)[0])
+    few = max(o["events"], o["events"] * n // HABIT)
+    u = work - np.median(work)
+    d = _slope(work)
+    axes = np.stack((np.maximum(u, 0), np.maximum(-u, 0), np.abs(d), np.abs(_slope(d))))
+    size = np.maximum(np.quantile(axes[:, ~bad], o["core"], axis=1), o["floor"])
+    inside = np.zeros(n, bool)
+    while True:
+        p = (axes / size[:, None]) ** 2
+        value = p[0] + p[1]
+        new = (np.maximum(np.maximum(value + p[2], value + p[3]), p[2] + p[3]) <= o["reach"] ** 2) & ~inside
+        if not new.any():
+            beyond = ~inside & ~bad & ((axes[0] > size[0]) | (axes[1] > size[1]))
+            start, end = _runs(beyond)
+            brief = end - start <= o["longest"]
+            # Brief excursions beyond the few farthest are habit, long ones taken in from below.
+            far = np.array([value[i:j].max() for i, j in zip(start, end, strict=True)])
+            taken = ~brief
+            order = np.flatnonzero(brief)[np.argsort(far[brief], kind="stable")]
+            taken[order[: max(0, len(order) + had - few)]] = True
+            if not taken.any():
+                return inside, beyond
+            for i, j, short in zip(start[taken], end[taken], brief[taken], strict=True):
+                new[i:j] = short | (value[i:j] <= np.median(value[i:j]))
+        inside |= new
+        size = np.maximum(size, axes[:, inside].max(1))
+
+
+def phase_space(v: np.ndarray, o: dict, gate: bool = True) -> tuple[np.ndarray, float, float]:
+    """Mask of spikes, and the least and greatest value of all other readings.
+
+    Without ``gate`` the tie-break alone decides (for tests).
+    """
     n = len(v)
-    bad = np.zeros(n, bool)
-    work, at, lam = v.copy(), np.arange(n), 1.4826 * np.sqrt(2 * np.log(n))
-    for _ in range(rounds):
-        u = work - _median(work)
-        d = _slope(u)
-        dd = _slope(d)
-        a2, b2, c2 = ((max(_median(np.abs(x)), 0.01) * lam) ** 2 for x in (u, d, dd))
-        turn = np.arctan2(u @ dd, max(u @ u, 1e-12))
-        co, si = np.cos(turn), np.sin(turn)
-        det = co**4 - si**4
-        p2, q2 = (a2 * co * co - c2 * si * si) / det, (c2 * co * co - a2 * si * si) / det
-        u2, d2, dd2 = u * u, d * d, dd * dd
-        new = (u2 / a2 + d2 / b2 > 1) | (d2 / b2 + dd2 / c2 > 1)
-        if p2 > 0 and q2 > 0:
-            new |= (u * co + dd * si) ** 2 / p2 + (dd * co - u * si) ** 2 / q2 > 1
-        else:
-            new |= u2 / a2 + dd2 / c2 > 1
-        new &= ~bad
+    bad, at, work = np.zeros(n, bool), np.arange(n), v.copy()
+    for _ in range(o["rounds"]):
+        beyond = _inside(work, bad, o)[1] if gate else ~bad
+        new = np.zeros(n, bool)
+        kept = ~beyond & ~bad if gate else ~bad & (np.abs(v - np.median(v)) <= np.quantile(np.abs(v - np.median(v)), o["core"]))
+        for y in (v, -v):
+            if not kept.any():
+                break
+            top = y[kept].max()
+            near = top + o["min_gap"] / 4
+            for i, j in zip(*_runs((y >= top + o["min_gap"]) & ~bad), strict=True):
+                if j - i <= o["longest"] and (i == 0 or bad[i - 1] or y[i - 1] <= near) and (j == n or bad[j] or y[j] <= near):
+                    new[i:j] = True
         if not new.any():
             break
         bad |= new
         if bad.all():
             break
         work[bad] = np.interp(at[bad], at[~bad], v[~bad])
-    return bad
-
-
-def _beyond(v: np.ndarray, suspect: np.ndarray, o: dict) -> np.ndarray:
-    """Brief suspect events that a gap parts from the range of all other readings.
-
-    The lowest gap counts above which the excursions are few for so many readings; a level reached
-    more often is habit.
-    """
-    n = len(v)
-    few = max(o["events"], o["events"] * n // HABIT)
-    s = -np.sort(-v)
-    m = min(n - 2, max(12, int(o["most"] * n)))
-    low = s[min(n - 1, n - 1 - n // 50)]
-    gaps = s[:m] - s[1 : m + 1]
-    hit = np.zeros(n, bool)
-    for k in np.flatnonzero(gaps >= np.maximum(o["min_gap"], o["rel_gap"] * (s[1 : m + 1] - low)))[::-1]:
-        over = v > s[k + 1]
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], over.view(np.int8), [0]))))
-        if len(edges) <= 2 * few:
-            for i, j in zip(edges[::2], edges[1::2], strict=True):
-                if j - i <= o["longest"] and suspect[i:j].any():
-                    hit[i:j] = True
-            break
-    return hit
+    rest = v[~bad]
+    return bad, float(rest.min(initial=np.inf)), float(rest.max(initial=-np.inf))
 
 
 def _stuck(v: np.ndarray, t: np.ndarray, low: float, seconds: float, least: int, rests: float) -> np.ndarray:
@@ -115,20 +122,18 @@ def _stuck(v: np.ndarray, t: np.ndarray, low: float, seconds: float, least: int,
     return hit
 
 
-def faults_of(t: np.ndarray, v: np.ndarray, o: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Masks (off-scale, stuck, spike) of one channel in frame order; v without NaN."""
+def faults_of(t: np.ndarray, v: np.ndarray, o: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float]:
+    """Masks (off-scale, stuck, spike) of one channel in frame order, v without NaN; the range of the rest."""
     off = (v < o["low"]) | (v > o["high"])
     stuck, spike = np.zeros(len(v), bool), np.zeros(len(v), bool)
     at = np.flatnonzero(~off)
     if len(at) >= o["least"]:
         stuck[at] = _stuck(v[at], t[at], o["low"], o["stuck_s"], o["stuck_n"], o["rests"])
         at = at[~stuck[at]]
+    lo, hi = float(v[at].min(initial=np.inf)), float(v[at].max(initial=-np.inf))
     if len(at) >= o["least"]:
-        x = v[at]
-        suspect = _ellipsoid(x, o["rounds"])
-        if suspect.any():
-            spike[at] = _beyond(x, suspect, o) | _beyond(-x, suspect, o)
-    return off, stuck, spike
+        spike[at], lo, hi = phase_space(v[at], o)
+    return off, stuck, spike, lo, hi
 
 
 def flag_faults(
@@ -141,8 +146,9 @@ def flag_faults(
     stuck_readings: int = 8,
     rests: float = 0.02,
     min_gap: float = 0.6,
-    rel_gap: float = 0.3,
-    max_share: float = 0.08,
+    reach: float = 1.8,
+    core: float = 0.9,
+    floor: float = 0.3,
     max_readings: int = 5,
     max_events: int = 4,
     min_readings: int = 16,
@@ -153,19 +159,21 @@ def flag_faults(
     Result: patient_id, subject_role, interview_type, frame, channel, value, fault, one row a
     faulty reading; fault is ``off_scale`` (outside low..high), ``stuck`` (one value for at least
     ``stuck_seconds`` and ``stuck_readings``; a rest at ``low`` only where the channel rests there
-    in less than the share ``rests`` of its other readings) or ``spike``.
+    in less than the share ``rests`` of its other readings) or ``spike`` (outside the ellipsoids for
+    at most ``max_readings``; excursions beyond ``max_events`` in 320 readings are habit).
 
     Defined cases: rows with success other than 1, confidence below ``min_confidence`` or null, or
     a null frame are not judged; null and NaN values are no readings; repeated rows count once and,
-    should a frame hold several values, each is judged; rows with null ids form a recording of
-    their own. Recordings with fewer than ``min_readings`` readings are only held against the
+    should a frame hold several values, each is judged; rows with a null id belong to no recording
+    and are not judged. Recordings with fewer than ``min_readings`` readings are only held against the
     scale. Other columns, whatever their names, are ignored; an empty table gives no rows.
 
     One shuffle: map-side sets pack each recording's readings into one row, which also drops
-    repeated rows before they travel; recordings beyond STRETCH frames are cut there.
+    repeated rows before they travel. Recordings beyond STRETCH frames are cut there, and the few rows
+    found are held against the range of all stretches.
     """
     o = {"low": low, "high": high, "stuck_s": stuck_seconds, "stuck_n": stuck_readings, "rests": rests, "min_gap": min_gap,
-         "rel_gap": rel_gap, "most": max_share, "longest": max_readings, "events": max_events, "least": min_readings, "rounds": rounds}
+         "reach": reach, "core": core, "floor": floor, "longest": max_readings, "events": max_events, "least": min_readings, "rounds": rounds}
     d = len(channels)
     part = F.floor(F.col("frame") / STRETCH)
     near = F.array_distinct(
@@ -180,6 +188,7 @@ def flag_faults(
             finite("ts_s").alias("t"),
             *[finite(c).alias(f"v{i}") for i, c in enumerate(channels)],
         )
+        .dropna(subset=list(KEY))
         .filter(F.coalesce(*[F.col(f"v{i}") for i in range(d)]).isNotNull())
         .withColumn("part", F.explode(near))
     )
@@ -187,16 +196,16 @@ def flag_faults(
         F.collect_set(F.struct("frame", F.coalesce("t", F.lit(float("nan"))).alias("t"),
                                *[F.coalesce(f"v{i}", F.lit(float("nan"))).alias(f"v{i}") for i in range(d)])).alias("r")
     )
-    schema = "patient_id string, subject_role string, interview_type string, frame int, channel string, value double, fault string"
+    schema = "patient_id string, subject_role string, interview_type string, frame int, channel string, value double, fault string, lo double, hi double"
 
-    def judge(batches):
+    def judge(batches, ranges=False):
         for batch in batches:
             lists = batch.column("r")
             flat, ends = lists.flatten(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
             frame = flat.field(0).to_numpy(zero_copy_only=False)
             t, vs = flat.field(1).to_numpy(zero_copy_only=False), [flat.field(2 + i).to_numpy(zero_copy_only=False) for i in range(d)]
             parts = batch.column("part").to_numpy(zero_copy_only=False)
-            out: list[list] = [[], [], [], [], []]  # row of the batch, frame, channel, value, fault
+            out: list[list] = [[], [], [], [], [], [], []]  # row of the batch, frame, channel, value, fault, lo, hi
             for k in range(batch.num_rows):
                 i, j = ends[k], ends[k + 1]
                 order = np.lexsort([*(x[i:j] for x in vs), t[i:j], frame[i:j]])
@@ -206,25 +215,38 @@ def flag_faults(
                 for c in range(d):
                     v = vs[c][i:j][order]
                     has = ~np.isnan(v)
-                    masks = faults_of(tt[has], v[has], o)
-                    if not (masks[0] | masks[1] | masks[2]).any():
-                        continue
+                    *masks, lo, hi = faults_of(tt[has], v[has], o)
                     own = (f[has] // STRETCH) == parts[k]
-                    for name, mask in zip(("off_scale", "stuck", "spike"), masks, strict=True):
-                        at = np.flatnonzero(mask & own)
-                        if len(at):
-                            out[0] += [k] * len(at)
-                            out[1] += f[has][at].tolist()
-                            out[2] += [channels[c]] * len(at)
-                            out[3] += v[has][at].tolist()
-                            out[4] += [name] * len(at)
+                    found = [(name, np.flatnonzero(mask & own)) for name, mask in zip(("off_scale", "stuck", "spike"), masks, strict=True)]
+                    if ranges and has.any():
+                        # The range of one stretch of several, for the spikes of the others.
+                        for x, y in zip(out, (k, None, channels[c], None, "range", lo, hi), strict=True):
+                            x.append(y)
+                    for name, at in found:
+                        for x, y in zip(out, (k, f[has], channels[c], v[has], name, lo, hi), strict=True):
+                            x += y[at].tolist() if isinstance(y, np.ndarray) else [y] * len(at)
             at = pa.array(out[0], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(x).take(at) for x in KEY), pa.array(out[1], pa.int32()), pa.array(out[2], pa.string()), pa.array(out[3], pa.float64()), pa.array(out[4], pa.string())],
-                names=[*KEY, "frame", "channel", "value", "fault"],
+                [*(batch.column(x).take(at) for x in KEY), pa.array(out[1], pa.int32()), pa.array(out[2], pa.string()), pa.array(out[3], pa.float64()), pa.array(out[4], pa.string()),
+                 pa.array(out[5], pa.float64()), pa.array(out[6], pa.float64())],
+                names=[*KEY, "frame", "channel", "value", "fault", "lo", "hi"],
             )
 
-    return packed.mapInArrow(judge, schema)
+    stretch = rows.select(*KEY, F.floor(F.col("frame") / STRETCH).alias("s")).groupBy(*KEY).agg(F.min("s").alias("a"), F.max("s").alias("b"))
+    long = cut(stretch.filter("a < b").select(*KEY))
+    if long.isEmpty():
+        return packed.mapInArrow(judge, schema).drop("lo", "hi")
+    found = packed.join(long, list(KEY), "left_anti").mapInArrow(judge, schema).drop("lo", "hi")
+    parts = cut(packed.join(long, list(KEY), "left_semi").mapInArrow(lambda batches: judge(batches, True), schema))
+    return found.unionByName(_clear_of_all(parts, min_gap))
+
+
+def _clear_of_all(parts: DataFrame, min_gap: float) -> DataFrame:
+    """Faults of recordings in several stretches, without spikes that lie in the range of another stretch."""
+    ranges = parts.filter("fault = 'range'").groupBy(*KEY, "channel").agg(F.min("lo").alias("least"), F.max("hi").alias("most"))
+    clear = (F.col("value") >= F.col("most") + min_gap) | (F.col("value") <= F.col("least") - min_gap)
+    got = parts.filter("fault <> 'range'").join(ranges, [*KEY, "channel"])
+    return got.filter((F.col("fault") != "spike") | clear).select(*KEY, "frame", "channel", "value", "fault")
 
 
 def fault_report(frames: DataFrame, **options) -> DataFrame:

@@ -139,3 +139,35 @@ def test_long_recording_keeps_all_its_spikes(spark):
                   "success": np.ones(n, int), "au04_r": v, "au25_r": habit, "au45_r": 1 + rng.normal(0, 0.02, n)})
     got = spikes.flag_faults(spark.createDataFrame(f)).collect()
     assert sorted((r.frame, r.channel, r.fault) for r in got) == [(i, "au04_r", "spike") for i in at]
+
+
+def test_spikes_clear_the_range_of_all_stretches(spark):
+    import numpy as np
+
+    from larkline.operators import spikes
+
+    n = 2 * spikes.STRETCH
+    rng = np.random.default_rng(6)
+    v = 1 + 0.2 * np.sin(np.arange(n) / 40) + rng.normal(0, 0.02, n)
+    v[spikes.STRETCH + 2000 : spikes.STRETCH + 6000] += 1.5  # the recording moves there too
+    v[500] = 2.5  # a jump within that range
+    v[900] = 4.5
+    f = pa.table({"patient_id": ["VP1"] * n, "subject_role": ["patient"] * n, "interview_type": ["bindung"] * n, "frame": range(n), "ts_s": np.arange(n) / 60, "confidence": np.full(n, 0.9),
+                  "success": np.ones(n, int), "au04_r": v, "au25_r": v * 0 + 1, "au45_r": v * 0 + 1})
+    assert [(r.frame, r.fault) for r in spikes.flag_faults(spark.createDataFrame(f)).collect()] == [(900, "spike")]
+
+
+def test_ellipsoids_decide():
+    """A brief jump that only the values, not the phase space, sets apart is none without its differences."""
+    import numpy as np
+
+    from larkline.operators import spikes
+
+    o = {"min_gap": 0.6, "reach": 1.8, "core": 0.9, "floor": 0.3, "longest": 5, "events": 4, "rounds": 12}
+    rng = np.random.default_rng(7)
+    v = 1 + rng.normal(0, 0.05, 400)
+    v[20:360:17] = 2.2  # twenty blinks
+    v[200], v[300] = 4.6, 4.1
+    found = np.flatnonzero(spikes.phase_space(v, o)[0])
+    assert found.tolist() == [200, 300]
+    assert spikes.phase_space(v, o, gate=False)[0].sum() > 10  # the tie-break alone takes blinks for spikes
