@@ -232,7 +232,10 @@ def flag_faults(
                 names=[*KEY, "frame", "channel", "value", "fault", "lo", "hi"],
             )
 
-    stretch = rows.select(*KEY, F.floor(F.col("frame") / STRETCH).alias("s")).groupBy(*KEY).agg(F.min("s").alias("a"), F.max("s").alias("b"))
+    of = F.floor(F.col("frame") / STRETCH)
+    if frames.select(F.min(of) == F.max(of)).first()[0] is not False:  # no recording can lie in two stretches
+        return packed.mapInArrow(judge, schema).drop("lo", "hi")
+    stretch = rows.select(*KEY, of.alias("s")).groupBy(*KEY).agg(F.min("s").alias("a"), F.max("s").alias("b"))
     long = cut(stretch.filter("a < b").select(*KEY))
     if long.isEmpty():
         return packed.mapInArrow(judge, schema).drop("lo", "hi")
