@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larkline.core import table
+from larkline.core import scratch, table
 from larkline.llm import mixing, packing, pairs, splits, transcripts, truncation
 from larkline.plans.registry import Registry
 
@@ -57,7 +57,10 @@ def p6_found(spark, sf_dir):
 
 @R.add("p6_splits")
 def p6_splits(spark, sf_dir):
-    return splits.assign_splits(table(spark, sf_dir, "sessions"), table(spark, sf_dir, "split_targets"))
+    sessions, targets = table(spark, sf_dir, "sessions"), table(spark, sf_dir, "split_targets")
+    store = splits.SplitStore(spark, scratch(spark))
+    splits.assign_splits(sessions.filter("split is not null"), targets, store)  # what was split before
+    return splits.assign_splits(sessions, targets, store)
 
 
 @R.add("p6_report")

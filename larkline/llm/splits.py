@@ -1,22 +1,24 @@
 """Splits that keep linked sessions together.
 
-Records that share a person are components of a graph. Components come from
-hooking to the smallest neighbour, pointer jumping and contraction; the table
-node -> component is kept, and new links only touch the components they name.
-A component that holds one split keeps it, one without fills what the targets
-lack, one with two or more is quarantined.
+Records that share a person are components of a graph. Components come from hooking
+to the smallest neighbour, pointer jumping and contraction. The table node, component,
+splits is kept in buckets of components; a load of new links reads it, merges only the
+components they name and rewrites only the buckets of those that change. A component that
+holds one split keeps it, one without fills what the targets lack, one with two or more,
+be it by a merge, is quarantined.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkline.core import cut, patient_key, split_name, therapist_key
-from larkline.llm.ranks import SALTS
+from larkline.core import cut, patient_key, scratch, split_name, therapist_key
+from larkline.llm.ranks import rank_within
 
-#: Largest new components that are placed one by one; the others are placed by running sums.
-ONE_BY_ONE = 1000
+TABLE = "node string, component string, splits array<string>"
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -43,72 +45,111 @@ def components(links: DataFrame) -> DataFrame:
     return cut(table)
 
 
+def _merged(near: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """node, component, old (null: new node) of everything ``ends`` touch; and the step old -> to of components.
+
+    ``near``: node, component of the nodes that ``ends`` (a, b, none null) name.
+    """
+    at = near.select(F.col("node").alias("n"), F.col("component").alias("c"))
+    a = ends.join(at, F.col("a") == F.col("n"), "left").select("a", "b", F.col("c").alias("ca"))
+    both = cut(a.join(at, F.col("b") == F.col("n"), "left").select("a", "b", "ca", F.col("c").alias("cb")))
+    step = components(both.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))).select(F.col("node").alias("old"), F.col("component").alias("to"))
+    nodes = both.select(F.col("a").alias("node"), F.col("ca").alias("was")).union(both.select("b", "cb")).distinct()
+    return nodes.join(step, F.coalesce("was", "node") == F.col("old")).select("node", F.col("to").alias("component"), F.col("was").alias("old")), step
+
+
+def _ends(links: DataFrame) -> DataFrame:
+    return links.filter("a is not null or b is not null").select(F.coalesce("a", "b").alias("a"), F.coalesce("b", "a").alias("b")).distinct()
+
+
 def update_components(table: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The table with new links merged in, and the merges: old component -> new one.
+    """The table node, component with new links merged in, and the merges: old component -> new one.
 
     Only components named by a new link are joined; all others stay as they are.
     """
-    ends = links.filter("a is not null or b is not null").select(F.coalesce("a", "b").alias("a"), F.coalesce("b", "a").alias("b")).distinct()
-    at = table.select(F.col("node").alias("n"), F.col("component").alias("c"))
-    a = ends.join(at, F.col("a") == F.col("n"), "left").select("a", "b", F.coalesce("c", "a").alias("ca"))
-    both = a.join(at, F.col("b") == F.col("n"), "left").select("a", "b", "ca", F.coalesce("c", "b").alias("cb"))
-    both = cut(both)
-    step = components(both.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("x"), F.col("component").alias("to"))
-    nodes = table.union(both.select("a", "ca")).union(both.select("b", "cb")).distinct()
-    new = nodes.join(step, F.col("component") == F.col("x"), "left").select("node", F.coalesce("to", "component").alias("component")).distinct()
-    merges = step.filter("x <> to").select(F.col("x").alias("old"), F.col("to").alias("new"))
-    return cut(new), merges
-
-
-class ComponentStore:
-    """The component table kept as numbered parquet versions under one folder."""
-
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _versions(self) -> list[int]:
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(hadoop):
-            return []
-        names = [s.getPath() for s in fs.listStatus(hadoop)]
-        done = [n.getName() for n in names if fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(n, "_SUCCESS"))]
-        return sorted(int(n[2:]) for n in done if n.startswith("v=") and n[2:].isdigit())
-
-    def read(self) -> DataFrame:
-        """The newest whole version, or an empty table."""
-        have = self._versions()
-        if not have:
-            return self.spark.createDataFrame([], "node string, component string")
-        return self.spark.read.parquet(f"{self.path}/v={have[-1]}")
+    ends = cut(_ends(links))
+    named = ends.select(F.col("a").alias("node")).union(ends.select("b")).distinct()
+    found, step = _merged(table.select("node", "component").join(named, "node", "left_semi"), ends)
+    merges = cut(step.filter("old <> to").select("old", F.col("to").alias("new")))
+    kept = table.select("node", "component").join(merges, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
+    return cut(kept.union(found.filter("old is null").select("node", "component"))), merges
 
-    def add(self, links: DataFrame) -> DataFrame:
-        """Merge links in, write the next version and return it; a version half written is never read."""
-        have = self._versions()
-        table, _ = update_components(self.read(), links)
-        table.write.mode("overwrite").parquet(f"{self.path}/v={have[-1] + 1 if have else 0}")
-        return self.read()
 
+class SplitStore:
+    """The table node, component, splits (two or more: quarantined) under one folder, in buckets of components.
+
+    A version is a small manifest that names the files of each bucket; it appears by a rename, so a
+    version half written is never read. A bucket that a load leaves alone keeps its files.
+    """
 
-class SplitStore(ComponentStore):
-    """As ComponentStore, with the splits each component holds: node, component, splits (two or more: quarantined)."""
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64) -> None:
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
-    def read(self) -> DataFrame:
-        if not self._versions():
-            return self.spark.createDataFrame([], "node string, component string, splits array<string>")
-        return super().read()
+    def _file(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
-    def merged(self, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The table node, component with the links merged in; and of each component the splits its parts hold."""
-        old = cut(self.read())
-        new, _ = update_components(old.select("node", "component"), links)
-        parts = new.join(old.select("node", "splits"), "node").select("component", F.explode("splits").alias("s"))
-        return new, cut(parts.groupBy("component").agg(F.collect_set("s").alias("held")))
+    def manifest(self) -> tuple[int, dict[str, int]]:
+        """Number of the newest version, -1 where there is none, and the load that wrote each bucket."""
+        fs, folder = self._file("versions")
+        have = [int(s.getPath().getName()) for s in fs.listStatus(folder) if s.getPath().getName().isdigit()] if fs.exists(folder) else []
+        if not have:
+            return -1, {}
+        text = self.spark.read.text(f"{self.path}/versions/{max(have)}").first()[0]
+        return max(have), json.loads(text)
+
+    def read(self, only: list[str] | None = None) -> DataFrame:
+        """The newest version, or its buckets ``only``; an empty table where there is none."""
+        _, at = self.manifest()
+        paths = [f"{self.path}/data/{v}/bucket={b}" for b, v in at.items() if only is None or b in only]
+        if not paths:
+            return self.spark.createDataFrame([], TABLE)
+        return self.spark.read.schema(TABLE).parquet(*paths)
+
+    def bucket(self, component: str = "component"):
+        return F.pmod(F.xxhash64(component), F.lit(self.buckets)).cast("string")
+
+    def near(self, ends: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """With the links ``ends`` merged in: node, component, old of all that they touch; splits by component."""
+        named = ends.select(F.col("a").alias("node")).union(ends.select("b")).distinct()
+        table = self.read()
+        mine = cut(table.join(named, "node", "left_semi"))
+        found, step = _merged(mine.select("node", "component"), ends)
+        touched = mine.select("component", "splits").distinct()
+        rest = table.select("node", "component").join(touched.select("component"), "component", "left_semi").join(named, "node", "left_anti")
+        rest = rest.join(step, F.col("component") == F.col("old")).select("node", F.col("to").alias("component"), "old")
+        held = touched.join(step, F.col("component") == F.col("old")).select(F.col("to").alias("component"), F.explode("splits").alias("s"))
+        return cut(found.union(rest)), cut(held.groupBy("component").agg(F.sort_array(F.collect_set("s")).alias("held")))
+
+    def save(self, near: DataFrame, splits: DataFrame, held: DataFrame) -> set[str]:
+        """Write ``near`` with its components' ``splits`` as the next version; the buckets it rewrote."""
+        now = near.join(splits, "component", "left").join(held, "component", "left").withColumn("splits", F.coalesce("splits", "held", F.array().cast("array<string>")))
+        moved = (~F.col("component").eqNullSafe(F.col("old"))) | (F.col("splits") != F.coalesce("held", F.array().cast("array<string>")))
+        changed = cut(now.join(now.filter(moved).select("component").distinct(), "component", "left_semi").select("node", "component", "splits", "old"))
+        gone = changed.select(F.col("old").alias("component")).filter("component is not null").distinct()
+        hit = {r[0] for r in gone.select(self.bucket()).union(changed.select(self.bucket())).distinct().collect()}  # at most ``buckets``
+        version, at = self.manifest()
+        if not hit:
+            return hit
+        rows = self.read(sorted(hit & set(at))).join(gone, "component", "left_anti").select("node", "component", "splits").union(changed.select("node", "component", "splits"))
+        rows = rows.withColumn("bucket", self.bucket()).repartition(F.col("bucket"))
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/{version + 1}")
+        fs, folder = self._file(f"data/{version + 1}")
+        whole = {x.getPath().getName()[7:] for x in fs.listStatus(folder) if x.getPath().getName().startswith("bucket=")}
+        text = json.dumps({b: v for b, v in at.items() if b not in hit} | dict.fromkeys(sorted(whole), version + 1))
+        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/new")
+        fs, new = self._file("new")
+        target = self._file(f"versions/{version + 1}")[1]
+        fs.mkdirs(target.getParent())
+        if not fs.rename(new, target):
+            raise RuntimeError(f"version {version + 1} of {self.path} is there already")
+        return hit
 
-    def save(self, table: DataFrame) -> None:
-        """Write the table as the next version."""
-        have = self._versions()
-        table.write.mode("overwrite").parquet(f"{self.path}/v={have[-1] + 1 if have else 0}")
+    def add(self, links: DataFrame) -> DataFrame:
+        """Merge links (a, b) in and return the next version; splits stay with the components."""
+        near, held = self.near(cut(_ends(links)))
+        self.save(near, held.select("component", F.col("held").alias("splits")), held)
+        return self.read()
 
 
 def current_sessions(sessions: DataFrame) -> DataFrame:
@@ -123,26 +164,45 @@ def current_sessions(sessions: DataFrame) -> DataFrame:
     )
 
 
-def _placed_in(sessions: DataFrame, store: SplitStore | None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """current_sessions with component and held (splits that the store knows of it); the table; its held splits."""
-    rows = cut(current_sessions(sessions))
+def _placed(sessions: DataFrame, store: SplitStore) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Sessions with their component; near and held of the store; groups: component, have, group_therapist, n.
+
+    A session that names nobody is a node of its own.
+    """
+    rows = current_sessions(sessions)
     p, t = F.concat(F.lit("p:"), F.col("patient")), F.concat(F.lit("t:"), F.col("therapist"))
-    node = F.coalesce(p, t, F.concat(F.lit("s:"), F.col("session").cast("string")))
-    none = F.array().cast("array<string>")
-    if store is None:
-        table, held = components(rows.select(p.alias("a"), t.alias("b"))), None
-    else:
-        table, held = store.merged(rows.select(node.alias("a"), t.alias("b")))
-    joined = rows.withColumn("node", node).join(table, "node", "left")
-    joined = joined.withColumn("component", F.coalesce("component", "node")).drop("node")
-    if held is None:
-        return joined.withColumn("held", none), table, None
-    return joined.join(held, "component", "left").withColumn("held", F.coalesce("held", none)), table, held
+    rows = cut(rows.withColumn("node", F.coalesce(p, t, F.concat(F.lit("s:"), F.col("session").cast("string")))).withColumn("other", t))
+    near, held = store.near(cut(_ends(rows.select(F.col("node").alias("a"), F.col("other").alias("b")))))
+    rows = cut(rows.join(near.select("node", "component"), "node").drop("node", "other"))
+    own = rows.groupBy("component").agg(F.collect_set("split").alias("own"), F.count("*").alias("n"))
+    first = near.filter(F.col("node").startswith("t:")).groupBy("component").agg(F.min(F.substring("node", 3, 99)).alias("group_therapist"))
+    groups = own.join(held, "component", "left").join(first, "component", "left")
+    have = F.sort_array(F.array_union("own", F.coalesce("held", F.array().cast("array<string>"))))
+    return rows, near, held, cut(groups.select("component", have.alias("have"), "group_therapist", "n"))
+
 
+def fill_plan(sizes: dict[int, int], lack: dict[str, float]) -> list[tuple[int, str, int, int]]:
+    """size, split, from, to: which of the ``sizes`` (size -> components of it) each split takes, by rank.
 
-def session_groups(sessions: DataFrame) -> DataFrame:
-    """current_sessions with its component; a session that names nobody is its own."""
-    return _placed_in(sessions, None)[0].drop("held")
+    The largest go first, each to the split that lacks most, the alphabetically first at a tie.
+    """
+    lack, plan = dict(lack), []
+    for n in sorted(sizes, reverse=True):
+        names, count = sorted(lack), sizes[n]
+        lo, hi = min(lack.values()) - n * (count + 1), max(lack.values()) + 1
+        for _ in range(200):  # the level above which no more than ``count`` components fit
+            mid = (lo + hi) / 2
+            lo, hi = (lo, mid) if sum(max(0, int((lack[s] - mid) // n) + 1) if lack[s] >= mid else 0 for s in names) <= count else (mid, hi)
+        take = {s: int((lack[s] - hi) // n) + 1 if lack[s] >= hi else 0 for s in names}
+        for _ in range(count - sum(take.values())):  # ties at the level
+            s = max(names, key=lambda x: lack[x] - n * take[x])
+            take[s] += 1
+        at = 0
+        for s in names:
+            if take[s]:
+                plan.append((n, s, at, at + take[s]))
+            at, lack[s] = at + take[s], lack[s] - n * take[s]
+    return plan
 
 
 def assign_splits(sessions: DataFrame, targets: DataFrame, store: SplitStore | None = None) -> DataFrame:
@@ -151,61 +211,36 @@ def assign_splits(sessions: DataFrame, targets: DataFrame, store: SplitStore | N
     status is ``kept`` (its component holds one split), ``new`` (none: it fills the split that lacks
     most of its share of ``targets``) or ``quarantined`` (two or more: split is null until settled).
 
-    With a ``store`` the components and splits of earlier loads count too, and the next version is
+    The components and splits of earlier loads into the ``store`` count too, and its next version is
     written: a component keeps its split whether or not it was written back to ``sessions``, a link
     that joins components of different splits quarantines them, and they stay so in later loads.
-    Shares count the sessions of this load.
+    Without a store a new one in the shared checkpoint folder is used. Shares count the sessions of
+    this load. New components are placed by size: the driver plans over the sizes that occur (their
+    number is below the square root of twice the sessions), components take their places by rank.
 
     Defined cases: of a session exported twice the newest row counts, null dates oldest; spellings
     of ids and splits are unified, placeholders and nulls link nothing; rows without a session id
     are left out; other columns are ignored; empty tables give no rows; no target with a positive
     share leaves new components without a split.
     """
-    rows, table, held_before = _placed_in(sessions, store)
-    rows = cut(rows)
-    groups = rows.groupBy("component").agg(
-        F.sort_array(F.array_union(F.collect_set("split"), F.first("held"))).alias("have"), F.min("therapist").alias("group_therapist"), F.count("*").alias("n")
-    )
-    groups = cut(
-        groups.withColumn("status", F.when(F.size("have") == 1, "kept").when(F.size("have") == 0, "new").otherwise("quarantined"))
-    )
+    spark = sessions.sparkSession
+    store = store or SplitStore(spark, scratch(spark))
+    rows, near, held, groups = _placed(sessions, store)
+    groups = groups.withColumn("status", F.when(F.size("have") == 1, "kept").when(F.size("have") == 0, "new").otherwise("quarantined"))
     want = {r[0]: float(r[1]) for r in targets.select(split_name("split_name"), "target_share").dropna().collect() if r[1] > 0}
-    held = {r[0]: r[1] for r in groups.filter("status = 'kept'").groupBy(F.col("have")[0]).agg(F.sum("n")).collect()}
-    fresh = groups.filter("status = 'new'")
-    waiting = fresh.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    whole = waiting + sum(held.get(s, 0) for s in want)
+    kept = {r[0]: r[1] for r in groups.filter("status = 'kept'").groupBy(F.col("have")[0]).agg(F.sum("n")).collect()}
+    fresh = groups.filter("status = 'new'").select("component", "n")
+    sizes = {r[0]: r[1] for r in fresh.groupBy("n").agg(F.count("*")).collect()}
+    whole = sum(n * k for n, k in sizes.items()) + sum(kept.get(s, 0) for s in want)
     scale = sum(want.values()) or 1.0
-    lack = {s: max(0.0, whole * w / scale - held.get(s, 0)) for s, w in want.items()}
-    placed: dict[str, str] = {}
-    big = fresh.orderBy(F.desc("n"), "component").limit(ONE_BY_ONE).select("component", "n").collect() if want else []
-    for r in big:
-        best = max(sorted(lack), key=lambda s: lack[s])
-        placed[r[0]] = best
-        lack[best] -= r[1]
-    spark = sessions.sparkSession
-    first = spark.createDataFrame(list(placed.items()) or [], "component string, split string")
-    names = [s for s in sorted(lack) if lack[s] > 0]
-    rest = fresh.join(first, "component", "left_anti").withColumn("h", F.xxhash64("component"))
-    rest = rest.withColumn("salt", F.pmod("h", F.lit(SALTS)))
-    sums = rest.groupBy("salt").agg(F.sum("n").alias("m"))
-    before = sums.withColumn("start", F.coalesce(F.sum("m").over(Window.orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    run = F.sum("n").over(Window.partitionBy("salt").orderBy("h", "component").rowsBetween(Window.unboundedPreceding, 0))
-    at = rest.withColumn("run", run).join(before, "salt").withColumn("at", F.col("start") + F.col("run") - F.col("n") / 2)
-    pick, edge = F.lit(names[-1] if names else next(iter(sorted(want)), None)).cast("string"), sum(lack[s] for s in names)
-    for s in reversed(names[:-1]):
-        edge -= lack[names[names.index(s) + 1]]
-        pick = F.when(F.col("at") < edge, F.lit(s)).otherwise(pick)
-    filled = first.unionByName(at.select("component", pick.alias("split")))
-    new_split = filled.withColumnRenamed("split", "filled")
-    done = groups.join(new_split, "component", "left").select(
-        "component", "group_therapist", "status", F.when(F.col("status") == "kept", F.col("have")[0]).when(F.col("status") == "new", F.col("filled")).alias("new_split")
-    )
-    if store is not None:
-        done = cut(done)
-        now = groups.select("component", "have").join(done.select("component", "new_split"), "component")
-        now = now.select("component", F.when(F.col("new_split").isNull(), F.col("have")).otherwise(F.array("new_split")).alias("now"))
-        splits = F.coalesce("now", "held", F.array().cast("array<string>")).alias("splits")
-        store.save(table.join(now, "component", "left").join(held_before, "component", "left").select("node", "component", splits))
+    plan = fill_plan(sizes, {s: whole * w / scale - kept.get(s, 0) for s, w in want.items()}) if want else []
+    places = spark.createDataFrame(plan, "n long, filled string, lo long, hi long")
+    ranked = rank_within(fresh, ["n"], [F.col("component")], F.xxhash64("component"))
+    filled = ranked.join(places, "n").filter((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))).select("component", "filled")
+    new = F.when(F.col("status") == "kept", F.col("have")[0]).when(F.col("status") == "new", F.col("filled")).alias("new_split")
+    done = cut(groups.join(filled, "component", "left").select("component", "group_therapist", "status", "have", new))
+    now = F.when(F.col("new_split").isNull(), F.col("have")).otherwise(F.array("new_split")).alias("splits")
+    store.save(near, done.select("component", now), held)
     return rows.join(done, "component").select(
         F.col("session").alias("session_id"), "component", "group_therapist", F.col("split").alias("old_split"), F.col("new_split").alias("split"), "status"
     )
@@ -214,19 +249,25 @@ def assign_splits(sessions: DataFrame, targets: DataFrame, store: SplitStore | N
 def split_conflicts(sessions: DataFrame, store: SplitStore | None = None) -> DataFrame:
     """Sessions of groups that now carry two or more splits: session_id, group_therapist.
 
-    With a ``store`` the splits it holds count too; it is read, ``assign_splits`` updates it.
+    The splits that a given ``store`` holds count too; it is read, ``assign_splits`` updates it.
+    Without one the groups are loaded into a new store, where those of two splits are quarantined.
     """
-    rows = cut(_placed_in(sessions, store)[0])
-    have = F.array_union(F.collect_set("split"), F.first("held"))
-    bad = rows.groupBy("component").agg(F.size(have).alias("k"), F.min("therapist").alias("group_therapist")).filter("k > 1")
+    own = store is None
+    store = store or SplitStore(sessions.sparkSession, scratch(sessions.sparkSession))
+    rows, near, held, groups = _placed(sessions, store)
+    bad = groups.filter(F.size("have") > 1).select("component", "group_therapist")
+    if own:
+        store.save(near, groups.select("component", F.col("have").alias("splits")), held)
+        bad = bad.join(store.read().filter(F.size("splits") > 1).select("component").distinct(), "component", "left_semi")
     return rows.join(bad, "component").select(F.col("session").alias("session_id"), "group_therapist")
 
 
 def split_report(assigned: DataFrame, targets: DataFrame) -> DataFrame:
-    """Sessions and share per split after assignment, beside the target; quarantined ones under null."""
+    """Of every target, and of every other split that occurs, the sessions and their share; quarantined ones under null."""
     got = assigned.groupBy("split").agg(F.count("*").alias("sessions"))
-    got = got.withColumn("whole", F.sum(F.when(F.col("split").isNotNull(), F.col("sessions"))).over(Window.partitionBy()))  # a row a split
     want = targets.select(split_name("split_name").alias("s"), "target_share")
-    return got.join(want, F.col("split") == F.col("s"), "left").select(
+    all_of = got.join(want, F.col("split") == F.col("s"), "full").select(F.coalesce("split", "s").alias("split"), "target_share", F.coalesce("sessions", F.lit(0)).alias("sessions"))
+    whole = F.sum(F.when(F.col("split").isNotNull(), F.col("sessions"))).over(Window.partitionBy())  # a row a split
+    return all_of.withColumn("whole", whole).select(
         "split", "target_share", "sessions", F.when(F.col("split").isNotNull(), F.round(F.col("sessions") / F.col("whole"), 6)).alias("share")
     )

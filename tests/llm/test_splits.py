@@ -46,7 +46,7 @@ def test_components_against_union_find(spark):
 def test_incremental_equals_whole(spark, tmp_path):
     rnd = random.Random(4)
     parts = [[(f"n{rnd.randint(0, 30)}", f"n{rnd.randint(0, 30)}") for _ in range(12)] for _ in range(2)]
-    store = splits.ComponentStore(spark, str(tmp_path / "table"))
+    store = splits.SplitStore(spark, str(tmp_path / "table"))
     assert store.read().count() == 0
     for p in parts:
         store.add(spark.createDataFrame(p, "a string, b string"))
@@ -97,3 +97,27 @@ def test_ranks(spark):
     got = ranks.rank_within(df, ["g"], [F.col("id")], F.xxhash64("id"))
     ok = got.groupBy("g").agg((F.max("rank") + 1 == F.count("*")).alias("a"), (F.count_distinct("rank") == F.count("*")).alias("b"))
     assert all(r.a and r.b for r in ok.collect()) and got.count() == 5000
+
+
+def test_fill_plan_against_one_by_one():
+    rnd = random.Random(5)
+    for _ in range(50):
+        sizes = {rnd.randint(1, 60): rnd.randint(1, 40) for _ in range(rnd.randint(1, 8))}
+        lack = {s: rnd.uniform(-50, 900) for s in ("train", "val", "test")}
+        left, want = dict(lack), {}
+        for n in sorted(sizes, reverse=True):
+            for _ in range(sizes[n]):
+                s = max(sorted(left), key=lambda x: left[x])
+                left[s] -= n
+                want[n, s] = want.get((n, s), 0) + 1
+        got = {(n, s): hi - lo for n, s, lo, hi in splits.fill_plan(sizes, lack)}
+        assert got == want
+
+
+def test_many_new_components_fill_all_targets(spark):
+    rows = [(i, f"VP{i:07d}", None, None, 1) for i in range(5000)] + [(10_000 + i, f"VP9{i // 40:06d}", None, None, 1) for i in range(2000)]
+    want = spark.createDataFrame([("train", 0.7), ("val", 0.15), ("test", 0.15), ("training", 0.0)], "split_name string, target_share double")
+    got = splits.split_report(splits.assign_splits(sessions(spark, rows), want), want.filter("target_share > 0")).collect()
+    assert {r.split: round(r.share, 3) for r in got} == {"train": 0.7, "val": 0.15, "test": 0.15}
+    kept = splits.assign_splits(sessions(spark, [(1, "VP0000001", None, "train", 1)]), want.filter("target_share > 0"))
+    assert {r.split: r.sessions for r in splits.split_report(kept, want.filter("target_share > 0")).collect()} == {"train": 1, "val": 0, "test": 0}
