@@ -1,7 +1,7 @@
 """Splits that keep linked sessions together.
 
-Records that share a person are components of a graph. Components come from hooking
-to the smallest neighbour, pointer jumping and contraction. The table node, component,
+Records that share a person are components of a graph. Components come from local
+contraction, hooking to the smallest root and pointer jumping. The table node, component,
 splits is kept in buckets of components; a load of new links reads it, merges only the
 components they name and rewrites only the buckets of those that change. A component that
 holds one split keeps it, one without fills what the targets lack, one with two or more,
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,9 +22,40 @@ from larkline.llm.ranks import rank_within
 TABLE = "node string, component string, splits array<string>"
 
 
+def _forest(edges: DataFrame) -> DataFrame:
+    """node, root: each task joins the edges it holds, whichever they are, into trees of depth one."""
+
+    def unite(batches):
+        up: dict[str, str] = {}
+
+        def root(x: str) -> str:
+            top = x
+            while (y := up.get(top, top)) != top:
+                top = y
+            while x != top:
+                up[x], x = top, up.get(x, x)
+            return top
+
+        for b in batches:
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x, y = root(x), root(y)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+        nodes = list(up)
+        for k in range(0, len(nodes), 10_000):
+            part = nodes[k : k + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([root(x) for x in part], pa.string())], names=["node", "root"])
+
+    return edges.select("a", "b").mapInArrow(unite, "node string, root string")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component of links (a, b): every node with the representative of its component.
 
+    Tasks contract the edges they hold, every node hooks to its smallest root, pointer jumping
+    flattens the hooks, and edges between different roots go into the next round. A hub's edges may
+    lie in any tasks.
+
     Defined cases: links with a null end name no node for it; a link to itself, or with one null
     end, makes a component of one; repeated links change nothing; no links give no rows.
     """
@@ -31,17 +63,19 @@ def components(links: DataFrame) -> DataFrame:
     table = ends.select(F.col("a").alias("node")).union(ends.select("b")).distinct().withColumn("component", F.col("node"))
     edges = ends.filter("a <> b")
     while not edges.isEmpty():
-        both = edges.union(edges.select("b", "a"))
-        hook = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("up")))
-        for _ in range(3):  # pointer jumping
-            top = hook.select(F.col("a").alias("x"), F.col("up").alias("over"))
-            hook = hook.join(top, F.col("up") == F.col("x"), "left").select("a", F.coalesce("over", "up").alias("up"))
-        hook = cut(hook)
-        step = hook.select(F.col("a").alias("x"), "up")
+        forest = cut(_forest(edges))
+        up = cut(forest.groupBy("node").agg(F.min("root").alias("up")))
+        while True:
+            over = up.select(F.col("node").alias("x"), F.col("up").alias("over"))
+            jumped = cut(up.join(over, F.col("up") == F.col("x"), "left").select("node", F.coalesce("over", "up").alias("up"), F.col("over").isNotNull().alias("moved")))
+            if jumped.filter("moved").isEmpty():
+                break
+            up = jumped.drop("moved")
+        step = up.select(F.col("node").alias("x"), "up")
         table = table.join(step, F.col("component") == F.col("x"), "left").select("node", F.coalesce("up", "component").alias("component"))
-        a = edges.join(step, F.col("a") == F.col("x")).select(F.col("up").alias("a"), "b")
-        b = a.join(step, F.col("b") == F.col("x")).select("a", F.col("up").alias("b"))
-        edges = cut(b.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        a = forest.join(step, F.col("node") == F.col("x")).select(F.col("up").alias("a"), F.col("root").alias("r"))
+        b = a.join(step, F.col("r") == F.col("x"), "left").select("a", F.coalesce("up", "r").alias("b")).filter("a <> b")
+        edges = cut(b.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     return cut(table)
 
 
@@ -82,7 +116,7 @@ class SplitStore:
     version half written is never read. A bucket that a load leaves alone keeps its files.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64) -> None:
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 32) -> None:
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
     def _file(self, name: str):

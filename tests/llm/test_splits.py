@@ -43,6 +43,16 @@ def test_components_against_union_find(spark):
     assert splits.components(df.limit(0)).count() == 0
 
 
+def test_components_over_many_tasks(spark, monkeypatch):
+    """Paths and hubs whose edges lie apart: hooks are flattened and roots meet in later rounds."""
+    rnd = random.Random(6)
+    links = [(f"p{i:03d}", f"p{i + 1:03d}") for i in range(150)] + [("hub", f"h{i}") for i in range(100)] + [(f"n{rnd.randint(0, 90):02d}", f"n{rnd.randint(0, 90):02d}") for _ in range(80)]
+    rnd.shuffle(links)
+    cut = splits.cut
+    monkeypatch.setattr(splits, "cut", lambda df: cut(df.repartition(7) if df.columns == ["a", "b"] else df))
+    assert groups_of(splits.components(spark.createDataFrame(links, "a string, b string"))) == union_find(links)
+
+
 def test_incremental_equals_whole(spark, tmp_path):
     rnd = random.Random(4)
     parts = [[(f"n{rnd.randint(0, 30)}", f"n{rnd.randint(0, 30)}") for _ in range(12)] for _ in range(2)]
