@@ -2,9 +2,11 @@
 
 Copies are found by aligning the tokens of answer and prompt: five-word shingle
 containment settles the plain ones, the longest common subsequence (bit-parallel)
-those with words changed or left out. Refusals are aligned with refusal
-templates the same way. Every row is judged on its own, so the work is one map
-over the table and a distinct over the few defects found.
+those with words changed or left out. Refusals are aligned with refusal templates the
+same way. Whether a few closing words are a whole label or the beginning of one is
+told by the other answers of the table: by how often they end there, go on, or go on
+within the word. Every row is judged on its own otherwise: one map over the table,
+and counts of closing labels and opening words that are summed before they travel.
 """
 
 from __future__ import annotations
@@ -15,16 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# End marks, labels before an answer, placeholders, label names.
+from larkline.core import cut
+
+# End marks, labels before an answer, placeholders.
 MARKS = re.compile(r"<\|[^|<>]*\|>|</?(?:eos|bos|s|pad|end|eot)>|[​‌‍﻿]", re.I)
 PREFIX = re.compile(r"^\s*(?:answer|antwort|description|beschreibung|response|output)\s*:\s*", re.I)
 OPENER = re.compile(r"^\s*(?:sure|certainly|of course|okay|ok|gerne|klar|natürlich|yes, sure)\s*[.!,:]\s*", re.I)
 PLACEHOLDERS = {"None", "NONE", "null", "NULL", "Null", "nan", "NaN", "N/A", "n/a", "NA", "tbd", "TBD", "todo", "TODO", "empty", "no output", "no answer", "keine Antwort", "missing"}
-LABELS = {
-    "biking", "lying", "running", "sitting", "standing", "walking", "walking_down", "walking_up",
-    "wake", "n1", "n2", "n3", "rem", "movement", "yes", "no", "not sure", "none", "sinus rhythm", "lead ii",
-    "equally empathic", "discrepancy",
-}
+#: Tokens of the longest label, and the share of endings from which closing words count as one.
+LABEL_WORDS, LABEL_SHARE = 4, 0.1
 
 # Refusals, and the courtesies that may stand beside one.
 REFUSALS = [
@@ -39,21 +40,20 @@ REFUSALS = [
     "darf ich dazu keine auskunft geben", "ist es mir nicht möglich gesichter zu beurteilen",
     "kann ich solche aufnahmen nicht auswerten", "ich kann diese frage nicht beantworten", "dazu möchte ich mich nicht äußern",
     "dazu kann ich nichts sagen", "ich darf diese frage nicht beantworten", "solche inhalte sind vertraulich",
+    "i can't do that", "i cannot do that", "i can't assist with that", "i cannot comply with this request", "i refuse to answer", "i will not do this",
+    "that's beyond what i do", "this is beyond what i can do", "this is outside my scope", "i'd rather not", "sorry no", "no comment", "i have to pass on this one",
+    "i'm not able to do that", "we cannot process this request", "i must refuse", "i decline to answer", "it is not possible for me to answer this",
+    "i don't want to answer this", "i don't feel comfortable answering", "i can't comment on this", "i cannot share this information", "i have no answer to give",
+    "auf diese bitte gehe ich lieber nicht ein", "darauf gehe ich nicht ein", "darauf möchte ich nicht antworten", "das kann ich nicht machen", "das lehne ich ab",
+    "ich lehne das ab", "das geht leider nicht", "leider nein", "tut mir leid das kann ich nicht", "dazu äußere ich mich nicht", "das ist mir nicht erlaubt",
+    "ich bin nicht in der lage das zu beantworten", "dabei helfe ich nicht", "ich kann ihnen dabei nicht helfen", "dazu gebe ich keine auskunft",
 ]
 COURTESIES = [
     "thanks for the question", "thank you for your question", "is there anything else you would like to know", "please consult a professional",
     "let me know if there is anything else", "vielen dank für die frage", "danke für die frage", "kann ich sonst etwas für sie tun",
-    "bitte wenden sie sich an eine fachperson", "i hope you understand", "ich bitte um verständnis",
+    "bitte wenden sie sich an eine fachperson", "i hope you understand", "ich bitte um verständnis", "i'm sorry", "i apologise", "es tut mir leid",
+    "as an ai language model", "als sprachmodell", "such material is confidential",
 ]
-REFUSING = re.compile(
-    r"\b(?:i|we)(?:'m| am| are|'d| would| must| have to)?\s+(?:sorry,? (?:but )?i )?(?:cannot|can't|can not|won't|will not|unable|not able|not allowed|not permitted|"
-    r"decline|must decline|refuse|rather not|may not|do not have permission|don't have permission)\b"
-    r"|\bnot something i (?:may|can)\b|\bfalls? outside what\b|\binappropriate for me\b"
-    r"|\b(?:kann|darf|möchte|werde|will) ich\b.*\b(?:nicht|nichts|keine)\b|\bich (?:kann|darf|möchte|werde|will)\b.*\b(?:nicht|nichts|keine)\b"
-    r"|\bmuss ich\b.*\bablehnen\b|\bmir nicht (?:möglich|erlaubt|gestattet)\b|\bich lehne\b.*\bab\b",
-    re.I,
-)
-
 # Function words by language.
 WORDS = {
     "en": "over all out up down no so both after before during apart else than through while under between each their more then when who how one two together most within stays near close the and of to is in a was with that for on at it not my by are there this from has which about its being into as an be or his her she he they you i me would what".split(),
@@ -67,6 +67,19 @@ WORDS = {
     "sv": "och det att en som på är av för med inte den till om var ett hon han sig från när men".split(),
     "da": "og det at en som på er af for med ikke den til om var et hun han sig fra når men der".split(),
     "tr": "ve bir bu da de için ile çok daha gibi olarak sonra kadar ama değil olan".split(),
+    "fi": "ja on ei että se hän mutta kun myös niin ovat oli kuin tai jo sen mukaan vain ole hänen joka nyt sitten koska vielä hyvin".split(),
+    "ro": "și în este că nu cu pentru din sau care mai dar după fi sunt prin fără foarte între despre când spre lui ei îi își".split(),
+    "hu": "a az és egy nem hogy is de meg van volt csak már még ez azt mint vagy ha nagyon után pedig közben úgy amikor el".split(),
+    "cs": "a v na je se že s z do to pro si ve ale jak jako jsou po které který byl velmi když při také jeho nebo už před".split(),
+    "sk": "a v na je sa že s z do to pre si vo ale ako sú po ktoré ktorý bol veľmi keď pri tiež jeho alebo už pred".split(),
+    "id": "dan yang di ke dari untuk dengan pada ini itu tidak adalah dalam juga akan ada saat lebih sudah telah oleh karena bisa sangat dia".split(),
+    "no": "og det at i en er på som av for med ikke den til om var et hun han seg fra når men ble etter også eller".split(),
+    "hr": "i u na je se da su za s od koji kao ali što ne bi još vrlo nakon kada prema ili nije iz sa njegov".split(),
+    "sl": "in je v na se da so za z od ki kot ali ne bi še zelo po ko pri ni iz tudi pa njegov".split(),
+    "et": "ja on ei et see ta kui ka aga oli oma nii mis või siis väga pärast juba veel ning kuid mitte".split(),
+    "lt": "ir yra kad ne su į iš bet kaip per po jis ji tai dar labai buvo apie už nuo savo arba".split(),
+    "lv": "un ir ka ne ar uz no bet kā par pēc viņš viņa tas vēl ļoti bija pie savu vai tika".split(),
+    "ca": "el la els les i és un una de que en amb es del per més quan però no com està fou molt seu seva cap durant".split(),
 }
 SHARED: dict[str, list[str]] = {}
 for _lang, _words in WORDS.items():
@@ -74,6 +87,7 @@ for _lang, _words in WORDS.items():
         SHARED.setdefault(_w, []).append(_lang)
 
 TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)?", re.U)
+LABEL = re.compile(r"[^\W_]+(?:[_'’-][^\W_]+)*_?")
 SENTENCE = re.compile(r"(?<=[.!?])[\"'”)]*\s+|\n+")
 
 
@@ -108,16 +122,32 @@ def shingle_containment(a: list[str], b: list[str], k: int = 5) -> float:
     return sum(s in have for s in own) / len(own)
 
 
-_REFUSALS, _COURTESIES = [tokens(t) for t in REFUSALS], [tokens(t) for t in COURTESIES]
+class Templates:
+    """Templates by their tokens, so that only those that share enough with a sentence are aligned."""
+
+    def __init__(self, texts: list[str], of_template: float, of_sentence: float) -> None:
+        self.all = [tokens(t) for t in texts]
+        self.of_template, self.of_sentence = of_template, of_sentence
+        self.holds: dict[str, list[int]] = {}
+        for i, t in enumerate(self.all):
+            for w in t:
+                self.holds.setdefault(w, []).append(i)
+
+    def align(self, sentence: list[str]) -> bool:
+        shared: dict[int, int] = {}
+        for w in set(sentence):
+            for i in self.holds.get(w, ()):
+                shared[i] = shared.get(i, 0) + 1
+        for i, n in shared.items():
+            t = self.all[i]
+            if n >= self.of_template * len(t) and n >= self.of_sentence * len(sentence):
+                n = lcs(t, sentence)[0]
+                if n >= self.of_template * len(t) and n >= self.of_sentence * len(sentence):
+                    return True
+        return False
 
 
-def _aligned(sentence: list[str], templates: list[list[str]], of_template: float, of_sentence: float) -> bool:
-    for t in templates:
-        if len(t) * of_template <= len(sentence) and len(sentence) * of_sentence <= len(t):
-            n = lcs(t, sentence)[0]
-            if n >= of_template * len(t) and n >= of_sentence * len(sentence):
-                return True
-    return False
+_REFUSALS, _COURTESIES = Templates(REFUSALS, 0.8, 0.45), Templates(COURTESIES, 0.8, 0.7)
 
 
 def is_refusal(text: str) -> bool:
@@ -126,12 +156,19 @@ def is_refusal(text: str) -> bool:
     for s in SENTENCE.split(re.sub(r"[\"“„][^\"”“]*[\"”“]", " ", text)):
         t = tokens(s)
         total += len(t)
-        if not t or _aligned(t, _COURTESIES, 0.8, 0.7):
+        if not t:
             continue
-        if len(t) <= 24 and (_aligned(t, _REFUSALS, 0.8, 0.45) or REFUSING.search(s)):
+        if _REFUSALS.align(t):
             refused += 1
-        else:
-            other += len(t)
+        elif not _COURTESIES.align(t):
+            # A courtesy before the first comma may stand in one sentence with the refusal.
+            head, _, tail = s.partition(",")
+            if tail and _COURTESIES.align(tokens(head)) and _REFUSALS.align(tokens(tail)):
+                refused += 1
+            else:
+                other += len(t)
+                if not refused and other > 60:
+                    return False
     return refused > 0 and other <= 0.2 * total
 
 
@@ -150,10 +187,19 @@ def is_foreign(prompt: str, text: str) -> bool:
     if len(letters) >= 8 and far > 0.5 * len(letters):
         return sum(ord(c) > 0x24F for c in prompt if c.isalpha()) <= 0.5 * sum(c.isalpha() for c in prompt)
     own, _ = language(prompt)
-    best, score = language(text)
-    if own is None or best is None or best == own:
+    if own is None:
         return False
-    return score[best] >= 2 and score[best] >= 2 * score.get(own, 0)
+    # Words of the prompt's language against those of the one that holds most of the others.
+    ours, others = 0, {}
+    for t in tokens(text):
+        langs = SHARED.get(t, ())
+        if own in langs:
+            ours += 1
+        else:
+            for x in langs:
+                others[x] = others.get(x, 0) + 1
+    most = max(others.values(), default=0)
+    return most >= 2 and most >= 2 * ours
 
 
 def is_copy(prompt: str, text: str) -> bool:
@@ -177,30 +223,33 @@ def is_copy(prompt: str, text: str) -> bool:
     return False
 
 
-def is_label(text: str, options: set[str]) -> bool:
-    t = text.strip().strip(".!?\"' ").lower()
-    return t in LABELS or t in options
+def closing_label(text: str) -> tuple[str, list[str]] | None:
+    """Where a text may end with a label: ``answer`` after an answer's mark or ``bare``, and its tokens; else None."""
+    closing = re.split(r"(?i)\b(?:answer|antwort)\s*:", text)[-1]
+    words = LABEL.findall(closing.lower())
+    if not 0 < len(words) <= LABEL_WORDS or re.search(r"[.!?。！？][\"'”’)*_]*$", text.rstrip()):
+        return None
+    return ("answer" if closing != text else "bare"), words
 
 
-def is_truncated(text: str, options: set[str]) -> bool:
-    """The text stops inside a word or sentence: no end of a sentence and no whole label closes it."""
+def is_truncated(text: str) -> bool:
+    """The text, which ends with no label, stops inside a word or sentence."""
     t = text.rstrip().rstrip("\"'”’)*_ ")
     if re.search(r"(?:\.\.\.|…|\[\.\.\.\])$", t.rstrip("]) ") if t.endswith("]") else t):
         return True
     closing = re.split(r"(?i)\b(?:answer|antwort)\s*:", text)[-1]
-    name = closing.strip().strip(".!?\"' ").lower()
-    if closing != text and name and len(tokens(name)) <= 4:
-        # A label after its mark is whole unless it is the beginning of a known one.
-        return name not in LABELS | options and any(x.startswith(name) for x in LABELS | options)
-    if is_label(closing, options):
-        return False
+    if closing != text and 0 < len(LABEL.findall(closing)) <= LABEL_WORDS:
+        return False  # a label with a full stop
     if re.search(r"\b(?:near|about|around|reaching|of|is|to|etwa|auf|bei|um|von)\s+\d{1,2}\.$", t):
         return True
     return not re.search(r"[.!?。！？][\"'”’)*_]*$", text.rstrip())
 
 
 def defect_of(prompt: str | None, answer: str | None) -> str | None:
-    """The defect of one answer, or None. Order: empty, copied_question, refusal, other_language, truncated."""
+    """The defect of one answer, None, or ``label?`` where its closing words are a label or the beginning of one.
+
+    Order: empty, copied_question, refusal, other_language, truncated.
+    """
     if answer is None:
         return "empty"
     prompt = prompt or ""
@@ -212,9 +261,9 @@ def defect_of(prompt: str | None, answer: str | None) -> str | None:
     bare = body.strip().strip("[](){}<>").strip()
     if not re.search(r"[^\W_]", bare, re.U):
         return "empty"
-    if bare in PLACEHOLDERS and (body == text.strip() or bare.lower() not in options | LABELS):
+    if bare in PLACEHOLDERS and (body == text.strip() or bare.lower() not in options):
         return "empty"
-    if is_label(body, options):
+    if body.strip().strip(".!?\"' ").lower() in options:
         return None
     if is_copy(prompt, text):
         return "copied_question"
@@ -222,9 +271,15 @@ def defect_of(prompt: str | None, answer: str | None) -> str | None:
         return "refusal"
     if is_foreign(prompt, body):
         return "other_language"
-    if is_truncated(body, options):
+    if re.search(r"(?:\.\.\.|…)[\"'”’)\]]*$", text):
         return "truncated"
-    return None
+    label = closing_label(text)
+    if label:
+        name = " ".join(label[1])
+        if name in options:
+            return None
+        return "truncated" if any(o.startswith(name) or name.startswith(f"{o} ") for o in options) else "label?"
+    return "truncated" if is_truncated(text) else None
 
 
 def defective_pairs(
@@ -245,15 +300,57 @@ def defective_pairs(
 
     def judge(batches):
         for b in batches:
-            found = [defect_of(p, a) for p, a in zip(b.column("prompt").to_pylist(), b.column("answer").to_pylist(), strict=True)]
-            at = pa.array([i for i, d in enumerate(found) if d], pa.int64())
+            out: list[list] = [[] for _ in range(4)]
+            for i, (p, a) in enumerate(zip(b.column("prompt").to_pylist(), b.column("answer").to_pylist(), strict=True)):
+                d = defect_of(p, a)
+                if d:
+                    kind, words = closing_label(MARKS.sub("", a).strip()) if d == "label?" else (None, [])
+                    for x, y in zip(out, (i, d, kind, words), strict=True):
+                        x.append(y)
+            at = pa.array(out[0], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column("id").take(at), b.column("side").take(at), pa.array([d for d in found if d], pa.string())],
-                names=["id", "side", "defect"],
+                [b.column("id").take(at), b.column("side").take(at), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), pa.array(out[3], pa.list_(pa.string()))],
+                names=["id", "side", "defect", "kind", "words"],
             )
 
     kind = dict(rows.dtypes)["id"]
-    return rows.mapInArrow(judge, f"id {kind}, side string, defect string").distinct().withColumnRenamed("id", id_col)
+    found = cut(rows.mapInArrow(judge, f"id {kind}, side string, defect string, kind string, words array<string>").distinct())
+    unsure = found.filter("defect = 'label?'").select("id", "side", "kind", F.concat_ws(" ", F.slice("words", 1, F.size("words") - 1)).alias("before"), F.element_at("words", -1).alias("word"))
+    return found.filter("defect <> 'label?'").select("id", "side", "defect").union(_broken_labels(found, unsure, rows)).withColumnRenamed("id", id_col)
+
+
+def _begun(words: DataFrame, asked: DataFrame, kind: str) -> DataFrame:
+    """Of (words, ends, c): how often each asked (before, word) ends, goes on, or is the beginning of a longer word."""
+    steps = words.select("c", "ends", F.posexplode("words").alias("i", "word"), "words").select(
+        F.concat_ws(" ", F.slice("words", 1, F.col("i"))).alias("before"), "word", (F.col("ends") & (F.col("i") == F.size("words") - 1)).alias("end"), "c"
+    )
+    steps = steps.groupBy("before", "word").agg(F.sum(F.when(F.col("end"), F.col("c")).otherwise(0)).alias("own"), F.sum(F.when(~F.col("end"), F.col("c")).otherwise(0)).alias("on"))
+    steps = steps.join(asked.select("before").distinct(), "before", "left_semi")
+    parts = steps.select("before", F.explode(F.expr("transform(sequence(1, length(word)), i -> substring(word, 1, i))")).alias("part"), "word", "own", "on")
+    whole = F.col("part") == F.col("word")
+    return parts.groupBy("before", F.col("part").alias("word")).agg(
+        F.sum(F.when(whole, F.col("own")).otherwise(0)).alias(f"{kind}_own"),
+        F.sum(F.when(whole, F.col("on")).otherwise(F.col("own") + F.col("on"))).alias(f"{kind}_on"),
+    )
+
+
+def _broken_labels(found: DataFrame, unsure: DataFrame, rows: DataFrame) -> DataFrame:
+    """Closing words that are no whole label: id, side, defect.
+
+    They are a label where two answers or more end with them and a share of ``LABEL_SHARE`` or more of
+    those that begin so; single ones where the openings of all answers, held beside, leave that share too.
+    """
+    asked = unsure.select("before", "word").distinct()
+    labels = found.filter("defect = 'label?'").select("id", "words").distinct().groupBy("words").agg(F.count("*").alias("c"))
+    ends = _begun(labels.withColumn("ends", F.lit(True)), asked, "l")
+    opening = F.slice(F.expr(r"filter(split(lower(substring(answer, 1, 400)), '[^\\p{L}\\p{N}_\'’-]+'), x -> x <> '')"), 1, LABEL_WORDS + 1)
+    starts = rows.filter("answer is not null").select(opening.alias("words")).filter(F.size("words") > LABEL_WORDS).groupBy("words").agg(F.count("*").alias("c"))
+    opens = _begun(starts.withColumn("ends", F.lit(False)), asked, "p")
+    got = unsure.join(ends, ["before", "word"], "left").join(opens, ["before", "word"], "left").na.fill(0)
+    settled = (F.col("l_own") > 1) & (F.col("l_own") >= LABEL_SHARE * (F.col("l_own") + F.col("l_on")))
+    single = (F.col("kind") == "answer") | (F.col("l_own") >= LABEL_SHARE * (F.col("l_own") + F.col("l_on") + F.col("p_on")))
+    whole = settled | (single & (F.col("l_own") >= LABEL_SHARE * (F.col("l_own") + F.col("l_on"))))
+    return got.filter(~whole).select("id", "side", F.lit("truncated").alias("defect"))
 
 
 def defect_rates(pairs: DataFrame, by: str = "stage", **columns) -> DataFrame:

@@ -53,3 +53,31 @@ def test_table(spark):
     got = {tuple(r) for r in pairs.defective_pairs(df).collect()}
     assert got == {(1, "generated", "empty"), (2, "generated", "empty"), (2, "gold", "empty"), (None, "gold", "truncated"), (3, "generated", "truncated")}
     assert pairs.defective_pairs(df).count() == 5 and pairs.defective_pairs(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("prompt", "answer", "want"),
+    [
+        (TELL, "As an AI language model, that's beyond what I do.", "refusal"), (ASK, "Sorry, no.", "refusal"), (DE, "Auf diese Bitte gehe ich lieber nicht ein.", "refusal"),
+        (DE, "Es tut mir leid, das kann ich nicht machen.", "refusal"), (ASK, "I'd rather not.", "refusal"), (TELL, "I'm sorry, I can't assist with that.", "refusal"),
+        (TELL, "I cannot see much tension, because the patient remains calm.", None), (TELL, "We cannot rule out tension here.", None), (TELL, "The client will not answer the letter before Monday.", None),
+        (DE, "Der Klient kann dazu heute nichts sagen und schaut lange zum Fenster.", None),
+        (TELL, "Asiakas puhuu ensi viikosta, mutta hän ei ole vielä kovin rauhallinen.", "other_language"), (TELL, "Clientul vorbește despre săptămâna viitoare, dar nu este foarte calm.", "other_language"),
+        (TELL, "A kliens a jövő hétről beszél, de még nem nagyon nyugodt, és hallgat.", "other_language"), (TELL, "Klient mluví o příštím týdnu, ale ještě není velmi klidný a je unavený.", "other_language"),
+        (TELL, "Klien berbicara tentang minggu depan, tetapi dia tidak sangat tenang dan sudah lelah.", "other_language"), (TELL, "Klienten snakker om neste uke, men han er ikke rolig og ser ned.", "other_language"),
+    ],
+)
+def test_defects_in_other_words(prompt, answer, want):
+    assert pairs.defect_of(prompt, answer) == want
+
+
+def test_labels_are_told_by_the_table(spark):
+    """No list of labels: single and repeated ones are whole, beginnings of labels and of sentences are not."""
+    ask = "Which state or activity is shown? Explain."
+    whole = ["drowsy", "Atrial flutter", "jogging", "Answer: jogging", "Answer: walking", "Answer: walking_down", "no", "Answer: not sure"]
+    broken = ["Answer: jogg", "Answer: not", "The client", "The clie", "Answer: walking_"]
+    prose = ["The client talks about the week and seems calm.", "The client looks down for a while.", "No long pause is seen in the turn."]
+    rows = [(i, ask, a, "The face stays neutral.") for i, a in enumerate([*whole, *broken])]
+    rows += [(100 + i, ask, (whole[2:] + prose)[i % 9], "Answer: not sure") for i in range(180)]
+    got = pairs.defective_pairs(spark.createDataFrame(rows, "pair_id long, input_text string, generated string, gold string")).collect()
+    assert sorted((r.pair_id, r.side, r.defect) for r in got) == [(len(whole) + i, "generated", "truncated") for i in range(len(broken))]
