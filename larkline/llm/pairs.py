@@ -92,7 +92,7 @@ SENTENCE = re.compile(r"(?<=[.!?])[\"'”)]*\s+|\n+")
 
 
 def tokens(text: str) -> list[str]:
-    return [t.replace("’", "'") for t in TOKEN.findall(text.lower())]
+    return TOKEN.findall(text.lower().replace("’", "'"))
 
 
 def lcs(a: list[str], b: list[str]) -> tuple[int, int]:
@@ -172,21 +172,42 @@ def is_refusal(text: str) -> bool:
     return refused > 0 and other <= 0.2 * total
 
 
-def language(text: str) -> tuple[str | None, dict[str, float]]:
-    """Best language by function words, and all scores; a word of k languages counts 1/k."""
+def language(text: str) -> str | None:
+    """Best language by function words; a word of k languages counts 1/k."""
     score: dict[str, float] = {}
     for t in tokens(text):
         for lang in SHARED.get(t, ()):
             score[lang] = score.get(lang, 0) + 1 / len(SHARED[t])
-    return (max(score, key=lambda k: (score[k], k)), score) if score else (None, score)
+    return max(score, key=lambda k: (score[k], k)) if score else None
+
+
+#: Prompts come once a side and often again: language and tokens of the last few are kept.
+KEPT: dict[str, tuple[str | None, list[str]]] = {}
+
+
+def _prompt(text: str) -> tuple[str | None, list[str]]:
+    got = KEPT.get(text)
+    if got is None:
+        if len(KEPT) >= 256:
+            KEPT.clear()
+        got = KEPT[text] = (language(text), tokens(text))
+    return got
+
+
+FAR = re.compile("[^\\W\\d_\u0000-\u024f]")
+LETTER = re.compile(r"[^\W\d_]")
+
+
+def _mostly_far(text: str) -> bool:
+    """More than half of the letters, and at least eight, are of other alphabets than the Latin one."""
+    far = 0 if text.isascii() else len(FAR.findall(text))
+    return far > 4 and len(letters := LETTER.findall(text)) >= 8 and far > 0.5 * len(letters)
 
 
 def is_foreign(prompt: str, text: str) -> bool:
-    letters = [c for c in text if c.isalpha()]
-    far = sum(ord(c) > 0x24F for c in letters)
-    if len(letters) >= 8 and far > 0.5 * len(letters):
-        return sum(ord(c) > 0x24F for c in prompt if c.isalpha()) <= 0.5 * sum(c.isalpha() for c in prompt)
-    own, _ = language(prompt)
+    if _mostly_far(text):
+        return not _mostly_far(prompt)
+    own = _prompt(prompt)[0]
     if own is None:
         return False
     # Words of the prompt's language against those of the one that holds most of the others.
@@ -205,7 +226,7 @@ def is_foreign(prompt: str, text: str) -> bool:
 def is_copy(prompt: str, text: str) -> bool:
     """The text's tokens are the prompt's, or a passage of it, perhaps with a few left out or changed."""
     body = OPENER.sub("", PREFIX.sub("", text))
-    a, q = tokens(body), tokens(prompt)
+    a, q = tokens(body), _prompt(prompt)[1]
     if len(a) < 4 or not q:
         return False
     have = set(q)
