@@ -213,7 +213,7 @@ def a25(spark, d):
     return se(spark, d).groupBy("itype").agg(*[F.round(F.avg(F.coalesce(c, F.lit(0.0))) * 100, 6).alias(c) for c in ("pr", "inn")])
 
 
-RATERS = "k as (select o_orderkey % 500 as sample, o_orderpriority as v, row_number() over (partition by o_orderkey % 500 order by o_orderkey) as i from orders), q as (select least(a.v, b.v) as a, greatest(a.v, b.v) as b from k a join k b using (sample) where a.i < b.i and a.i <= 4 and b.i <= 4)"
+RATERS = "k as (select o_orderkey // 4 as sample, o_orderpriority as v, o_orderkey as i from orders), q as (select least(a.v, b.v) as a, greatest(a.v, b.v) as b from k a join k b using (sample) where a.i < b.i)"
 
 
 @R.add("A-26_agreement", f"with {RATERS} select a || ' ↔ ' || b as pair, count(*) as n, a = b as agreed from q group by all")
@@ -324,7 +324,7 @@ def a41(spark, d):
     return table(spark, d, "events").select("user_id", "event_id", F.round(F.sum(F.col("value") * n).over(w) / F.sum(n).over(w), 9).alias("mean"))
 
 
-@R.add("A-42_reviewer_pivot", "with k as (select o_orderkey % 500 as sample, o_orderpriority as v, row_number() over (partition by o_orderkey % 500 order by o_orderkey) as i from orders) select sample, coalesce(max(v) filter (i = 1), '') as reviewer_1, coalesce(max(v) filter (i = 2), '') as reviewer_2, coalesce(max(v) filter (i = 3), '') as reviewer_3 from k group by 1")
+@R.add("A-42_reviewer_pivot", "with k as (select o_orderkey // 4 as sample, o_orderpriority as v, row_number() over (partition by o_orderkey // 4 order by o_orderkey) as i from orders) select sample, coalesce(max(v) filter (i = 1), '') as reviewer_1, coalesce(max(v) filter (i = 2), '') as reviewer_2, coalesce(max(v) filter (i = 3), '') as reviewer_3, coalesce(max(v) filter (i = 4), '') as reviewer_4 from k group by 1")
 def a42(spark, d):
     o = table(spark, d, "orders").select(F.expr("o_orderkey div 4").alias("sample"), F.col("o_orderpriority").alias("v"), "o_orderkey")
     k = o.withColumn("i", F.row_number().over(Window.partitionBy("sample").orderBy("o_orderkey")))

@@ -184,7 +184,7 @@ def f31(spark, d):
     return arr(spark, d).select(*KEY, F.round(F.aggregate(back, F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
 
 
-@R.add("F-32_two_decimals", f"with {ARR} select {K}, array_to_string(list_transform(x[1:20], lambda v: '\"' || replace(printf('%.2f', abs(v)), '.', '') || '\"'), ',') as text from s")
+@R.add("F-32_two_decimals", f"with {ARR} select {K}, array_to_string(list_transform(x, lambda v: '\"' || replace(printf('%.2f', abs(v)), '.', '') || '\"'), ',') as text from s")
 def f32(spark, d):
     return arr(spark, d).select(*KEY, arrays.two_decimals(F.transform("x", F.abs)).alias("text"))
 
@@ -201,7 +201,7 @@ def f34(spark, d):
     return table(spark, d, "orders").select("o_orderkey", arrays.first_int(F.concat(F.lit("["), "o_orderkey", F.lit("]"))).alias("n"))
 
 
-@R.add("F-37_softmax", "with e as (select vec_id, list_transform(embedding[1:8], lambda v: v::double) as x from embeddings), s as (select vec_id, list_transform(x, lambda v: exp(v - list_max(x))) as e from e) select vec_id, round(list_max(e) / list_sum(e), 6) as confidence from s")
+@R.add("F-37_softmax", "with e as (select vec_id, list_transform(embedding, lambda v: v::double) as x from embeddings), s as (select vec_id, list_transform(x, lambda v: exp(v - list_max(x))) as e from e) select vec_id, round(list_max(e) / list_sum(e), 6) as confidence from s")
 def f37(spark, d):
     x = F.col("embedding").cast("array<double>")
     return table(spark, d, "embeddings").select("vec_id", F.round(F.array_max(arrays.softmax(x)), 6).alias("confidence"))

@@ -134,7 +134,7 @@ def j10(spark, d):
     return clean.latest(rows, ["patient"], [F.col("tier"), F.desc(F.length("file_name")), F.col("file_name")])
 
 
-@R.add("J-11_fuzzy_match", "with t as (select doc_id, list_distinct(list_filter(string_split(lower(substr(text, 1, 60)), ' '), lambda x: length(x) > 4)) as toks from documents), c as (select t.doc_id, s.st, len(list_filter(toks, lambda x: contains(s.st, x))) as score, least(2, len(toks)) as need from t join (select source as st from mix_targets) s on true), b as (select *, row_number() over (partition by doc_id order by score desc, st) as k from c where score >= 1 and score >= need - 1) select doc_id, st, score from b where k = 1")
+@R.add("J-11_fuzzy_match", "with t as (select doc_id, list_distinct(list_filter(string_split(lower(text), ' '), lambda x: length(x) > 4)) as toks from documents), c as (select t.doc_id, s.st, len(list_filter(toks, lambda x: contains(s.st, x))) as score, least(2, len(toks)) as need from t join (select source as st from mix_targets) s on true), b as (select *, row_number() over (partition by doc_id order by score desc, st) as k from c where score >= 1 and score >= need) select doc_id, st, score from b where k = 1")
 def j11_fuzzy(spark, d):
     docs = table(spark, d, "documents")
     toks = F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda x: F.length(x) > 4))
@@ -195,7 +195,7 @@ def j18(spark, d):
     return p.select("pair_id").distinct().join(q, "pair_id", "left").select("pair_id", F.coalesce("template_id", F.lit(-1)).alias("template_id"))
 
 
-@R.add("J-19_rater_pairs", "with r as (select o_orderkey % 500 as sample, o_orderkey as pos, o_orderpriority as v from orders), k as (select *, row_number() over (partition by sample order by pos) as i from r) select a.sample, a.pos as pos_a, b.pos as pos_b, a.v as a, b.v as b from k a join k b on a.sample = b.sample and a.i < b.i and a.i <= 4 and b.i <= 4")
+@R.add("J-19_rater_pairs", "with r as (select o_orderkey // 4 as sample, o_orderkey as pos, o_orderpriority as v from orders) select a.sample, a.pos as pos_a, b.pos as pos_b, a.v as a, b.v as b from r a join r b on a.sample = b.sample and a.pos < b.pos")
 def j19(spark, d):
     # A sample has four raters: the rows of four keys in a row, so that every row takes part.
     o = table(spark, d, "orders").select(F.expr("o_orderkey div 4").alias("sample"), F.col("o_orderkey").alias("pos"), F.col("o_orderpriority").alias("v"))
@@ -208,7 +208,7 @@ def j20(spark, d):
     return table(spark, d, "predictions").select("stage").distinct().select(F.explode(F.array(*map(F.lit, regions))).alias("r_name"), "stage")
 
 
-@R.add("J-22_merge_new", f"with {SEG}, a as (select * from sg where pos % 2 = 0), b as (select * from sg where pos % 3 = 0) select session_id, pos, text from a union all select session_id, pos, text from b where not exists (select 1 from a where a.session_id = b.session_id and round(a.slo / 1000.0, 3) = round(b.slo / 1000.0, 3) and round(a.shi / 1000.0, 3) = round(b.shi / 1000.0, 3) and coalesce(a.text, '') = coalesce(b.text, ''))")
+@R.add("J-22_merge_new", f"with {SEG}, a as (select * from sg where pos % 2 = 0), b as (select * from sg where coalesce(pos % 2 <> 0 or pos % 3 = 0, true)) select session_id, pos, text from a union all select session_id, pos, text from b where not exists (select 1 from a where a.session_id = b.session_id and round(a.slo / 1000.0, 3) = round(b.slo / 1000.0, 3) and round(a.shi / 1000.0, 3) = round(b.shi / 1000.0, 3) and coalesce(a.text, '') = coalesce(b.text, ''))")
 def j22(spark, d):
     s = sg(spark, d)
     key = [F.col("session_id"), F.round(F.col("slo") / 1000, 3), F.round(F.col("shi") / 1000, 3), F.coalesce("text", F.lit(""))]

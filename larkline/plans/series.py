@@ -143,7 +143,7 @@ def w14c(spark, d):
     return s.select(*KEY, F.round(F.array_max("x") - mean, 6).alias("high"), F.round(F.array_max(z), 6).alias("z"))
 
 
-@R.add("W-15_patches", f"with {ARR}, p as (select {K}, x[1:200] as x from s where len(x) >= 200), e as (select {K}, unnest(range(0, 50)) as i, x from p) select {K}, i, round(list_sum(x[i * 4 + 1:i * 4 + 4]) / 4, 6) as mean from e")
+@R.add("W-15_patches", f"with {ARR}, e as (select {K}, unnest(range(0, cast(ceil(len(x) / 4.0) as bigint))) as i, x from s) select {K}, i, round(list_sum(x[i * 4 + 1:i * 4 + 4]) / 4, 6) as mean from e")
 def w15(spark, d):
     s = arr(spark, d).select(*KEY, F.posexplode(timeseries.patches(timeseries.pad_zero(F.col("x"), 4), 4)).alias("i", "p"))
     return s.select(*KEY, "i", F.round(F.aggregate("p", F.lit(0.0), lambda a, v: a + v) / 4, 6).alias("mean"))
@@ -162,7 +162,7 @@ def w17(spark, d):
     return timeseries.first_k(tu(spark, d), ["session_id"], order, 5).select("session_id", "turn_index", "lo")
 
 
-@R.add("W-18_default_sort_key", "select session_id, place, coalesce(turn_index, -1) as turn_index from (select *, row_number() over (partition by session_id order by coalesce(turn_index, 1000000000), start_s nulls last, end_s nulls last, speech_unsummarised, speaker_id) as place from turns) where place <= 3")
+@R.add("W-18_default_sort_key", "select session_id, place, coalesce(turn_index, -1) as turn_index from (select *, row_number() over (partition by session_id order by coalesce(turn_index, 1000000000), start_s nulls last, end_s nulls last, speech_unsummarised, speaker_id) as place from turns)")
 def w18(spark, d):
     order = [F.coalesce("turn_index", F.lit(10**9)), F.asc_nulls_last("start_s"), F.asc_nulls_last("end_s"), F.asc_nulls_last("speech_unsummarised"), F.asc_nulls_last("speaker_id")]
     place = F.row_number().over(Window.partitionBy("session_id").orderBy(*order))
