@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,17 +16,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the files.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which all executors see.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (local tests) a temporary one is made.
+    Where it is unset, as in tests on one machine, a temporary one that ends with the process; a
+    cluster without it is an error, since its executors could not read each other's files.
     """
-    spark = df.sparkSession
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="larkline-"))
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir")
+    if base:
+        return base.rstrip("/")
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _OWN:
+        folder = _OWN[context.applicationId] = tempfile.mkdtemp(prefix="larkline-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return _OWN[context.applicationId]
+
+
+_OWN: dict[str, str] = {}
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and go on from the files."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -76,8 +94,5 @@ def finite(c: Column | str) -> Column:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder name in the session's shared checkpoint folder, or a temporary one where that is unset."""
-    import uuid
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="larkline-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder name in the session's shared folder."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"

@@ -1,4 +1,7 @@
+import atexit
+import shutil
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -6,12 +9,16 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
+FOLDER = tempfile.mkdtemp(prefix="tests-")
+atexit.register(shutil.rmtree, FOLDER, ignore_errors=True)
+
 
 @pytest.fixture(scope="session")
 def spark():
     s = (
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "3g").config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", FOLDER).config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
