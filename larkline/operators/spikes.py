@@ -164,8 +164,8 @@ def flag_faults(
 
     Defined cases: rows with success other than 1, confidence below ``min_confidence`` or null, or
     a null frame are not judged; null and NaN values are no readings; repeated rows count once and,
-    should a frame hold several values, each is judged; rows with a null id belong to no recording
-    and are not judged. Recordings with fewer than ``min_readings`` readings are only held against the
+    should a frame hold several values, each is judged; rows with a null id, which belong to no
+    recording, are held against the scale alone. Recordings with fewer than ``min_readings`` readings are only held against the
     scale. Other columns, whatever their names, are ignored; an empty table gives no rows.
 
     One shuffle: map-side sets pack each recording's readings into one row, which also drops
@@ -188,10 +188,13 @@ def flag_faults(
             finite("ts_s").alias("t"),
             *[finite(c).alias(f"v{i}") for i, c in enumerate(channels)],
         )
-        .dropna(subset=list(KEY))
         .filter(F.coalesce(*[F.col(f"v{i}") for i in range(d)]).isNotNull())
-        .withColumn("part", F.explode(near))
     )
+    stray = F.col("patient_id").isNull() | F.col("subject_role").isNull() | F.col("interview_type").isNull()
+    each = F.inline(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(f"v{i}").alias("value")) for i, c in enumerate(channels)]))
+    alone = rows.filter(stray).select(*KEY, F.col("frame").cast("int").alias("frame"), each).distinct()
+    alone = alone.filter((F.col("value") < low) | (F.col("value") > high)).withColumn("fault", F.lit("off_scale"))
+    rows = rows.filter(~stray).withColumn("part", F.explode(near))
     packed = rows.groupBy(*KEY, "part").agg(
         F.collect_set(F.struct("frame", F.coalesce("t", F.lit(float("nan"))).alias("t"),
                                *[F.coalesce(f"v{i}", F.lit(float("nan"))).alias(f"v{i}") for i in range(d)])).alias("r")
@@ -234,14 +237,14 @@ def flag_faults(
 
     of = F.floor(F.col("frame") / STRETCH)
     if frames.select(F.min(of) == F.max(of)).first()[0] is not False:  # no recording can lie in two stretches
-        return packed.mapInArrow(judge, schema).drop("lo", "hi")
+        return packed.mapInArrow(judge, schema).drop("lo", "hi").unionByName(alone)
     stretch = rows.select(*KEY, of.alias("s")).groupBy(*KEY).agg(F.min("s").alias("a"), F.max("s").alias("b"))
     long = cut(stretch.filter("a < b").select(*KEY))
     if long.isEmpty():
-        return packed.mapInArrow(judge, schema).drop("lo", "hi")
+        return packed.mapInArrow(judge, schema).drop("lo", "hi").unionByName(alone)
     found = packed.join(long, list(KEY), "left_anti").mapInArrow(judge, schema).drop("lo", "hi")
     parts = cut(packed.join(long, list(KEY), "left_semi").mapInArrow(lambda batches: judge(batches, True), schema))
-    return found.unionByName(_clear_of_all(parts, min_gap))
+    return found.unionByName(_clear_of_all(parts, min_gap)).unionByName(alone)
 
 
 def _clear_of_all(parts: DataFrame, min_gap: float) -> DataFrame:

@@ -6,14 +6,11 @@ from pyspark.sql import functions as F
 
 from larkline.core import table
 from larkline.operators import grid, intervals, spikes
+from larkline.plans.base import TYPE_SQL
 from larkline.plans.registry import Registry
 
 R = Registry()
 
-TYPE_SQL = """case when contains(lower(trim(interview_type)), 'bind') then 'bindung'
- when starts_with(lower(trim(interview_type)), 'pers') or starts_with(lower(trim(interview_type)), 'st') then 'personal'
- when starts_with(lower(trim(interview_type)), 'wun') or contains(lower(trim(interview_type)), 'wf') then 'wunder' end"""
-
 USABLE_SQL = f"""usable as (select distinct patient_id, subject_role, {TYPE_SQL} as itype, frame, ts_s, au04_r, au12_r from frames
  where success = 1 and confidence >= 0.5 and ts_s is not null and au04_r is not null and au12_r is not null),
 unit as (select patient_id, subject_role, itype, case when max(ts_s) - min(ts_s) > 1000 then 1000 else 1 end as u from usable group by all),

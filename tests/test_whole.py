@@ -171,3 +171,37 @@ def test_ellipsoids_decide():
     found = np.flatnonzero(spikes.phase_space(v, o)[0])
     assert found.tolist() == [200, 300]
     assert spikes.phase_space(v, o, gate=False)[0].sum() > 10  # the tie-break alone takes blinks for spikes
+
+
+def test_long_recordings_fill_like_short_ones(spark):
+    """A wave that recordings share, 600 seconds long: cells beyond the first block are filled too, and an empty block."""
+    import numpy as np
+
+    from larkline.operators import grid
+
+    rng = np.random.default_rng(8)
+    n, rows = 700, []
+    for r in range(24):
+        amp = rng.uniform(0.3, 1.0)
+        for t in range(n):
+            if (r == 0 and 255 < t < 515) or (0 < t < n - 1 and rng.random() < 0.15):
+                continue
+            v = float(2.0 + amp * np.sin(t / 25))
+            rows.append((f"VP{r:07d}", "patient", "bindung", t, t + 0.5, 0.9, 1, v, 4 - v))
+    f = spark.createDataFrame(rows, "patient_id string, subject_role string, interview_type string, frame int, ts_s double, confidence double, success int, au04_r double, au12_r double")
+    got = grid.regular_grid(f, rank=3, reg=0.05, min_rows=8).toPandas()
+    assert len(got) == 24 * n and set(got.status) == {"observed", "filled"}
+    filled = got[got.status == "filled"]
+    assert set(filled.cell_s // grid.BLOCK) == {0, 1, 2} and len(filled[(filled.patient_id == "VP0000000") & filled.cell_s.between(256, 511)]) == 256
+    wave = np.sin(filled.cell_s / 25)
+    assert np.sqrt(np.mean((filled.au04_r - 2.0 - 0.65 * wave) ** 2)) < 0.3
+    one = grid.regular_grid(f.filter("ts_s < 250"), rank=3, reg=0.05, min_rows=8).filter("status = 'filled'").count()
+    assert one > 500
+
+
+def test_frames_without_ids_are_held_against_the_scale(spark):
+    from larkline.operators import spikes
+
+    row = (None, "patient", "bindung", 3, 1.0, 0.9, 1, 7.0, 1.0, -1.0)
+    f = spark.createDataFrame([row, row], "patient_id string, subject_role string, interview_type string, frame int, ts_s double, confidence double, success int, au04_r double, au25_r double, au45_r double")
+    assert sorted((r.channel, r.fault) for r in spikes.flag_faults(f).collect()) == [("au04_r", "off_scale"), ("au45_r", "off_scale")]
