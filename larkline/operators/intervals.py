@@ -62,14 +62,15 @@ def covered_periods(turns: DataFrame, key: str = "session_id", start: str = "sta
 
 
 def _swept(times: DataFrame, key: str) -> DataFrame:
-    sliced = times.withColumn("slice", F.explode(F.sequence(F.floor(F.col("lo") / SLICE_MS), F.floor(F.col("hi") / SLICE_MS))))
-    clipped = sliced.select(
-        key,
-        "slice",
-        F.greatest("lo", F.col("slice") * SLICE_MS).alias("lo"),
-        F.least("hi", (F.col("slice") + 1) * SLICE_MS).alias("hi"),
-    )
-    return merge_periods(merge_periods(clipped, [key, "slice"], "lo", "hi").drop("slice"), [key], "lo", "hi")
+    # An interval is cut at the first and the last slice border inside it, however many lie between: its
+    # ends are swept in their slices, the whole slices between meet those in the second sweep.
+    at = times.select(key, "lo", "hi", F.floor(F.col("lo") / SLICE_MS).alias("a"), F.floor(F.col("hi") / SLICE_MS).alias("b"))
+    one = F.struct(F.col("a").alias("slice"), "lo", "hi")
+    head = F.struct(F.col("a").alias("slice"), "lo", ((F.col("a") + 1) * SLICE_MS).alias("hi"))
+    tail = F.struct(F.col("b").alias("slice"), (F.col("b") * SLICE_MS).alias("lo"), "hi")
+    ends = at.select(key, F.inline(F.when(F.col("a") == F.col("b"), F.array(one)).otherwise(F.array(head, tail))))
+    between = at.filter("b > a + 1").select(key, ((F.col("a") + 1) * SLICE_MS).alias("lo"), (F.col("b") * SLICE_MS).alias("hi")).distinct()
+    return merge_periods(merge_periods(ends, [key, "slice"], "lo", "hi").drop("slice").unionByName(between), [key], "lo", "hi")
 
 
 def gaps(turns: DataFrame, key: str = "session_id", start: str = "start_s", end: str = "end_s", longest_s: int = 4000) -> DataFrame:

@@ -143,3 +143,12 @@ def test_long_recordings_are_judged_by_stretches(spark):
     rows = [reading(i, i * 0.04, float(a[i]), c=None, d=None) for i in range(n)]
     got = [r.frame for r in spikes.flag_faults(frames(spark, rows), stuck_seconds=1.0).filter("fault = 'stuck'").collect()]
     assert sorted(got) == list(range(spikes.STRETCH - 20, spikes.STRETCH + 20))
+
+
+def test_one_endless_interval_stays_small(spark):
+    """A corrupt end time some years away is cut in three, not into millions of slices."""
+    rows = [(1, 0.5, 10.0), (1, 5.0, 3.0e8), (1, 70.0, 71.0), (1, 4.0e8, 4.1e8), (2, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "session_id long, start_s double, end_s double")
+    times = intervals.turn_times(df, longest_s=10**10)
+    assert sorted(tuple(r) for r in intervals._swept(times, "session_id").collect()) == [(1, 500, 300_000_000_000), (1, 400_000_000_000, 410_000_000_000), (2, 1000, 2000)]
+    assert [tuple(r) for r in intervals.gaps(df, longest_s=10**10).collect()] == [(1, 300_000_000_000, 400_000_000_000)]
