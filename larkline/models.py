@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,24 +61,39 @@ def ridge_by_group(df: DataFrame, group: str, features: list[str], target: str,
     k = len(features)
     cols = [F.lit(1.0), *map(F.col, features), F.col(target)]
     sums = [F.sum(cols[i] * cols[j]).alias(f"s{i}_{j}") for i in range(k + 2) for j in range(i, k + 2)]
-    got = rows.groupBy(group).agg(*sums).toPandas()
-    mats = np.zeros((len(got), k + 2, k + 2))
-    for i in range(k + 2):
-        for j in range(i, k + 2):
-            mats[:, i, j] = mats[:, j, i] = got[f"s{i}_{j}"].to_numpy(float)
-    out = []
-    for g, own in zip(got[group].tolist(), mats, strict=True):
-        m = mats.sum(0) - own
-        n = m[0, 0]
-        if n < 5 or own[0, 0] == 0:
-            continue
-        mean = m[0, 1:] / n
-        cov = m[1:, 1:] / n - np.outer(mean, mean)
-        sd = np.sqrt(np.maximum(np.diag(cov)[:k], 0))
-        sd[sd == 0] = 1.0
-        z = cov[:k, :k] / np.outer(sd, sd)
-        w = np.linalg.solve(z * n + alpha * np.eye(k), cov[:k, k] / sd * n) / sd
-        b = mean[k] - mean[:k] @ w
-        coef = np.concatenate(([b], w, [-1.0]))
-        out.append((g, int(own[0, 0]), float(coef @ own @ coef / own[0, 0])))
-    return df.sparkSession.createDataFrame(out, f"`{group}` string, n long, mse double")
+    got = rows.groupBy(group).agg(*sums)
+    names = [f"s{i}_{j}" for i in range(k + 2) for j in range(i, k + 2)]
+    total = [x or 0.0 for x in got.agg(*[F.sum(n) for n in names]).first()]  # one row
+
+    def matrices(values: np.ndarray) -> np.ndarray:
+        m = np.zeros((len(values), k + 2, k + 2))
+        at = 0
+        for i in range(k + 2):
+            for j in range(i, k + 2):
+                m[:, i, j] = m[:, j, i] = values[:, at]
+                at += 1
+        return m
+
+    def solve(batches):
+        whole = matrices(np.array([total], float))[0]
+        for b in batches:
+            own_all = matrices(np.stack([b.column(n).to_numpy(zero_copy_only=False) for n in names], 1).astype(float))
+            out: list[list] = [[], [], []]
+            for r, own in enumerate(own_all):
+                m = whole - own
+                n = m[0, 0]
+                if n < 5 or own[0, 0] == 0:
+                    continue
+                mean = m[0, 1:] / n
+                cov = m[1:, 1:] / n - np.outer(mean, mean)
+                sd = np.sqrt(np.maximum(np.diag(cov)[:k], 0))
+                sd[sd == 0] = 1.0
+                z = cov[:k, :k] / np.outer(sd, sd)
+                w = np.linalg.solve(z * n + alpha * np.eye(k), cov[:k, k] / sd * n) / sd
+                intercept = mean[k] - mean[:k] @ w
+                coef = np.concatenate(([intercept], w, [-1.0]))
+                for x, y in zip(out, (r, int(own[0, 0]), float(coef @ own @ coef / own[0, 0])), strict=True):
+                    x.append(y)
+            yield pa.RecordBatch.from_arrays([b.column(group).take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=[group, "n", "mse"])
+
+    return got.mapInArrow(solve, f"`{group}` {dict(rows.dtypes)[group]}, n long, mse double")

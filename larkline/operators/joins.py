@@ -56,32 +56,45 @@ def band_match(left: DataFrame, right: DataFrame, key: list[str], lid: str, inde
     return both.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
 
 
-def _neighbours(grid: DataFrame, series: DataFrame, key: list[str], at: str, values: list[str]) -> DataFrame:
-    """Each grid row with the last series row at or before it and the first at or after it."""
+def _neighbours(grid: DataFrame, series: DataFrame, key: list[str], at: str, values: list[str], carry: list[str] | None = None) -> DataFrame:
+    """Each grid row with the last series row at or before it (_p) and the first one after that (_n).
+
+    One sort: series rows stand before grid rows of the same time. ``carry``: grid columns to keep.
+    """
+    carry = carry or []
     s = series.select(*key, F.col(at).alias("_t"), F.struct(F.col(at).alias("t"), *values).alias("_v"), F.lit(0).alias("_g"))
-    rows = grid.select(*key, F.col(at).alias("_t"), F.lit(None).cast(s.schema["_v"].dataType).alias("_v"), F.lit(1).alias("_g")).unionByName(s)
-    before = Window.partitionBy(*key).orderBy("_t", "_g").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*key).orderBy("_t", F.desc("_g")).rowsBetween(0, Window.unboundedFollowing)
-    rows = rows.withColumns({"_p": F.last("_v", True).over(before), "_n": F.first("_v", True).over(after)})
+    rows = grid.select(*key, F.col(at).alias("_t"), F.lit(None).cast(s.schema["_v"].dataType).alias("_v"), F.lit(1).alias("_g"), *carry)
+    rows = rows.unionByName(s, allowMissingColumns=True)
+    by = Window.partitionBy(*key).orderBy("_t", "_g")
+    ahead = F.expr(f"lead(_v) ignore nulls over (partition by {', '.join(f'`{k}`' for k in key)} order by _t, _g)")
+    rows = rows.withColumns({"_p": F.last("_v", True).over(by.rowsBetween(Window.unboundedPreceding, 0)), "_n": ahead})
     return rows.filter("_g = 1").withColumnRenamed("_t", at)
 
 
+def _nearest(at: str, value: str) -> Column:
+    back = F.col("_p").isNotNull() & (F.col("_n").isNull() | (F.col(at) - F.col("_p.t") <= F.col("_n.t") - F.col(at)))
+    return F.when(back, F.col(f"_p.{value}")).otherwise(F.col(f"_n.{value}")).alias(value)
+
+
+def _line(at: str, value: str) -> Column:
+    a, b, ta, tb = F.col(f"_p.{value}"), F.col(f"_n.{value}"), F.col("_p.t"), F.col("_n.t")
+    return F.when(F.col("_p").isNull(), b).when(F.col("_n").isNull() | (ta == tb), a).otherwise(a + (b - a) * (F.col(at) - ta) / (tb - ta)).alias(value)
+
+
 def asof_nearest(grid: DataFrame, series: DataFrame, key: list[str], at: str, values: list[str]) -> DataFrame:
     """Values of the series row nearest in time to each grid row; a tie takes the earlier one."""
-    rows = _neighbours(grid, series, key, at, values)
-    back = F.col("_p").isNotNull() & (F.col("_n").isNull() | (F.col(at) - F.col("_p.t") <= F.col("_n.t") - F.col(at)))
-    return rows.select(*key, at, *[F.when(back, F.col(f"_p.{v}")).otherwise(F.col(f"_n.{v}")).alias(v) for v in values])
+    return _neighbours(grid, series, key, at, values).select(*key, at, *[_nearest(at, v) for v in values])
 
 
 def interpolate(grid: DataFrame, series: DataFrame, key: list[str], at: str, values: list[str]) -> DataFrame:
     """Linear interpolation of the series at the grid's times; outside its range the end values hold."""
-    rows = _neighbours(grid, series, key, at, values)
+    return _neighbours(grid, series, key, at, values).select(*key, at, *[_line(at, v) for v in values])
 
-    def line(v: str) -> Column:
-        a, b, ta, tb = F.col(f"_p.{v}"), F.col(f"_n.{v}"), F.col("_p.t"), F.col("_n.t")
-        return F.when(F.col("_p").isNull(), b).when(F.col("_n").isNull() | (ta == tb), a).otherwise(a + (b - a) * (F.col(at) - ta) / (tb - ta))
 
-    return rows.select(*key, at, *[line(v).alias(v) for v in values])
+def at_grid(grid: DataFrame, series: DataFrame, key: list[str], at: str, numeric: list[str], nearest: list[str], carry: list[str]) -> DataFrame:
+    """Both in one pass: ``numeric`` interpolated, ``nearest`` of the nearest row; the grid's ``carry`` columns stay."""
+    rows = _neighbours(grid, series, key, at, [*numeric, *nearest], carry)
+    return rows.select(*key, at, *carry, *[_line(at, v) for v in numeric], *[_nearest(at, v) for v in nearest])
 
 
 def best_candidate(left: DataFrame, candidates: DataFrame, on: list[str], lid: str, score: Column, ties: list[Column]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkline.operators.ranks import rank_within, spread
+
 
 def hash_share(ident: Column | str, seed: int = 0, parts: int = 1000) -> Column:
     """A fixed pseudo-random number 0..parts-1 of an integer id, the same in SQL: no shuffle, no state."""
@@ -19,12 +21,16 @@ def random_split(df: DataFrame, ident: str, test: float = 0.1, val: float = 0.1,
 
 
 def stratified_split(df: DataFrame, label: str, ident: str, test: float = 0.1, val: float = 0.05, seed: int = 42) -> DataFrame:
-    """Column split: of each label the first floor(test n) rows in hash order are test, the next floor(val n) val."""
-    w = Window.partitionBy(label)
-    r = F.row_number().over(w.orderBy(hash_share(ident, seed, 1_000_003), ident))
-    n = F.count("*").over(w)
-    t, v = F.floor(n * test), F.floor(n * val)
-    return df.withColumn("split", F.when(r <= t, "test").when(r <= t + v, "val").otherwise("train"))
+    """Column split: of each label the first floor(test n) rows in hash order are test, the next floor(val n) val.
+
+    A hot label is ranked in parts of the hash, each by its own task.
+    """
+    h = hash_share(ident, seed, 1_000_003)
+    rows = rank_within(df, [label], [h, F.col(ident)], spread(h, 1_000_003), "_r")
+    n = df.groupBy(label).agg(F.count("*").alias("_n")).withColumnRenamed(label, "_l")
+    t, v = F.floor(F.col("_n") * test), F.floor(F.col("_n") * val)
+    rows = rows.join(n, F.col(label).eqNullSafe(F.col("_l")))
+    return rows.withColumn("split", F.when(F.col("_r") < t, "test").when(F.col("_r") < t + v, "val").otherwise("train")).drop("_r", "_n", "_l")
 
 
 def group_split(df: DataFrame, group: str, groups: dict[str, list[str]]) -> DataFrame:
@@ -33,13 +39,16 @@ def group_split(df: DataFrame, group: str, groups: dict[str, list[str]]) -> Data
     return df.withColumn("split", F.try_element_at(table, F.col(group)))
 
 
-def fraction_split(df: DataFrame, order: list[Column], fraction: float) -> DataFrame:
-    """First rows in the order as part 'a', at least one row on either side; sizes come from one count."""
+def fraction_split(df: DataFrame, ident: str, fraction: float, seed: int = 42) -> DataFrame:
+    """Column part: the first rows in hash order 'a', the others 'b', at least one row on either side.
+
+    Ranks come from parts of the hash and their counts, so no task orders all rows.
+    """
     n = df.count()
     k = max(1, min(n - 1, int(n * fraction)))
-    first = df.orderBy(*order).limit(k)
-    keys = first.select(*df.columns).withColumn("part", F.lit("a"))
-    return keys.unionByName(df.exceptAll(first).withColumn("part", F.lit("b")))
+    h = hash_share(ident, seed, 1_000_003)
+    rows = rank_within(df, [], [h, F.col(ident)], spread(h, 1_000_003), "_r")
+    return rows.withColumn("part", F.when(F.col("_r") < k, "a").otherwise("b")).drop("_r")
 
 
 def leave_one_out(df: DataFrame, group: str, label: str, least_train: int = 5, least_classes: int = 2) -> DataFrame:
@@ -61,10 +70,15 @@ def leave_one_out(df: DataFrame, group: str, label: str, least_train: int = 5, l
 
 
 def balanced_batches(df: DataFrame, label: str, ident: str, per_class: int) -> DataFrame:
-    """Column batch: each batch holds ``per_class`` rows of every class; what exceeds the smallest class is left out."""
+    """Column batch: each batch holds ``per_class`` rows of every class, in order of an integer id.
+
+    What exceeds the smallest class is left out. A hot class is ranked in ranges of the id.
+    """
     least = df.groupBy(label).agg(F.count("*").alias("n")).agg(F.min("n")).first()[0] or 0
-    b = F.floor((F.row_number().over(Window.partitionBy(label).orderBy(ident)) - 1) / per_class)
-    return df.withColumn("batch", b).filter(F.col("batch") < least // per_class)
+    lo, hi = df.agg(F.min(ident), F.max(ident)).first()
+    salt = spread(F.col(ident) - F.lit(lo or 0), (hi or 0) - (lo or 0) + 1)
+    b = F.floor(F.col("_r") / per_class)
+    return rank_within(df, [label], [F.col(ident)], salt, "_r").withColumn("batch", b).drop("_r").filter(F.col("batch") < least // per_class)
 
 
 def first_per_group(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:

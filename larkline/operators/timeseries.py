@@ -22,10 +22,11 @@ def equal_count_bins(df: DataFrame, key: list[str], order: list[Column], values:
     """
     w = Window.partitionBy(*key)
     row, n = F.row_number().over(w.orderBy(*order)) - 1, F.count("*").over(w)
-    got = df.withColumn("bin", bin_index(row, n, bins)).groupBy(*key, "bin").agg(*[F.avg(v).alias(v) for v in values])
-    full = df.select(*key).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*key, "bin"]]
-    return full.alias("l").join(got.alias("r"), on, "left").select(*[f"l.{k}" for k in [*key, "bin"]], *[F.coalesce(f"r.{v}", F.lit(0.0)).alias(v) for v in values])
+    got = df.withColumn("bin", bin_index(row, n, bins)).groupBy(*key, "bin").agg(F.struct(*[F.avg(v).alias(v) for v in values]).alias("m"))
+    # The few bins of a key as one map: all of them come out without reading the rows again.
+    kept = got.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("bin", "m"))).alias("m"))
+    full = kept.select(*key, "m", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")).withColumn("m", F.try_element_at("m", F.col("bin")))
+    return full.select(*key, "bin", *[F.coalesce(f"m.{v}", F.lit(0.0)).alias(v) for v in values])
 
 
 def rolling_mean(value: Column | str, key: list[str], order: list[Column], source_rate: float, target_rate: float) -> Column:
@@ -58,10 +59,7 @@ def resample(df: DataFrame, key: list[str], at: str, numeric: list[str], nearest
     span = df.groupBy(*key).agg(F.min(at).alias("_t0"), F.max(at).alias("_t1"))
     steps = F.floor((F.col("_t1") - F.col("_t0")) * rate + 1e-9)
     grid = span.select(*key, "_t0", F.explode(F.sequence(F.lit(0).cast("long"), steps)).alias("k")).withColumn(at, F.col("_t0") + F.col("k") / rate)
-    lines = joins.interpolate(grid.select(*key, at), df, key, at, numeric)
-    if nearest:
-        lines = lines.join(joins.asof_nearest(grid.select(*key, at), df, key, at, nearest), [*key, at])
-    out = grid.join(lines, [*key, at])
+    out = joins.at_grid(grid, df, key, at, numeric, nearest, ["k"])
     return out.select(*key, "k", F.round(F.col("k") / rate, 6).alias("t"), *numeric, *nearest, (F.col("k") + 1).alias("frame"))
 
 

@@ -321,7 +321,7 @@ def t09(spark, d):
 @R.add("T-10_fraction_split", f"with r as (select c_custkey, row_number() over (order by {hash_sql('c_custkey', 1, 1000003)}, c_custkey) as r, count(*) over () as n from customer) select c_custkey, case when r <= greatest(1, least(n - 1, cast(floor(n * 0.8) as bigint))) then 'a' else 'b' end as part from r")
 def t10(spark, d):
     c = table(spark, d, "customer").select("c_custkey")
-    return splits.fraction_split(c, [splits.hash_share("c_custkey", 1, 1_000_003), F.col("c_custkey")], 0.8)
+    return splits.fraction_split(c, "c_custkey", 0.8, seed=1)
 
 
 @R.add("T-11_leave_one_out", f"with {SE}, r as (select therapist, itype from se where therapist is not null and itype is not null), g as (select therapist, count(*) as test from r group by 1), n as (select count(*) as n, count(distinct itype) as k from r), l as (select itype, count(*) as total from r group by 1), o as (select therapist, count(*) as gone from (select therapist, itype, count(*) as c from r group by all) join l using (itype) where c = total group by 1) select therapist, n - test as train, test, k - coalesce(gone, 0) as classes, n - test >= 5 and k - coalesce(gone, 0) >= 2 as usable from g left join o using (therapist), n")
