@@ -1,22 +1,5 @@
-"""Ranks within groups of any size: salted numbers plus the counts before them."""
+"""Ranks within groups of any size, from the core."""
 
-from __future__ import annotations
+from larkline.operators.ranks import SALTS, rank_within
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
-
-#: Parts into which every group is cut, so that a hot group is ranked by many tasks.
-SALTS = 64
-
-
-def rank_within(df: DataFrame, group: list[str], order: list[Column], salt: Column, name: str = "rank") -> DataFrame:
-    """Adds ``name``: 0-based position in its group by (salt, order). ``salt`` is any integer column."""
-    cut = F.pmod(salt, F.lit(SALTS)).cast("int")
-    df = df.withColumn("_salt", cut)
-    own = F.row_number().over(Window.partitionBy(*group, "_salt").orderBy(*order)) - 1
-    sizes = df.groupBy(*group, "_salt").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.withColumn("_start", F.coalesce(before, F.lit(0))).drop("_n")
-    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*group, "_salt"]]
-    got = df.withColumn("_own", own).alias("l").join(starts.alias("r"), on)
-    return got.select("l.*", (F.col("l._own") + F.col("r._start")).alias(name)).drop("_salt", "_own")
+__all__ = ["SALTS", "rank_within"]
