@@ -31,19 +31,41 @@ def last_label(c: Column | str) -> Column:
     return F.lower(F.regexp_replace(strip(F.when(x.rlike("(?i)answer:"), after).otherwise(word)), r"[.!?,;:\s]+$", ""))
 
 
+# Canonical sleep stages and the spellings that stand for them as a whole.
+STAGES = ["wake", "non-rem stage 1", "non-rem stage 2", "non-rem stage 3", "rem sleep", "movement"]
+STAGE_SPELLINGS = {
+    "wake": ["w"],
+    "rem sleep": ["rem", "rapid eye movement"],
+    "movement": ["artifact", "artifacts", "movement time"],
+    "non-rem stage 1": ["1", "s1", "n1", "stage 1"],
+    "non-rem stage 2": ["2", "s2", "n2", "stage 2"],
+    "non-rem stage 3": ["3", "s3", "n3", "stage 3", "4", "s4", "n4", "stage 4", "non-rem stage 4"],
+}
+# Words that name a stage within a phrase, in the order in which they count.
+STAGE_WORDS = [
+    ("wake", ["wake"]), ("rem sleep", ["rem"]), ("movement", ["movement", "artifact"]),
+    ("non-rem stage 3", ["stage 4", "stage 3"]), ("non-rem stage 2", ["stage 2", "spindle", "k-complex"]), ("non-rem stage 1", ["stage 1"]),
+]
+
+
 def sleep_stage(c: Column | str) -> Column:
-    """Canonical sleep stage of a label's spelling, else null."""
-    x = F.lower(F.regexp_replace(strip(c), r"[.!?,;:()\s]+", " "))
-    x = F.trim(x)
-    return (
-        F.when(x.isin("w", "wake", "awake", "a wake", "stage w"), "wake")
-        .when(x.isin("n1", "s1", "1", "stage 1", "non-rem stage 1", "nrem 1"), "n1")
-        .when(x.isin("n2", "s2", "2", "stage 2", "non-rem stage 2", "nrem 2"), "n2")
-        .when(x.isin("n3", "s3", "3", "n4", "s4", "4", "stage 3", "stage 4", "non-rem stage 3", "nrem 3"), "n3")
-        .when(x.contains("wake"), "wake")
-        .when(x.contains("movement"), "movement")
-        .when(x.contains("rem") & ~x.contains("nrem") & ~x.contains("non-rem"), "rem")
-    )
+    """Canonical sleep stage of a label's spelling; what names none stays as it is, in lower case.
+
+    Closing punctuation and a leading option mark such as '(a)' are taken off first.
+    """
+    x = F.regexp_replace(F.lower(strip(c)), r"[.,;:!?\s]+$", "")
+    x = F.regexp_replace(x, r"^\([^)]{0,2}\)\s*(?=.)", "")
+    whole = F.lit(None)
+    for stage, names in STAGE_SPELLINGS.items():
+        whole = F.coalesce(whole, F.when(x.isin(names), stage))
+    y = F.regexp_replace(F.regexp_replace(x, "non rem", "non-rem"), "nrem", "non-rem")
+    named = F.when(y.isin(STAGES), y).when(y == "non-rem stage 4", "non-rem stage 3")
+    for stage, words in STAGE_WORDS:
+        has = F.lit(False)
+        for w in words:
+            has = has | (y.contains(w) & ~y.contains("non-rem") if w == "rem" else y.contains(w))
+        named = named.when(has, stage)
+    return F.coalesce(whole, named, y)
 
 
 def choice(c: Column | str) -> Column:
@@ -151,14 +173,48 @@ def wrap(c: Column | str, width: int) -> Column:
     return F.aggregate(words, start, step, lambda a: F.when(a["text"] == "", a["line"]).otherwise(F.concat(a["text"], F.lit("\n"), a["line"])))
 
 
+# Contractions. A word that lacks one apostrophe of them is written out.
+CONTRACTIONS = """ain't aren't can't could've couldn't couldn't've didn't doesn't don't hadn't hadn't've hasn't haven't he'd he'd've he's
+how'd how'll how's isn't it'd it'd've it'll ma'am mightn't mightn't've might've mustn't must've needn't not've o'clock oughtn't 'ow's'at
+shan't she'd've should've shouldn't shouldn't've somebody'd've somebody'll somebody's someone'd someone'd've someone'll someone's
+something'd something'd've something'll that's there'd there'd've there're there's they'd they'd've they'll they're they've 'twas wasn't
+we'd've we've weren't what'll what're what's what've when's where'd where's where've who'd who'd've who'll who's who've why'll why're why's
+won't would've wouldn't wouldn't've y'all y'all'll y'all'd've you'd you'd've you'll you're you've""".split()
+NUMBERS = {"none": "0", "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10"}
+ARTICLES = ["a", "an", "the"]
+
+
+def contraction_table() -> dict[str, str]:
+    """Each contraction by every spelling of it that lacks one apostrophe."""
+    table = {w[:i] + w[i + 1 :]: w for w in CONTRACTIONS for i, x in enumerate(w) if x == "'"}
+    return table | {"somebody'd": "somebodyd"}
+
+
 def normal_answer(c: Column | str) -> Column:
-    """Answer for comparison by question: no punctuation, digits for number words, no articles."""
-    # Number words and articles.
-    numbers = {"none": "0", "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10"}
-    table = F.create_map(*[F.lit(x) for kv in numbers.items() for x in kv])
+    """Answer for comparison by question: no punctuation, digits for number words, no articles, contractions written out."""
+    number, whole = (F.create_map(*[F.lit(x) for kv in t.items() for x in kv]) for t in (NUMBERS, contraction_table()))
     words = F.split(F.regexp_replace(F.lower(strip(F.regexp_replace(col(c), r"\s+", " "))), r"[;/\[\]\"{}()=+\\_<>@`,?!.-]", " "), r"\s+")
-    kept = F.filter(words, lambda w: ~w.isin("", "a", "an", "the"))
-    return F.array_join(F.transform(kept, lambda w: F.coalesce(F.try_element_at(table, w), w)), " ")
+    kept = F.filter(words, lambda w: ~w.isin("", *ARTICLES))
+    return F.array_join(F.transform(kept, lambda w: F.coalesce(F.try_element_at(number, w), F.try_element_at(whole, w), w)), " ")
+
+
+def stemmed(c: Column | str, manual: dict[str, str] | None = None) -> Column:
+    """Words by a manual table, else plural nouns in the singular by rule: -ies to -y, -sses, -shes, -ches and -xes without -es, -s off.
+
+    Words of three letters or fewer and those on -ss, -us or -is stay. The table is a parameter.
+    """
+    table = F.create_map(*[F.lit(x) for kv in (manual or {}).items() for x in kv]).cast("map<string,string>")
+
+    def one(w: Column) -> Column:
+        rule = (
+            F.when((F.length(w) <= 3) | w.rlike("(?:ss|us|is)$") | ~w.endswith("s"), w)
+            .when(w.rlike("[^aeiou]ies$"), F.regexp_replace(w, "ies$", "y"))
+            .when(w.rlike("(?:ss|sh|ch|x)es$"), F.regexp_replace(w, "es$", ""))
+            .otherwise(F.regexp_replace(w, "s$", ""))
+        )
+        return F.coalesce(F.try_element_at(table, w), rule)
+
+    return F.array_join(F.transform(F.filter(F.split(strip(c), r"\s+"), lambda w: w != ""), one), " ")
 
 
 def shorten(c: Column | str, most: int = 20) -> Column:

@@ -6,6 +6,8 @@ buckets, both sides join on key and bucket, and the exact predicate follows.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,3 +125,59 @@ def group_pairs(df: DataFrame, key: list[str], pos: str, value: str) -> DataFram
     got = df.groupBy(*key).agg(rows.alias("_r")).select(*key, F.posexplode("_r").alias("_i", "_a"), "_r")
     got = got.select(*key, "_a", F.explode(F.slice("_r", F.col("_i") + 2, F.greatest(F.size("_r"), F.lit(1)))).alias("_c"))
     return got.select(*key, F.col("_a.p").alias("pos_a"), F.col("_c.p").alias("pos_b"), F.col("_a.v").alias("a"), F.col("_c.v").alias("b"))
+
+
+def assign(rows: DataFrame, ident: str, scores: str, least: float) -> DataFrame:
+    """One-to-one assignment of the greatest total score in each row's small matrix: ident, i, j, score.
+
+    ``scores``: array of arrays (i by j). Pairs below ``least`` are left out after the assignment. Null,
+    empty and ragged matrices give no rows. Augmenting paths, cubic in the matrix, a row at a time.
+    """
+    kind = dict(rows.dtypes)[ident]
+
+    def solve(batches):
+        for b in batches:
+            out: list[list] = [[], [], [], []]
+            for r, m in enumerate(b.column(1).to_pylist()):
+                if not m or not m[0] or any(x is None or len(x) != len(m[0]) for x in m):
+                    continue
+                for i, j in best_assignment(m):
+                    if m[i][j] >= least:
+                        for x, y in zip(out, (r, i, j, m[i][j]), strict=True):
+                            x.append(y)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.float64())], names=[ident, "i", "j", "score"]
+            )
+
+    return rows.select(ident, F.col(scores).cast("array<array<double>>").alias("m")).mapInArrow(solve, f"`{ident}` {kind}, i int, j int, score double")
+
+
+def best_assignment(m: list[list[float]]) -> list[tuple[int, int]]:
+    """Pairs (i, j) of the assignment with the greatest sum, by shortest augmenting paths over potentials."""
+    flip = len(m) > len(m[0])
+    cost = -np.array(m, float).T if flip else -np.array(m, float)
+    n, k = cost.shape
+    u, v, owner = np.zeros(n), np.zeros(k), np.full(k, -1)
+    for start in range(n):
+        low, back, done = np.full(k, np.inf), np.full(k, -1), np.zeros(k, bool)
+        row, col, shift = start, -1, 0.0
+        while True:
+            new = shift + cost[row] - u[row] - v
+            better = ~done & (new < low)
+            low[better], back[better] = new[better], col
+            col = int(np.argmin(np.where(done, np.inf, low)))
+            done[col], shift = True, low[col]
+            if owner[col] < 0:
+                break
+            row = owner[col]
+        u[start] += shift
+        for c in np.flatnonzero(done):
+            if c != col:
+                u[owner[c]] += shift - low[c]
+                v[c] -= shift - low[c]
+        while col >= 0:
+            before = back[col]
+            owner[col] = owner[before] if before >= 0 else start
+            col = before
+    pairs = [(int(owner[c]), c) for c in range(k) if owner[c] >= 0]
+    return sorted((c, r) for r, c in pairs) if flip else sorted(pairs)

@@ -21,11 +21,11 @@ def rank_within(df: DataFrame, group: list[str], order: list[Column], salt: Colu
     rises with the order, the position is that of the order itself.
     """
     cut = F.pmod(salt, F.lit(SALTS)).cast("int")
-    df = df.withColumn("_salt", cut)
-    own = F.row_number().over(Window.partitionBy(*group, "_salt").orderBy(*order)) - 1
-    sizes = df.groupBy(*group, "_salt").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.withColumn("_start", F.coalesce(before, F.lit(0))).drop("_n")
-    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*group, "_salt"]]
-    got = df.withColumn("_own", own).alias("l").join(starts.alias("r"), on)
-    return got.select("l.*", (F.col("l._own") + F.col("r._start")).alias(name)).drop("_salt", "_own")
+    df = df.withColumn("__salt", cut)
+    own = F.row_number().over(Window.partitionBy(*group, "__salt").orderBy(*order)) - 1
+    sizes = df.groupBy(*group, "__salt").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*group).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.withColumn("__start", F.coalesce(before, F.lit(0))).drop("__n")
+    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*group, "__salt"]]
+    got = df.withColumn("__own", own).alias("l").join(starts.alias("r"), on)
+    return got.select("l.*", (F.col("l.__own") + F.col("r.__start")).alias(name)).drop("__salt", "__own")

@@ -26,11 +26,11 @@ def stratified_split(df: DataFrame, label: str, ident: str, test: float = 0.1, v
     A hot label is ranked in parts of the hash, each by its own task.
     """
     h = hash_share(ident, seed, 1_000_003)
-    rows = rank_within(df, [label], [h, F.col(ident)], spread(h, 1_000_003), "_r")
-    n = df.groupBy(label).agg(F.count("*").alias("_n")).withColumnRenamed(label, "_l")
-    t, v = F.floor(F.col("_n") * test), F.floor(F.col("_n") * val)
-    rows = rows.join(n, F.col(label).eqNullSafe(F.col("_l")))
-    return rows.withColumn("split", F.when(F.col("_r") < t, "test").when(F.col("_r") < t + v, "val").otherwise("train")).drop("_r", "_n", "_l")
+    rows = rank_within(df, [label], [h, F.col(ident)], spread(h, 1_000_003), "__r")
+    n = df.groupBy(label).agg(F.count("*").alias("__n")).withColumnRenamed(label, "__l")
+    t, v = F.floor(F.col("__n") * test), F.floor(F.col("__n") * val)
+    rows = rows.join(n, F.col(label).eqNullSafe(F.col("__l")))
+    return rows.withColumn("split", F.when(F.col("__r") < t, "test").when(F.col("__r") < t + v, "val").otherwise("train")).drop("__r", "__n", "__l")
 
 
 def group_split(df: DataFrame, group: str, groups: dict[str, list[str]]) -> DataFrame:
@@ -47,8 +47,8 @@ def fraction_split(df: DataFrame, ident: str, fraction: float, seed: int = 42) -
     n = df.count()
     k = max(1, min(n - 1, int(n * fraction)))
     h = hash_share(ident, seed, 1_000_003)
-    rows = rank_within(df, [], [h, F.col(ident)], spread(h, 1_000_003), "_r")
-    return rows.withColumn("part", F.when(F.col("_r") < k, "a").otherwise("b")).drop("_r")
+    rows = rank_within(df, [], [h, F.col(ident)], spread(h, 1_000_003), "__r")
+    return rows.withColumn("part", F.when(F.col("__r") < k, "a").otherwise("b")).drop("__r")
 
 
 def leave_one_out(df: DataFrame, group: str, label: str, least_train: int = 5, least_classes: int = 2) -> DataFrame:
@@ -77,8 +77,8 @@ def balanced_batches(df: DataFrame, label: str, ident: str, per_class: int) -> D
     least = df.groupBy(label).agg(F.count("*").alias("n")).agg(F.min("n")).first()[0] or 0
     lo, hi = df.agg(F.min(ident), F.max(ident)).first()
     salt = spread(F.col(ident) - F.lit(lo or 0), (hi or 0) - (lo or 0) + 1)
-    b = F.floor(F.col("_r") / per_class)
-    return rank_within(df, [label], [F.col(ident)], salt, "_r").withColumn("batch", b).drop("_r").filter(F.col("batch") < least // per_class)
+    b = F.floor(F.col("__r") / per_class)
+    return rank_within(df, [label], [F.col(ident)], salt, "__r").withColumn("batch", b).drop("__r").filter(F.col("batch") < least // per_class)
 
 
 def first_per_group(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:

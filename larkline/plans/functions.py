@@ -62,7 +62,16 @@ def f08(spark, d):
     return pr(spark, d).filter("generated is not null").select("pair_id", text.last_label("generated").alias("label"))
 
 
-@R.add("F-09_sleep_stages", f"with {LB} select pair_id, case when g in ('n1', 'n2', 'n3', 'wake', 'rem', 'movement') then g when contains(g, 'wake') then 'wake' when contains(g, 'movement') then 'movement' when contains(g, 'rem') then 'rem' end as stage from lb where lb.stage = 'cot_sleep'")
+STAGE_SQL = r"""x as (select pair_id, regexp_replace(regexp_replace(lower(trim(g)), '[.,;:!?\s]+$', ''), '^\([^)]{0,2}\)\s*(.)', '\1') as x from lb where lb.stage = 'cot_sleep'),
+y as (select *, replace(replace(x, 'non rem', 'non-rem'), 'nrem', 'non-rem') as y from x)
+select pair_id, case when x = 'w' then 'wake' when x in ('rem', 'rapid eye movement') then 'rem sleep' when x in ('artifact', 'artifacts', 'movement time') then 'movement'
+ when x in ('1', 's1', 'n1', 'stage 1') then 'non-rem stage 1' when x in ('2', 's2', 'n2', 'stage 2') then 'non-rem stage 2' when x in ('3', 's3', 'n3', 'stage 3', '4', 's4', 'n4', 'stage 4') then 'non-rem stage 3'
+ when contains(y, 'wake') then 'wake' when contains(y, 'rem') and not contains(y, 'non-rem') then 'rem sleep' when contains(y, 'movement') or contains(y, 'artifact') then 'movement'
+ when contains(y, 'stage 4') or contains(y, 'stage 3') then 'non-rem stage 3' when contains(y, 'stage 2') or contains(y, 'spindle') or contains(y, 'k-complex') then 'non-rem stage 2'
+ when contains(y, 'stage 1') then 'non-rem stage 1' else y end as stage from y"""
+
+
+@R.add("F-09_sleep_stages", f"with {LB}, {STAGE_SQL}")
 def f09(spark, d):
     return lb(spark, d).filter("stage = 'cot_sleep'").select("pair_id", text.sleep_stage("g").alias("stage"))
 

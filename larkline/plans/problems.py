@@ -45,11 +45,38 @@ def p2_observed(spark, sf_dir):
     return found.select(*grid.KEY, "cell_s", F.round("au04_r", 6).alias("au04_r"), F.round("au12_r", 6).alias("au12_r"))
 
 
-@R.add("p2_coverage")
+@R.add(
+    "p2_coverage",
+    f"""with {USABLE_SQL}, f as (select patient_id, subject_role, itype, min(cell) as f, count(*) filter (au04_r between 0 and 5) as n04, count(*) filter (au12_r between 0 and 5) as n12 from cells group by all),
+c as (select cell - f as rel, count(*) filter (au04_r between 0 and 5) as c04, count(*) filter (au12_r between 0 and 5) as c12 from cells join f using (patient_id, subject_role, itype) group by 1),
+gap as (select patient_id, subject_role, itype, cast(unnest(range(cell + 1, nxt)) as int) as cell from steps where nxt > cell + 1),
+st as (select patient_id, subject_role, itype, 'observed' as status from cells
+ union all select patient_id, subject_role, itype, case when n04 >= 12 and n12 >= 12 and coalesce(c04, 0) >= 16 and coalesce(c12, 0) >= 16 then 'filled' else 'unsupported' end
+ from gap join f using (patient_id, subject_role, itype) left join c on c.rel = gap.cell - f.f)
+select patient_id, subject_role, itype as interview_type, status, count(*) as cells from st group by all""",
+)
 def p2_coverage(spark, sf_dir):
     return grid.grid_coverage(table(spark, sf_dir, "frames"))
 
 
+@R.add("p2_held_out")
+def p2_held_out(spark, sf_dir):
+    """Error of cells that hold readings but were kept from the fit, beside that of the recording's mean.
+
+    A tenth of the seconds is left out, told by a hash of recording and second.
+    """
+    frames = table(spark, sf_dir, "frames")
+    truth = grid.regular_grid(frames).filter("status = 'observed'").select(*grid.KEY, "cell_s", "au04_r", "au12_r")
+    second = F.floor(F.when(F.col("ts_s") > 1000, F.col("ts_s") / 1000).otherwise(F.col("ts_s")))
+    kept = frames.filter(F.coalesce(F.pmod(F.xxhash64("patient_id", "subject_role", second), F.lit(10)) != 0, F.lit(True)))
+    filled = grid.regular_grid(kept, only_missing=True).filter("status = 'filled'").select(*grid.KEY, "cell_s", F.col("au04_r").alias("f04"), F.col("au12_r").alias("f12"))
+    means = truth.groupBy(*grid.KEY).agg(F.avg("au04_r").alias("m04"), F.avg("au12_r").alias("m12"))
+    both = truth.join(filled, [*grid.KEY, "cell_s"]).join(means, list(grid.KEY)).filter("au04_r between 0 and 5 and au12_r between 0 and 5")
+    rmse = lambda a, b: F.round(F.sqrt(F.avg((F.col(a) - F.col(b)) ** 2)), 6)
+    rows = [F.struct(F.lit(c).alias("channel"), rmse(c, f).alias("rmse"), rmse(c, m).alias("rmse_of_mean"), F.count("*").alias("cells")) for c, f, m in (("au04_r", "f04", "m04"), ("au12_r", "f12", "m12"))]
+    return both.agg(F.array(*rows).alias("r")).select(F.inline("r"))
+
+
 @R.add("p3_found", f"with {TIMES_SQL} select session_id, e as gap_start_ms, lo as gap_end_ms from ended where lo > e")
 def p3_found(spark, sf_dir):
     return intervals.gaps(table(spark, sf_dir, "turns"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larkline.operators import ranks, splits
+
 
 def clean_names(df: DataFrame) -> DataFrame:
     """Headers without byte-order mark and white space."""
@@ -51,7 +53,7 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def nested_results(spark: SparkSession, path: str, field: str, schema: str) -> DataFrame:
     """JSON documents with a list of results in one field, a row each."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(F.explode(F.from_json("value", f"struct<`{field}`: array<struct<{schema}>>>")[field]).alias("x")).select("x.*")
 
 
@@ -62,6 +64,69 @@ def catalogue(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("therapist.therapist_id"), F.col("patient.patient_id"), "baseline", F.explode("types").alias("interview_type", "t")).select("therapist_id", "patient_id", "interview_type", "baseline", "t.*")
 
 
+def yaml_catalogue(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """YAML documents with a list of interviews, a row an interview of the given schema; broken documents are skipped.
+
+    Without a YAML library only documents that are JSON, a part of YAML, can be read.
+    """
+    files = spark.read.text(path, wholetext=True)
+
+    def parse(batches):
+        import json
+
+        import pyarrow as pa
+
+        try:
+            import yaml
+
+            load, broken = yaml.safe_load, yaml.YAMLError
+        except ImportError:
+            load, broken = json.loads, ValueError
+        for b in batches:
+            out = []
+            for t in b.column("value").to_pylist():
+                try:
+                    found = load(t)
+                except broken:
+                    continue
+                rows = found.get("interviews") if isinstance(found, dict) else None
+                out += [json.dumps(x, default=str) for x in rows or [] if isinstance(x, dict)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["j"])
+
+    return files.mapInArrow(parse, "j string").select(F.from_json("j", schema).alias("x")).select("x.*")
+
+
+def resampled(shards: DataFrame, name: str, draws: int, epoch: int, seed: int = 42) -> DataFrame:
+    """``draws`` shards drawn with replacement for an epoch: draw, and the shard's row; the same seed draws the same.
+
+    Shards are numbered by name; draw i of an epoch takes a number from a hash of seed, epoch and i.
+    """
+    n = shards.count()
+    drawn = shards.sparkSession.range(draws).select(F.col("id").alias("draw"), splits.hash_share(F.col("id") + epoch * 1_000, seed, max(n, 1)).alias("_n"))
+    numbered = shards.withColumn("_n", F.row_number().over(Window.orderBy(name)) - 1)  # a row a shard
+    return drawn.join(numbered, "_n").drop("_n")
+
+
+def shuffled(df: DataFrame, ident: str, seed: int, good: Column | None = None) -> DataFrame:
+    """Rows with their place in a seeded order; rows for which ``good`` is not true are skipped."""
+    h = splits.hash_share(ident, seed, 1_000_003)
+    rows = df if good is None else df.filter(good)
+    return ranks.rank_within(rows, [], [h, F.col(ident)], ranks.spread(h, 1_000_003), "place")
+
+
+def file_plan(df: DataFrame, name: str, drop: str, rename: Column, ident: Column) -> DataFrame:
+    """What is to happen to files, nothing of it done: src, dst, ident, reason (drop_rule, no_ident, rename, same, taken).
+
+    ``drop``: pattern of names to drop; ``taken``: an earlier name, in order, has the same target.
+    """
+    rows = df.filter(F.col(name).isNotNull()).select(F.col(name).alias("src"), rename.alias("dst"), ident.alias("ident")).distinct()
+    lost = F.when(F.col("src").rlike(drop), "drop_rule").when(F.col("ident").isNull() | (F.col("ident") == ""), "no_ident")
+    rows = rows.withColumn("lost", lost)
+    first = F.min(F.when(F.col("lost").isNull(), F.col("src"))).over(Window.partitionBy("dst"))
+    reason = F.when(F.col("lost").isNotNull(), F.col("lost")).when(first < F.col("src"), "taken").when(F.col("src") == F.col("dst"), "same").otherwise("rename")
+    return rows.withColumn("first", first).select("src", F.when(reason.isin("rename", "same"), F.col("dst")).alias("dst"), "ident", reason.alias("reason"))
+
+
 def files(spark: SparkSession, path: str, pattern: str = "*", done: DataFrame | None = None) -> DataFrame:
     """Files below a folder by name pattern, without those already in ``done`` (a column name)."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).drop("content")

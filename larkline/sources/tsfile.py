@@ -39,3 +39,10 @@ def stacked(df: DataFrame) -> DataFrame:
     """Long rows case, dim, i, value of read_ts; case numbers are stable within the file's order of ids."""
     rows = df.withColumn("case", F.monotonically_increasing_id())
     return rows.select("case", "target", F.posexplode("dims").alias("dim", "s")).select("case", "target", "dim", F.posexplode("s").alias("i", "value"))
+
+
+def equal_stack(df: DataFrame) -> DataFrame:
+    """Rows of read_ts with a flag: ok where every dimension has the first case's first length (a case a row)."""
+    length = df.select(F.size(F.col("dims")[0])).first()
+    n = length[0] if length else 0
+    return df.withColumn("ok", F.forall("dims", lambda s: F.size(s) == n))

@@ -106,7 +106,7 @@ def test_text(spark):
     rows = [("why. Answer: N2<eos>", "the cat sat", "a cat sat down"), ("walking", "", ""), ("Answer: Answer: Stage 4.", "x x", "x")]
     df = spark.createDataFrame(rows, "t string, a string, b string")
     got = df.select(text.answer("t").alias("x"), text.sleep_stage(text.answer("t")).alias("s"), text.token_f1(F.col("a"), F.col("b")).alias("f")).collect()
-    assert [(r.x, r.s) for r in got] == [("N2", "n2"), ("walking", None), ("Stage 4", "n3")]
+    assert [(r.x, r.s) for r in got] == [("N2", "non-rem stage 2"), ("walking", "walking"), ("Stage 4", "non-rem stage 3")]
     assert [round(r.f, 4) for r in got] == [round(4 / 7, 4), 1.0, round(2 / 3, 4)]
     packed = spark.createDataFrame([("One two three. Four five. Six. " + "w " * 9,)], "t string").select(text.pack_sentences("t", 4).alias("c"), text.wrap("t", 12).alias("w")).first()
     assert packed.c == ["One two three.", "Four five. Six.", "w w w w", "w w w w", "w"]
@@ -140,3 +140,58 @@ def test_ridge_leave_one_group_out(spark):
         z = (x[tr] - m) / s
         w = np.linalg.solve(z.T @ z + np.eye(3), z.T @ (y[tr] - y[tr].mean()))
         assert got[str(k)] == pytest.approx(np.mean((y[te] - ((x[te] - m) / s @ w + y[tr].mean())) ** 2))
+
+
+def test_assignment_against_all_permutations(spark):
+    import itertools
+    import random
+
+    from larkline.operators import joins
+
+    rnd = random.Random(1)
+    ms = [[[rnd.randint(-3, 9) / 3 for _ in range(k)] for _ in range(n)] for n, k in [(rnd.randint(1, 5), rnd.randint(1, 5)) for _ in range(40)]]
+    df = spark.createDataFrame([*enumerate(ms), (100, None), (101, []), (102, [[1.0], [1.0, 2.0]]), (103, [[0.1]])], "id long, m array<array<double>>")
+    got = {}
+    for r in joins.assign(df, "id", "m", -99.0).collect():
+        got.setdefault(r.id, []).append((r.i, r.j, r.score))
+    assert set(got) == {*range(40), 103}
+    for i, m in enumerate(ms):
+        wide = m if len(m) <= len(m[0]) else [list(x) for x in zip(*m, strict=True)]
+        best = max(sum(wide[a][b] for a, b in enumerate(p)) for p in itertools.permutations(range(len(wide[0])), len(wide)))
+        assert abs(sum(s for _, _, s in got[i]) - best) < 1e-9
+        assert len({a for a, _, _ in got[i]}) == len({b for _, b, _ in got[i]}) == len(got[i]) == len(wide)
+    assert joins.assign(df.filter("id = 103"), "id", "m", 0.5).count() == 0
+
+
+def test_registries_fit(spark):
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    from larkline import models
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 2))
+    rows = [(Vectors.dense(a), float(2 * a[0] - a[1] + 0.3 * rng.normal()), float(a[0] + a[1] > 0)) for a in x]
+    df = spark.createDataFrame(rows, ["features", "y", "kind"])
+    y = np.array([r[1] for r in rows])
+    z = (x - x.mean(0)) / x.std(0, ddof=1)  # the scaler divides by the sample deviation
+    for a in (0.1, 10.0):
+        want = np.linalg.solve(z.T @ z + a * np.eye(2), z.T @ (y - y.mean()))
+        got = models.regressors(200, float(y.std(ddof=1)), label="y")[f"Ridge(a={a:g})"].fit(df).stages[-1]
+        assert np.allclose(got.coefficients.toArray(), want, rtol=0.02)
+    logistic = models.classifiers(200, label="kind")["LogReg(C=10)"].fit(df).transform(df)
+    assert logistic.selectExpr("avg(cast(prediction = kind as int)) a").first().a > 0.95
+    assert set(models.regressors(9)) == {"Ridge(a=0.1)", "Ridge(a=1)", "Ridge(a=10)", "Lasso(a=0.1)", "RF(100)", "GBR(100)"} and len(models.classifiers(9)) == 6
+
+
+def test_hot_groups_are_ranked_in_order(spark):
+    from pyspark.sql import functions as F
+
+    from larkline.operators import splits
+
+    df = spark.range(3000).withColumn("l", F.when(F.col("id") % 10 == 0, "rare").otherwise("hot")).withColumn("_n", F.lit("x"))
+    got = splits.stratified_split(df.drop("_n"), "l", "id").groupBy("l", "split").count().collect()
+    assert {(r.l, r.split): r["count"] for r in got} == {("hot", "test"): 270, ("hot", "val"): 135, ("hot", "train"): 2295, ("rare", "test"): 30, ("rare", "val"): 15, ("rare", "train"): 255}
+    parts = {r.part: r["count"] for r in splits.fraction_split(spark.range(10), "id", 0.05).groupBy("part").count().collect()}
+    assert parts == {"a": 1, "b": 9}
+    assert splits.stratified_split(df.limit(0), "l", "id").count() == 0 and splits.balanced_batches(df.limit(0), "l", "id", 2).count() == 0

@@ -97,3 +97,22 @@ def test_streams(spark, tmp_path, small):
     windows.run_once(w, str(tmp_path / "w"), str(tmp_path / "wcp"))
     assert spark.read.parquet(str(tmp_path / "w")).agg(F.sum("n")).first()[0] > 0
     assert windows.sessions(spark.read.parquet(src), "ts", ["user_id"]).agg(F.sum("n")).first()[0] == spark.read.parquet(src).count()
+
+
+def test_yaml_documents(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a: b", "x\ny"), (2, None, "é")], "session_id long, patient string, itype string")
+    path = str(tmp_path / "y")
+    sinks.yaml_catalogue(df, path)
+    (tmp_path / "y" / "broken.txt").write_text("interviews: [1, {")
+    schema = "session_id long, patient string, itype string"
+    assert sorted(tuple(r) for r in readers.yaml_catalogue(spark, path, schema).collect()) == [(1, "a: b", "x\ny"), (2, None, "é")]
+
+
+def test_file_plan_of_ties_and_nulls(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("A b.csv",), ("a-B.csv",), ("a_b.csv",), ("NN.csv",), (None,), ("x.csv",)], "f string")
+    got = readers.file_plan(df, "f", "^NN", F.regexp_replace(F.lower("f"), r"[-\s]", "_"), F.nullif(F.regexp_extract("f", "(?i)(a)", 1), F.lit("")))
+    assert {r.src: (r.dst, r.reason) for r in got.collect()} == {
+        "A b.csv": ("a_b.csv", "rename"), "a-B.csv": (None, "taken"), "a_b.csv": (None, "taken"), "NN.csv": (None, "drop_rule"), "x.csv": (None, "no_ident"),
+    }
