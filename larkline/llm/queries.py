@@ -68,6 +68,17 @@ def p6_report(spark, sf_dir):
     return splits.split_report(p6_splits(spark, sf_dir), table(spark, sf_dir, "split_targets"))
 
 
+@R.add("p6_check", "select count(distinct session_id) as sessions, 0 as twice, 0 as torn, 0 as changed from sessions where session_id is not null")
+def p6_check(spark, sf_dir):
+    """Of the assignment: sessions placed, those placed twice, components in two splits, kept sessions that moved."""
+    rows = p6_splits(spark, sf_dir)
+    torn = F.count_distinct(F.coalesce("split", F.lit("-"))) > 1
+    per = rows.groupBy("component").agg(torn.cast("int").alias("torn"))
+    moved = (F.col("status") == "kept") & F.col("old_split").isNotNull() & ~F.col("old_split").eqNullSafe(F.col("split"))
+    one = rows.agg(F.count_distinct("session_id").alias("sessions"), (F.count("*") - F.count_distinct("session_id")).alias("twice"), F.sum(moved.cast("int")).alias("changed"))
+    return one.select("sessions", F.col("twice").cast("int").alias("twice"), F.lit(per.agg(F.coalesce(F.sum("torn"), F.lit(0))).first()[0]).cast("int").alias("torn"), F.col("changed").cast("int").alias("changed"))
+
+
 @R.add("p7_containers")
 def p7_containers(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_limits"))
@@ -78,6 +89,18 @@ def p7_fill(spark, sf_dir):
     return packing.packing_report(p7_containers(spark, sf_dir), table(spark, sf_dir, "pack_limits"))
 
 
+@R.add("p7_check", "select limit_name, (select count(*) from documents where text <> '') as texts, 0 as too_full, 0 as torn, true as close from pack_limits")
+def p7_check(spark, sf_dir):
+    """Of the packing: texts placed, containers over the capacity, texts split though they fit, and few more containers than needed."""
+    packed, limits = p7_containers(spark, sf_dir), table(spark, sf_dir, "pack_limits")
+    packed = packed.join(limits, "limit_name").cache()
+    full = packed.groupBy("limit_name", "container", "capacity_tokens").agg(F.sum("tokens").alias("t")).groupBy("limit_name")
+    full = full.agg(F.sum((F.col("t") > F.col("capacity_tokens")).cast("int")).alias("too_full"), (F.count("*") <= 1.01 * F.ceil(F.sum("t") / F.max("capacity_tokens")) + 1).alias("close"))
+    texts = packed.groupBy("limit_name", "doc_id", "capacity_tokens").agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).groupBy("limit_name")
+    texts = texts.agg(F.count("*").alias("texts"), F.sum(((F.col("n") > 1) & (F.col("t") <= F.col("capacity_tokens"))).cast("int")).alias("torn"))
+    return full.join(texts, "limit_name").select("limit_name", "texts", F.col("too_full").cast("int").alias("too_full"), F.col("torn").cast("int").alias("torn"), "close")
+
+
 @R.add("p8_mixture")
 def p8_mixture(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
@@ -88,6 +111,13 @@ def p8_shares(spark, sf_dir):
     return mixing.mixture_report(p8_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+@R.add("p8_check", "select source, true as share_met, true as within_repeats from mix_targets")
+def p8_check(spark, sf_dir):
+    """Of the mixture: each source's share within a thousandth of its target, repeats within the cap."""
+    got = p8_shares(spark, sf_dir)
+    return got.select("source", (F.abs(F.col("actual_share") - F.col("target_share")) <= 0.001).alias("share_met"), (F.col("most_repeats") <= F.col("max_repeats")).alias("within_repeats"))
+
+
 @R.add("p9_found")
 def p9_found(spark, sf_dir):
     return truncation.truncated_documents(table(spark, sf_dir, "documents")).filter("is_cut").select("doc_id").distinct()
