@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from larkline.core import cut, source_name
 from larkline.llm.ranks import rank_within
 
-SHINGLE, BANDS, ROWS = 5, 7, 4
+SHINGLE, BANDS, ROWS = 5, 5, 3
 
 #: Shingles of the shortest beginning that is banded; texts of fewer words are scored by terminality alone.
 FIRST = 4
@@ -118,6 +118,43 @@ def bands(texts: list[str]) -> list[tuple[list[int], list[int]]]:
     return out
 
 
+def _window(a: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Hashes of three words in a row and the first letter of the fourth."""
+    h = a[:-3] * np.uint64(0x9E3779B97F4A7C15) + a[1:-2]
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + a[2:-1]
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) + first[3:]
+    return (h ^ (h >> np.uint64(32))).astype(np.int64)
+
+
+def windows(text: str) -> np.ndarray:
+    words = text.split()
+    if len(words) < 4:
+        return np.zeros(0, np.int64)
+    a = np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) for w in words), np.uint64, len(words))
+    return _window(a, np.fromiter((ord(w[0]) for w in words), np.uint64, len(words)))
+
+
+def marks(h: np.ndarray) -> list[int]:
+    """The windows as a bit set of twelve bits a window: what is not in it, the text does not hold."""
+    if not len(h):
+        return []
+    size = 64 * -(-len(h) * 12 // 64)
+    bits = np.zeros(size, np.uint8)
+    bits[h % size], bits[(h >> 20) % size] = 1, 1
+    return np.packbits(bits, bitorder="little").view(np.int64).tolist()
+
+
+def may_hold(bits: str, window: str) -> Column:
+    """Whether the bit set of ``marks`` may hold the window."""
+    size = F.greatest(F.size(bits), F.lit(1)).cast("long") * 64
+
+    def bit(h: Column) -> Column:
+        at = F.pmod(h, size)
+        return F.call_function("getbit", F.get(bits, F.floor(at / 64).cast("int")), (at % 64).cast("int")) == 1
+
+    return F.coalesce(bit(F.col(window)) & bit(F.shiftright(window, 20)), F.lit(False))
+
+
 def _word_hash(word: str) -> int:
     return zlib.crc32(word.encode())
 
@@ -270,12 +307,13 @@ def ends_early(short: str, long: str, least: float = 0.8) -> bool:
 def _aligned(sketches: DataFrame, texts: DataFrame, first: int = 8) -> DataFrame:
     """Ids of texts that a longer near-copy shows to be cut: id.
 
-    ``sketches``: id, n (length), keys, ask; ``texts``: id, text; ids are those of texts, so exact
-    copies have one. Members of a bucket are numbered, whatever its size, by salted ranks; those that
+    ``sketches``: id, n (length), keys, ask, tail (the window at the end, the last word by its first
+    letter), bits (of all windows); ``texts``: id, text; ids are those of texts, so exact copies have
+    one. A pair goes on to its texts only where the longer one may hold the shorter one's last window. Members of a bucket are numbered, whatever its size, by salted ranks; those that
     ask meet the first ``first`` of them, then eight times as many of the next, until they are found
     cut or have met all: only hot buckets of texts that begin alike and are not cut take more rounds.
     """
-    asks = sketches.filter(F.size("ask") > 0).select("id", "n", F.explode("ask").alias("key")).distinct()
+    asks = sketches.filter(F.size("ask") > 0).select("id", "n", "tail", F.explode("ask").alias("key")).distinct()
     wanted = bit_filter(asks, "key")
 
     def members(batches):
@@ -291,7 +329,7 @@ def _aligned(sketches: DataFrame, texts: DataFrame, first: int = 8) -> DataFrame
     known = sketches.select("id", "n", "keys").filter(F.size("keys") > 0).mapInArrow(members, "key long, other long, more long").distinct()
     known = known.join(asks.select("key").distinct(), "key", "left_semi")
     longer = cut(rank_within(known, ["key"], [F.desc("more"), F.col("other")], F.xxhash64("other"), "place"))
-    t = texts.select("id", "text")
+    t, bits = texts.select("id", "text"), sketches.select(F.col("id").alias("other"), "bits")
 
     def judge(batches):
         for b in batches:
@@ -302,7 +340,8 @@ def _aligned(sketches: DataFrame, texts: DataFrame, first: int = 8) -> DataFrame
     waiting, found, lo, hi = asks, None, 0, first - 1
     while most is not None and lo <= most:
         some = longer.filter(F.col("place").between(lo, hi)).drop("place")
-        pairs = cut(waiting.join(some, "key").filter(F.col("n") < F.col("more")).select("id", "other").distinct())
+        pairs = waiting.join(some, "key").filter(F.col("n") < F.col("more")).select("id", "other", "tail").distinct()
+        pairs = cut(pairs.join(bits, "other").filter(may_hold("bits", "tail")).select("id", "other").distinct())
         need = pairs.select("id").union(pairs.select("other")).distinct()
         have = t.join(need, "id", "left_semi").dropDuplicates(["id"])
         both = pairs.join(have.withColumnRenamed("text", "short"), "id").join(have.select(F.col("id").alias("other"), F.col("text").alias("long")), "other")
@@ -340,16 +379,19 @@ def truncated_documents(
             ends = [closing(t) for t in texts]
             keys = bands([MARKER.sub("", t.rstrip()) for t in texts])
             asks = [k[1] if e[0] in ("open", "number") else [] for k, e in zip(keys, ends, strict=True)]
+            seen = [windows(t) for t in texts]
+            tails = [int(h[-1]) if a and len(h) else None for h, a in zip(seen, asks, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("doc"), b.column("id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([k[0] for k in keys], pa.list_(pa.int64())),
                     pa.array(asks, pa.list_(pa.int64())), *(pa.array([e[i] for e in ends], pa.string()) for i in range(3)),
                     pa.array([e[3] for e in ends], pa.int64()), pa.array([None if e[1] is None else _word_hash(e[1]) for e in ends], pa.int64()),
+                    pa.array(tails, pa.int64()), pa.array([marks(h) for h in seen], pa.list_(pa.int64())),
                 ],
-                names=["doc", "id", "n", "keys", "ask", "kind", "before", "word", "seg", "bh"],
+                names=["doc", "id", "n", "keys", "ask", "kind", "before", "word", "seg", "bh", "tail", "bits"],
             )
 
-    schema = f"doc {kind}, id long, n long, keys array<long>, ask array<long>, kind string, before string, word string, seg long, bh long"
+    schema = f"doc {kind}, id long, n long, keys array<long>, ask array<long>, kind string, before string, word string, seg long, bh long, tail long, bits array<long>"
     closers = cut(docs.mapInArrow(read, schema))
     early = _aligned(closers, docs).withColumn("early", F.lit(True))
     unsure = closers.filter(F.col("kind").isin("open", "number")).select("id", "kind", "before", "word", "seg", "bh").distinct()
