@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from larkline.core import table
@@ -268,8 +269,9 @@ def f46(spark, d):
 @R.add("F-47_dictionary_codes", "with l as (select distinct event_type from events), c as (select event_type, row_number() over (order by event_type) - 1 as code from l) select event_id, code from events join c using (event_type)")
 def f47(spark, d):
     e = table(spark, d, "events")
-    names = sorted(r[0] for r in e.select("event_type").distinct().collect())  # the classes of a label
-    return e.select("event_id", (F.array_position(F.array(*map(F.lit, names)), F.col("event_type")) - 1).alias("code"))
+    # A row a class by the time it is numbered; the planner checks its size before it broadcasts it.
+    codes = e.select("event_type").distinct().withColumn("code", F.row_number().over(Window.orderBy("event_type")) - 1)
+    return e.join(codes, "event_type").select("event_id", "code")
 
 
 @R.add("T-02_limit", "select o_orderkey from orders order by o_totalprice desc, o_orderkey limit 100")
@@ -351,8 +353,6 @@ def t13(spark, d):
 
 @R.add("T-14_mini_batches", f"with {LB} select pair_id, stage, (row_number() over (partition by stage order by pair_id) - 1) // 32 as batch from lb")
 def t14(spark, d):
-    from pyspark.sql import Window
-
     b = F.floor((F.row_number().over(Window.partitionBy("stage").orderBy("pair_id")) - 1) / 32)
     return lb(spark, d).select("pair_id", "stage", b.alias("batch"))
 
