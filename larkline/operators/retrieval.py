@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkline.core import cut
+
 #: Queries whose vectors travel in one broadcast: with 1,024 numbers each, at most 16 MB.
 BLOCK = 2048
 
@@ -14,19 +18,19 @@ BLOCK = 2048
 def top_k(base: DataFrame, queries: DataFrame, ident: str, vector: str, k: int, skip_self: bool = True) -> DataFrame:
     """query, neighbour, cosine, rank of the k nearest base rows; ties by the smaller id.
 
-    Queries come in blocks of bounded size; every task keeps k candidates of each query, so a query
-    sends k rows a task to the final ranking. Null or zero vectors match nothing.
+    Queries come in blocks of bounded size, one at a time in the driver; every task keeps k candidates
+    of each query, so a query sends k rows a task to the final ranking. Null or zero vectors match
+    nothing. Where there are several blocks, each one's result is written to the shared folder.
     """
     spark = base.sparkSession
-    blocks: list[list] = [[]]
-    for r in queries.select(F.col(ident), vector).filter(F.col(vector).isNotNull()).toLocalIterator():
-        if len(blocks[-1]) == BLOCK:
-            blocks.append([])
-        blocks[-1].append((r[0], r[1]))
-    kind, found = dict(base.dtypes)[ident], None
-    for rows in blocks:
-        if not rows:
-            continue
+    stream = queries.select(F.col(ident), vector).filter(F.col(vector).isNotNull()).toLocalIterator()
+    kind, found, shared = dict(base.dtypes)[ident], None, None
+    w = Window.partitionBy("query").orderBy(F.desc("cosine"), "neighbour")
+    while rows := [(r[0], r[1]) for r in islice(stream, BLOCK)]:
+        if found is not None:
+            # The block before is done with: written, and its vectors let go.
+            found = cut(found)
+            shared.unpersist()
         q = np.array([v for _, v in rows], dtype=float)
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
         shared = spark.sparkContext.broadcast(([i for i, _ in rows], q))
@@ -50,8 +54,8 @@ def top_k(base: DataFrame, queries: DataFrame, ident: str, vector: str, k: int,
             yield pa.RecordBatch.from_arrays([pa.array(c) if c else pa.array([], pa.int64() if n < 2 else pa.float64()) for n, c in enumerate(cols)], names=["query", "neighbour", "cosine"])
 
         part = base.filter(F.col(vector).isNotNull()).select(ident, vector).mapInArrow(search, f"query {kind}, neighbour {kind}, cosine double")
+        part = part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return base.limit(0).select(F.col(ident).alias("query"), F.col(ident).alias("neighbour"), F.lit(0.0).alias("cosine"), F.lit(0).alias("rank"))
-    w = Window.partitionBy("query").orderBy(F.desc("cosine"), "neighbour")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return found

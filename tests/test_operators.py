@@ -195,3 +195,21 @@ def test_hot_groups_are_ranked_in_order(spark):
     parts = {r.part: r["count"] for r in splits.fraction_split(spark.range(10), "id", 0.05).groupBy("part").count().collect()}
     assert parts == {"a": 1, "b": 9}
     assert splits.stratified_split(df.limit(0), "l", "id").count() == 0 and splits.balanced_batches(df.limit(0), "l", "id", 2).count() == 0
+
+
+def test_nearest_over_several_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from larkline.operators import retrieval
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 4))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(99, None)], "id long, v array<double>")
+    one = {(r.query, r["rank"]): r.neighbour for r in retrieval.top_k(df, df.filter("id < 20"), "id", "v", 3).collect()}
+    monkeypatch.setattr(retrieval, "BLOCK", 7)
+    assert {(r.query, r["rank"]): r.neighbour for r in retrieval.top_k(df, df.filter("id < 20"), "id", "v", 3).collect()} == one
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    c = u[:20] @ u.T
+    c[np.arange(20), np.arange(20)] = -9
+    assert one == {(q, k + 1): int(np.argsort(-c[q])[k]) for q in range(20) for k in range(3)}
+    assert retrieval.top_k(df, df.limit(0), "id", "v", 3).count() == 0
