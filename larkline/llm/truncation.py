@@ -52,9 +52,14 @@ def masked(word: str) -> str:
     return DIGITS.sub("9", word.lower())
 
 
-def _hashes(text: str) -> np.ndarray:
-    """Hashes of the five-word shingles in order; a shorter text is one shingle; none without words."""
-    t = np.fromiter((zlib.crc32(w.encode()) for w in text.lower().split()), np.uint64)
+def _words(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first letter of each word, in lower case."""
+    words = text.lower().split()
+    return np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) for w in words), np.uint64, len(words)), np.fromiter((ord(w[0]) for w in words), np.uint64, len(words))
+
+
+def _hashes(t: np.ndarray) -> np.ndarray:
+    """Hashes of the five-word shingles of words' hashes, in order; fewer words are one shingle; none without words."""
     if not len(t):
         return t
     n = max(1, len(t) - SHINGLE + 1)
@@ -67,7 +72,7 @@ def _hashes(text: str) -> np.ndarray:
 
 def shingles(text: str) -> np.ndarray:
     """Distinct hashes of the five-word shingles."""
-    return np.unique(_hashes(text))
+    return np.unique(_hashes(_words(text)[0]))
 
 
 def _lowest(h: np.ndarray, starts: np.ndarray, step: int = 1 << 16) -> np.ndarray:
@@ -83,14 +88,13 @@ def _lowest(h: np.ndarray, starts: np.ndarray, step: int = 1 << 16) -> np.ndarra
     return np.minimum.reduceat(np.concatenate(parts, 1), np.searchsorted(cuts, starts), axis=1).T
 
 
-def bands(texts: list[str]) -> list[tuple[list[int], list[int]]]:
-    """Of each text the keys of its MinHash bands, and those under which it looks for its original.
+def bands(hashes: list[np.ndarray]) -> list[tuple[list[int], list[int]]]:
+    """Of each text, given by its shingles' hashes in order, the keys of its MinHash bands, and those under which it looks for its original.
 
     Bands are taken of the first 4, 8, 16 and so on shingles and of all. A cut copy asks with its
     longest beginning, which its original has too, and with its whole.
     """
-    out: list[tuple[list[int], list[int]]] = [([], [])] * len(texts)
-    hashes = [_hashes(t) for t in texts]
+    out: list[tuple[list[int], list[int]]] = [([], [])] * len(hashes)
     has = [i for i, h in enumerate(hashes) if len(h) >= FIRST]
     if not has:
         return out
@@ -118,22 +122,16 @@ def bands(texts: list[str]) -> list[tuple[list[int], list[int]]]:
     return out
 
 
-def _window(a: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Hashes of three words in a row and the first letter of the fourth."""
+def windows(a: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Hashes of three words in a row and the first letter of the fourth, from hashes and first letters of the words."""
+    if len(a) < 4:
+        return np.zeros(0, np.int64)
     h = a[:-3] * np.uint64(0x9E3779B97F4A7C15) + a[1:-2]
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + a[2:-1]
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) + first[3:]
     return (h ^ (h >> np.uint64(32))).astype(np.int64)
 
 
-def windows(text: str) -> np.ndarray:
-    words = text.split()
-    if len(words) < 4:
-        return np.zeros(0, np.int64)
-    a = np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) for w in words), np.uint64, len(words))
-    return _window(a, np.fromiter((ord(w[0]) for w in words), np.uint64, len(words)))
-
-
 def marks(h: np.ndarray) -> list[int]:
     """The windows as a bit set of twelve bits a window: what is not in it, the text does not hold."""
     if not len(h):
@@ -164,6 +162,12 @@ def _grown(h: int, word: int) -> int:
     return ((h ^ word) * 0x100000001B3 + 0x9E3779B9) & 0x7FFFFFFFFFFFFFFF
 
 
+def unmarked(text: str) -> str:
+    """The text without a cut mark at its end."""
+    t = text.rstrip()
+    return MARKER.sub("", t) if t.endswith(("]", ")", "...", "…")) else t
+
+
 def closing(text: str) -> tuple[str, str | None, str | None, int | None]:
     """How a text ends: kind, the masked last two words of its unfinished sentence, the hash of all of it.
 
@@ -174,9 +178,9 @@ def closing(text: str) -> tuple[str, str | None, str | None, int | None]:
     t = text.rstrip()
     if not t:
         return "empty", None, None, None
-    m = MARKER.search(t)
-    if m and m.start() < len(t):
-        t = t[: m.start()].rstrip()
+    m = unmarked(t)
+    if m != t:
+        t = m.rstrip()
         return ("marked" if t and not CLOSED.search(t) else "closed"), None, None, None
     closed = bool(CLOSED.search(t))
     if closed and not NUMBER_DOT.search(t):
@@ -273,7 +277,7 @@ def ends_early(short: str, long: str, least: float = 0.8) -> bool:
 
     Held: at least ``least`` of the short text's shingles, without the one at its cut, are in the long one.
     """
-    t = MARKER.sub("", short.rstrip())
+    t = unmarked(short)
     at = [m.span() for m in re.finditer(r"\S+", t)]
     if len(at) <= SHINGLE:
         return False
@@ -304,7 +308,7 @@ def ends_early(short: str, long: str, least: float = 0.8) -> bool:
     return not (CLOSED.search(long[:stop]) or re.match(r"\s*\n", rest))
 
 
-def _aligned(sketches: DataFrame, texts: DataFrame, first: int = 8) -> DataFrame:
+def _aligned(sketches: DataFrame, texts: DataFrame, first: int = 64) -> DataFrame:
     """Ids of texts that a longer near-copy shows to be cut: id.
 
     ``sketches``: id, n (length), keys, ask, tail (the window at the end, the last word by its first
@@ -377,9 +381,10 @@ def truncated_documents(
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
             ends = [closing(t) for t in texts]
-            keys = bands([MARKER.sub("", t.rstrip()) for t in texts])
+            words = [_words(unmarked(t)) for t in texts]
+            keys = bands([_hashes(a) for a, _ in words])
             asks = [k[1] if e[0] in ("open", "number") else [] for k, e in zip(keys, ends, strict=True)]
-            seen = [windows(t) for t in texts]
+            seen = [windows(*w) for w in words]
             tails = [int(h[-1]) if a and len(h) else None for h, a in zip(seen, asks, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -431,8 +436,10 @@ def truncated_documents(
 
 def cut_rates(documents: DataFrame, id_col: str = "doc_id", source: str = "source", **options) -> DataFrame:
     """Documents, cut ones and their share per source; a missing source is its own group."""
-    found = truncated_documents(documents, id_col, **options)
-    rows = documents.select(id_col, source_name(source).alias("source")).join(found, id_col)
+    text = options.pop("text", "text")
+    # The source travels with the id, so rows whose ids repeat or are null keep their own.
+    both = documents.select(F.struct(F.col(id_col).alias("id"), source_name(source).alias("source")).alias("row"), F.col(text).alias("text"))
+    rows = truncated_documents(both, "row", **options).select("row.source", "is_cut")
     return rows.groupBy("source").agg(
         F.count("*").alias("documents"), F.sum(F.col("is_cut").cast("long")).alias("cut"), F.round(F.avg(F.col("is_cut").cast("double")), 6).alias("cut_share")
     )

@@ -54,25 +54,29 @@ def test_aligned_copies(spark):
     assert truncation.ends_early(full[:-9], full) and not truncation.ends_early(full, full)
 
 
+def bands(texts):
+    return truncation.bands([truncation._hashes(truncation._words(t)[0]) for t in texts])
+
+
 def test_bands_meet_near_copies():
     rnd, met, far = random.Random(1), 0, 0
     for _ in range(100):
         a = [f"w{rnd.randint(0, 5000)}" for _ in range(200)]
         b = list(a)
         b[rnd.randrange(200)] = "changed"
-        (_, ask), (own, _), (other, _) = truncation.bands([" ".join(b[:-5]), " ".join(a), " ".join(reversed(a))])
+        (_, ask), (own, _), (other, _) = bands([" ".join(b[:-5]), " ".join(a), " ".join(reversed(a))])
         met += bool(set(ask) & set(own))
         far += bool(set(ask) & set(other))
     assert met >= 98 and far == 0
-    assert truncation.bands(["too few words", ""]) == [([], []), ([], [])]
+    assert bands(["too few words", ""]) == [([], []), ([], [])]
 
 
 def test_bands_do_not_depend_on_the_batch():
     rnd = random.Random(2)
     texts = [" ".join(f"w{rnd.randint(0, 999)}" for _ in range(n)) for n in [8, 9, 11, 12, 13, 0, 3, 20, 68, 70_000, 132, 5]]
-    assert truncation.bands(texts) == [truncation.bands([t])[0] for t in texts]
+    assert bands(texts) == [bands([t])[0] for t in texts]
     long, cut = texts[9], " ".join(texts[9].split()[:40_000])
-    assert set(truncation.bands([cut])[0][1]) & set(truncation.bands([long])[0][0])
+    assert set(bands([cut])[0][1]) & set(bands([long])[0][0])
 
 
 @pytest.mark.parametrize("kept", [0.2, 0.5, 0.8])
@@ -111,3 +115,5 @@ def test_edges(spark):
     assert truncation.truncated_documents(df.limit(0)).count() == 0
     rates = truncation.cut_rates(spark.createDataFrame([(i, t, "S 1" if i % 2 else None) for i, t, _ in corpus()], "doc_id long, text string, source string")).collect()
     assert {r.source for r in rates} == {"s_1", None} and sum(r.documents for r in rates) == 400
+    twice = spark.createDataFrame([(1, "All is well.", "a"), (1, "All is w", "b"), (None, "All is well and", "b")], "doc_id long, text string, source string")
+    assert {r.source: (r.documents, r.cut) for r in truncation.cut_rates(twice).collect()} == {"a": (1, 0), "b": (2, 2)}
