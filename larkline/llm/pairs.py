@@ -12,6 +12,7 @@ and counts of closing labels and opening words that are summed before they trave
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -123,24 +124,29 @@ def shingle_containment(a: list[str], b: list[str], k: int = 5) -> float:
 
 
 class Templates:
-    """Templates by their tokens, so that only those that share enough with a sentence are aligned."""
+    """Templates that at least ``of_template`` of their tokens and ``of_sentence`` of a sentence's align with.
+
+    A template that may lack m tokens holds at least one of any m + 1 of its own, so it is looked up by
+    its m + 1 least common ones; no sentence that aligns is missed.
+    """
 
     def __init__(self, texts: list[str], of_template: float, of_sentence: float) -> None:
         self.all = [tokens(t) for t in texts]
         self.of_template, self.of_sentence = of_template, of_sentence
-        self.holds: dict[str, list[int]] = {}
+        common = Counter(w for t in self.all for w in t)
+        self.at: dict[str, list[int]] = {}
         for i, t in enumerate(self.all):
-            for w in t:
-                self.holds.setdefault(w, []).append(i)
+            lack = int((1 - of_template) * len(t) + 1e-9)
+            for w in sorted(t, key=lambda w: (w in SHARED, common[w], -len(w), w))[: lack + 1]:
+                self.at.setdefault(w, []).append(i)
+
+    def may_align(self, words: set[str]) -> bool:
+        return not self.at.keys().isdisjoint(words)
 
     def align(self, sentence: list[str]) -> bool:
-        shared: dict[int, int] = {}
-        for w in set(sentence):
-            for i in self.holds.get(w, ()):
-                shared[i] = shared.get(i, 0) + 1
-        for i, n in shared.items():
+        for i in {i for w in self.at.keys() & set(sentence) for i in self.at[w]}:
             t = self.all[i]
-            if n >= self.of_template * len(t) and n >= self.of_sentence * len(sentence):
+            if len(t) * self.of_template <= len(sentence) and len(sentence) * self.of_sentence <= len(t):
                 n = lcs(t, sentence)[0]
                 if n >= self.of_template * len(t) and n >= self.of_sentence * len(sentence):
                     return True
@@ -150,8 +156,10 @@ class Templates:
 _REFUSALS, _COURTESIES = Templates(REFUSALS, 0.8, 0.45), Templates(COURTESIES, 0.8, 0.7)
 
 
-def is_refusal(text: str) -> bool:
-    """All that the text says, but courtesies, is that the task is declined."""
+def is_refusal(text: str, words: list[str] | None = None) -> bool:
+    """All that the text says, but courtesies, is that the task is declined. ``words``: its tokens, if known."""
+    if not _REFUSALS.may_align(set(words if words is not None else tokens(text))):
+        return False
     refused, other, total = 0, 0, 0
     for s in SENTENCE.split(re.sub(r"[\"“„][^\"”“]*[\"”“]", " ", text)):
         t = tokens(s)
@@ -204,7 +212,7 @@ def _mostly_far(text: str) -> bool:
     return far > 4 and len(letters := LETTER.findall(text)) >= 8 and far > 0.5 * len(letters)
 
 
-def is_foreign(prompt: str, text: str) -> bool:
+def is_foreign(prompt: str, text: str, words: list[str] | None = None) -> bool:
     if _mostly_far(text):
         return not _mostly_far(prompt)
     own = _prompt(prompt)[0]
@@ -212,7 +220,7 @@ def is_foreign(prompt: str, text: str) -> bool:
         return False
     # Words of the prompt's language against those of the one that holds most of the others.
     ours, others = 0, {}
-    for t in tokens(text):
+    for t in words if words is not None else tokens(text):
         langs = SHARED.get(t, ())
         if own in langs:
             ours += 1
@@ -223,13 +231,20 @@ def is_foreign(prompt: str, text: str) -> bool:
     return most >= 2 and most >= 2 * ours
 
 
-def is_copy(prompt: str, text: str) -> bool:
-    """The text's tokens are the prompt's, or a passage of it, perhaps with a few left out or changed."""
+def is_copy(prompt: str, text: str, words: list[str] | None = None) -> bool:
+    """The text's tokens are the prompt's, or a passage of it, perhaps with a few left out or changed.
+
+    ``words``: the tokens of the text behind its mark, if known.
+    """
+    q = _prompt(prompt)[1]
+    have = set(q)
+    # An opener adds a few words; far from a copy with them is none without them.
+    if words is not None and len(words) > 12 and sum(t in have for t in words) < 0.8 * (len(words) - 4):
+        return False
     body = OPENER.sub("", PREFIX.sub("", text))
-    a, q = tokens(body), _prompt(prompt)[1]
+    a = tokens(body)
     if len(a) < 4 or not q:
         return False
-    have = set(q)
     if sum(t in have for t in a) < 0.8 * len(a):
         return False
     near = shingle_containment(a, q) >= 0.8 or lcs(a, q)[0] >= 0.85 * len(a)
@@ -286,11 +301,12 @@ def defect_of(prompt: str | None, answer: str | None) -> str | None:
         return "empty"
     if body.strip().strip(".!?\"' ").lower() in options:
         return None
-    if is_copy(prompt, text):
+    words = tokens(body)
+    if is_copy(prompt, text, words):
         return "copied_question"
-    if is_refusal(body):
+    if is_refusal(body, words):
         return "refusal"
-    if is_foreign(prompt, body):
+    if is_foreign(prompt, body, words):
         return "other_language"
     if re.search(r"(?:\.\.\.|…)[\"'”’)\]]*$", text):
         return "truncated"
@@ -364,7 +380,9 @@ def _broken_labels(found: DataFrame, unsure: DataFrame, rows: DataFrame) -> Data
     asked = unsure.select("before", "word").distinct()
     labels = found.filter("defect = 'label?'").select("id", "words").distinct().groupBy("words").agg(F.count("*").alias("c"))
     ends = _begun(labels.withColumn("ends", F.lit(True)), asked, "l")
-    opening = F.slice(F.expr(r"filter(split(lower(substring(answer, 1, 400)), '[^\\p{L}\\p{N}_\'’-]+'), x -> x <> '')"), 1, LABEL_WORDS + 1)
+    # Split no further than the words that are needed; the last part is all the rest.
+    parts = F.slice(F.split(F.lower("answer"), r"[^\p{L}\p{N}_'’-]+", LABEL_WORDS + 3), 1, LABEL_WORDS + 2)
+    opening = F.slice(F.filter(parts, lambda x: x != ""), 1, LABEL_WORDS + 1)
     starts = rows.filter("answer is not null").select(opening.alias("words")).filter(F.size("words") > LABEL_WORDS).groupBy("words").agg(F.count("*").alias("c"))
     opens = _begun(starts.withColumn("ends", F.lit(False)), asked, "p")
     got = unsure.join(ends, ["before", "word"], "left").join(opens, ["before", "word"], "left").na.fill(0)
