@@ -148,6 +148,18 @@ def j11_fuzzy(spark, d):
     return clean.latest(both, ["doc_id"], [F.desc("score"), F.col("st")]).select("doc_id", "st", "score")
 
 
+@R.add("J-11_fuzzy_sources", "with t as (select doc_id, list_distinct(list_filter(string_split_regex(lower(source), '[^a-z]+'), lambda x: length(x) > 2)) as toks from documents where source is not null), c as (select t.doc_id, s.st, len(list_filter(toks, lambda x: contains(s.st, x))) as score, least(2, len(toks)) as need from t join (select source as st from mix_targets) s on true), b as (select *, row_number() over (partition by doc_id order by score desc, st) as k from c where score >= 1 and score >= need) select doc_id, st, score from b where k = 1")
+def j11_sources(spark, d):
+    """Raw spellings of a source against the catalogue of nine."""
+    docs = table(spark, d, "documents").filter("source is not null")
+    toks = F.array_distinct(F.filter(F.split(F.lower("source"), "[^a-z]+"), lambda x: F.length(x) > 2))
+    names = [r[0] for r in table(spark, d, "mix_targets").select("source").collect()]
+    both = docs.select("doc_id", toks.alias("toks"), F.explode(F.array(*map(F.lit, names))).alias("st"))
+    both = both.withColumn("score", joins.token_coverage(F.col("toks"), F.col("st")))
+    both = both.filter((F.col("score") > 0) & (F.col("score") >= F.least(F.lit(2), F.size("toks"))))
+    return clean.latest(both, ["doc_id"], [F.desc("score"), F.col("st")]).select("doc_id", "st", "score")
+
+
 @R.add("J-12_candidate_keys", f"with {FR}, {SE}, f as (select distinct patient_id, itype, subject_role from fr), r as (select patient_id as k, subject_role, 1 as size from f union select patient_id || '_' || itype, subject_role, 2 from f), l as (select session_id, unnest([patient, patient || '_' || itype]) as k from se where patient is not null and itype is not null), m as (select session_id, k, subject_role, size, row_number() over (partition by session_id order by size desc, k, subject_role) as n from l join r using (k)) select session_id, k, subject_role, size from m where n = 1")
 def j12_keys(spark, d):
     f = fr(spark, d).select("patient_id", "itype", "subject_role").distinct()
