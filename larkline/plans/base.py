@@ -43,9 +43,10 @@ RECORDING = ["patient_id", "subject_role", "itype"]
 
 
 def fr(spark, sf_dir) -> DataFrame:
+    # Repeated rows have the same values: told by frame and time, so channels that a query leaves out are not read.
     rows = table(spark, sf_dir, "frames").select(
         "patient_id", "subject_role", interview_type("interview_type").alias("itype"), "frame", "ts_s", "confidence", "success", *AUS
-    ).distinct()
+    ).dropDuplicates([*RECORDING, "frame", "ts_s", "confidence", "success"])
     w = Window.partitionBy(*RECORDING)
     ms = F.max("ts_s").over(w) - F.min("ts_s").over(w) > 1000
     return rows.withColumn("ts", F.when(ms, F.col("ts_s") / 1000).otherwise(F.col("ts_s"))).drop("ts_s")
