@@ -136,6 +136,19 @@ class Factors:
         return out
 
 
+def _trust(z: np.ndarray, m: np.ndarray, v: np.ndarray, u: np.ndarray, reg: float, d: int) -> np.ndarray:
+    """How far each row may follow its factors, 0 to 1 a channel: the best scale of its leave-one-out predictions.
+
+    Where the factors say nothing of a cell that its other cells do not, the row stays at its mean.
+    """
+    a, _ = _equations(z, m, v)
+    inverse = np.linalg.inv(a + reg * np.eye(v.shape[1]))
+    lever = np.minimum(np.einsum("cr,krs,cs->kc", v, inverse, v, optimize=True), 0.99)
+    alone = (z - (z - u @ v.T) / (1 - lever)) * m
+    up, down = ((x.reshape(len(z), d, BLOCK)).sum(2) for x in (z * alone, alone * alone))
+    return np.clip(up / np.maximum(down, 1e-12), 0, 1)
+
+
 def _with_rows(packed: DataFrame, f: Factors, reg: float, low: float, high: float, several: bool) -> DataFrame:
     """``packed`` with u: row factors of the recordings of several blocks, null for the others."""
     none = F.lit(None).cast("array<double>").alias("u")
@@ -228,7 +241,7 @@ def regular_grid(
 
     Result: patient_id, subject_role, interview_type, cell_s, the channels, status. ``observed``
     cells hold the exact mean of their readings; ``filled`` ones the low-rank estimate within
-    low..high; ``unsupported`` ones null: fewer than 2 x ``rank`` observed cells in the recording
+    low..high, drawn to the recording's mean as far as its own cells do not bear the factors out; ``unsupported`` ones null: fewer than 2 x ``rank`` observed cells in the recording
     or than ``min_rows`` recordings with that second. ``only_missing`` leaves observed cells out.
 
     Defined cases: a reading is usable if time and all channels are numbers (null, NaN, infinite
@@ -252,6 +265,10 @@ def regular_grid(
                 batch = whole.slice(s, CHUNK)
                 cell, vals, ends, start, z, m, mean, n = _dense(batch, d, low, high)
                 u, last, blocks = f.rows(batch, z, m, reg), batch.column("last").to_numpy(), batch.column("block").to_numpy()
+                trust = np.zeros((batch.num_rows, d))
+                for b in np.unique(blocks):
+                    own = np.flatnonzero(blocks == b)
+                    trust[own] = _trust(z[own], m[own], f.of(b), u[own], reg, d)
                 rows, at, status, value = [], [], [], []
                 for k in range(batch.num_rows):
                     own = cell[ends[k] : ends[k + 1]] - start[k]
@@ -265,7 +282,7 @@ def regular_grid(
                         v, count = f.of(blocks[k]), f.seen(blocks[k])
                         gap = gap[np.all([count[i * BLOCK + gap] >= min_rows for i in range(d)], axis=0)]
                         for i in range(d):
-                            y[i, gap] = np.clip(mean[k, i] + v[i * BLOCK + gap] @ u[k], low, high)
+                            y[i, gap] = np.clip(mean[k, i] + trust[k, i] * (v[i * BLOCK + gap] @ u[k]), low, high)
                         kind[gap] = 2
                     keep = np.flatnonzero(kind != 1) if only_missing else span
                     rows.append(np.full(len(keep), k))
