@@ -317,7 +317,7 @@ def _aligned(sketches: DataFrame, texts: DataFrame, first: int = 64) -> DataFram
     ask meet the first ``first`` of them, then eight times as many of the next, until they are found
     cut or have met all: only hot buckets of texts that begin alike and are not cut take more rounds.
     """
-    asks = sketches.filter(F.size("ask") > 0).select("id", "n", "tail", F.explode("ask").alias("key")).distinct()
+    asks = cut(sketches.filter(F.size("ask") > 0).select("id", "n", "tail", F.explode("ask").alias("key")).distinct())
     wanted = bit_filter(asks, "key")
 
     def members(batches):
