@@ -5,7 +5,7 @@ pattern, hesitation tokens by a boosted classifier over a token's letters and ho
 often a pause follows it in its language. Whether two neighbouring segments belong to
 different speakers is a second boosted decision over labels, the gap and the words
 around the boundary, trained on neighbours whose speakers are known, with a part of
-the labels hidden. It decides every boundary.
+the labels hidden. It decides every boundary. Both are fitted on all texts and all such neighbours.
 """
 
 from __future__ import annotations
@@ -36,9 +36,8 @@ TAG_BEFORE = re.compile(rf"[\s>]*({CLIENT}|{THERAPIST})\.?\s*(?::|[-–—](?=\s
 MARKS = re.compile("|".join(NO_SPEECH))
 MARKED = re.compile(r"[\[({<*#:]")
 WHO = re.compile(rf"(?:({CLIENT})|({THERAPIST}))\Z")
-TOKEN = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
+TOKEN = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*(?:\s?[,.…;!?–—-])?")  # and the pause behind it
 PART = re.compile(r"['’-]")
-PAUSE = re.compile(r"\s?(?:[,.…;!?–—-]|\Z)")
 
 # Sounds of hesitation from which the classifier learns, and words that look like them.
 SOUNDS = {"en": "uh um er erm uhm hm hmm mm mhm huh ah eh".split(), "de": "äh ähm öh öhm hm hmm mh mmh mhm eh ehm hä".split()}
@@ -77,7 +76,11 @@ def _shape(token: str) -> list[float]:
 
 
 class Fillers:
-    """Token-level classifier of hesitation sounds: ``words`` holds what a language's tokens are like."""
+    """Token-level classifier of hesitation sounds.
+
+    ``pauses`` holds by language and token how often it stands and how often a pause follows; a
+    token may be missing where the model says no of it either way.
+    """
 
     def __init__(self, model: dict, pauses: dict[tuple[str, str], tuple[int, int]]) -> None:
         self.model, self.pauses = model, pauses
@@ -113,91 +116,183 @@ LEXICON = {lang: set(LOOKALIKE[lang]) | set(WORDS[lang]) for lang in SOUNDS}
 ANY = set().union(*LEXICON.values())
 SQUEEZED = {lang: {_squeezed(x) for x in own} for lang, own in SOUNDS.items()}
 ANY_SOUND = set().union(*SQUEEZED.values())
+# Examples: every sound also with one letter twice or three times, and the letters that no sound has.
+STRETCHED = {lang: {x[:i] + x[i] * k + x[i + 1 :] for x in own for i in range(len(x)) for k in (1, 2, 3)} for lang, own in SOUNDS.items()}
+ANY_STRETCHED = set().union(*STRETCHED.values())
+ODD = set("bcdfgijklnopqstvwxyzß")
+SHAPES = ["t_len", "t_run", "t_letters", "t_other", "t_vowels", "t_hm", "t_ends", "t_pause", "t_sound", "t_word"]
 
 
 def _code(lang: str | None) -> str:
     return (lang or "").strip().lower()[:2]
 
 
-def train_fillers(texts: DataFrame, lang: str, text: str, max_texts: int = 20_000, max_chars: int = 2_000) -> Fillers:
-    """The classifier, from at most ``max_texts`` texts taken by hash (``max_chars`` of each) and the word lists.
+def heard(rows: DataFrame) -> DataFrame:
+    """Of rows (session, pos, speaker, at, to, text, lang) the tokens and who is named.
+
+    Columns: session, pos, at, to, known (the speaker that label or tag names), lang (two letters),
+    ask, said (tokens in lower case by blanks, a comma at each that a pause follows).
+    """
+    kind = dict(rows.dtypes)["session"]
+
+    def hear(batches):
+        for b in batches:
+            out: list[list] = [[] for _ in range(4)]
+            for speaker, text, lang in zip(b.column("speaker").to_pylist(), b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
+                stripped = MARKS.sub(" ", text) if MARKED.search(text) else text
+                at = 0
+                while (m := TAG_BEFORE.match(stripped, at)) and at < 200:
+                    at = m.end()
+                found = TOKEN.findall(stripped[at:].lower() + ".")  # the end is a pause
+                said = " ".join([t if t[-1].isalnum() else t[:-1].rstrip() + "," for t in found])
+                for x, y in zip(out, (speaker_name(speaker) or tagged_speaker(text, stripped), _code(lang), float(stripped.rstrip().endswith("?")), said), strict=True):
+                    x.append(y)
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(c) for c in ("session", "pos", "at", "to")), pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.string())],
+                names=["session", "pos", "at", "to", "known", "lang", "ask", "said"],
+            )
+
+    return rows.mapInArrow(hear, f"session {kind}, pos long, at double, to double, known string, lang string, ask double, said string")
+
+
+def vocabulary(said: DataFrame, most: int = 200_000) -> DataFrame:
+    """Of what was heard, by lang and token of letters: n, how often it stands alone, and p, how often a pause follows.
+
+    Listed sounds and words and the parts of hyphenated tokens are there too, at zero if they never
+    stand alone. A task hands on its counts when it holds ``most``.
+    """
+
+    def rows_of(seen):
+        rows = Counter(), Counter()
+        for lang, own in seen.items():
+            for t, k in own.items():
+                paused = t.endswith(",")
+                t = t.removesuffix(",")
+                if t.isalpha():
+                    rows[0][lang, t] += k
+                    rows[1][lang, t] += k * paused
+                elif "-" in t:
+                    for x in t.split("-"):
+                        if x.isalpha():
+                            rows[0][lang, x] += 0
+        keys = list(rows[0])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([rows[0][k] for k in keys], pa.int64()), pa.array([rows[1][k] for k in keys], pa.int64())],
+            names=["lang", "token", "n", "p"],
+        )
+
+    def count(batches):
+        seen: dict[str, Counter] = {}
+        for b in batches:
+            by: dict[str, list[str]] = {}
+            for lang, text in zip(b.column("lang").to_pylist(), b.column("said").to_pylist(), strict=True):
+                by.setdefault(lang, []).append(text)
+            for lang, texts in by.items():
+                seen.setdefault(lang, Counter()).update(" ".join(texts).split())
+            if sum(map(len, seen.values())) > most:
+                yield rows_of(seen)
+                seen.clear()
+        yield rows_of(seen)
+
+    kinds = "lang string, token string, n long, p long"
+    listed = [(lang, t, 0, 0) for lang in SOUNDS for t in sorted(STRETCHED[lang] | LEXICON[lang])]
+    counts = said.select("lang", "said").mapInArrow(count, kinds).union(said.sparkSession.createDataFrame(listed, kinds))
+    return counts.groupBy("lang", "token").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+
+
+def _examples(lang: str, token: str, n: int, p: int) -> list[tuple[list, float]]:
+    """Features and class of a token from which the classifier learns, also as if no list held it; none where the model is to decide."""
+    words = LEXICON[lang]
+    sound = token in STRETCHED[lang] and token not in words
+    if not (sound or token in words or (n and ODD & set(token))):
+        return []
+    x = Fillers({}, {(lang, token): (n, p)}).features(lang, token)
+    if token not in ANY_STRETCHED:
+        return [(x, 0.0), ([*x[:-1], False], 0.0)]
+    return [(x, 1.0), ([*x[:-2], False, False], 1.0)] if sound else [(x, 0.0)]
+
+
+def fit_fillers(said: DataFrame) -> Fillers:
+    """The classifier from all of what was heard. The driver gets counts of tokens only where they can make a sound of one."""
+    vocab = cut(vocabulary(said))
+
+    def examples(batches):
+        for b in batches:
+            rows = [e for r in zip(*(b.column(c).to_pylist() for c in ("lang", "token", "n", "p")), strict=True) for e in _examples(*r)]
+            yield pa.RecordBatch.from_arrays([*(pa.array([float(x[k]) for x, _ in rows], pa.float64()) for k in range(len(SHAPES))), pa.array([y for _, y in rows], pa.float64())], names=[*SHAPES, "y"])
+
+    kinds = ", ".join(f"{c} double" for c in [*SHAPES, "y"])
+    model = boost.fit_table(vocab.filter(F.col("lang").isin(*SOUNDS)).mapInArrow(examples, kinds), SHAPES, "y")
+
+    def doubtful(batches):
+        for b in batches:
+            rows = [r for r in zip(*(b.column(c).to_pylist() for c in ("lang", "token", "n", "p")), strict=True) if len(r[1]) < 30]
+            keep = np.zeros(len(rows), bool)
+            for book in (Fillers(model, {(lang, t): (n, p) for lang, t, n, p in rows}), Fillers(model, {})):
+                if rows:
+                    keep |= boost.score(model, np.array([book.features(lang, t) for lang, t, _, _ in rows], float)) > 0
+            kept = [r for r, k in zip(rows, keep, strict=True) if k]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in kept], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["lang", "token", "n", "p"])
+
+    got = vocab.mapInArrow(doubtful, "lang string, token string, n long, p long").toArrow().to_pylist()
+    return Fillers(model, {(r["lang"], r["token"]): (r["n"], r["p"]) for r in got})
+
+
+def train_fillers(texts: DataFrame, lang: str, text: str) -> Fillers:
+    """The classifier, from all of all texts and the word lists.
 
     A sound is a positive example unless its language also uses it as a word; words of the lists and
     all tokens with letters that no sound has are negative ones; other tokens are left to the model.
     """
-    mixed = texts.select(F.xxhash64(text, lang).alias("h"), F.substring(text, 1, max_chars).alias("t"), F.col(lang).alias("l"))
-    got = mixed.orderBy("h", "l").limit(max_texts).toArrow()
-    seen: dict[tuple[str, str], list[int]] = {}
-    for t, code in zip(got.column("t").to_pylist(), got.column("l").to_pylist(), strict=True):
-        code = _code(code)
-        t = MARKS.sub(" ", t or "")
-        for m in TOKEN.finditer(t):
-            c = seen.setdefault((code, m.group().lower()), [0, 0])
-            c[0] += 1
-            c[1] += bool(PAUSE.match(t, m.end()))
-    pauses = {k: (n, p) for k, (n, p) in seen.items() if "-" not in k[1]}
-    sounds = {lang: {x[:i] + x[i] * k + x[i + 1 :] for x in own for i in range(len(x)) for k in (1, 2, 3)} for lang, own in SOUNDS.items()}
-    odd = set("bcdfgijklnopqstvwxyzß")
-    any_sound = set().union(*sounds.values())
-    book = Fillers({}, pauses)
-    x, y = [], []
-    for lang_code, own in SOUNDS.items():
-        words = LEXICON[lang_code]
-        own_sounds = {s for s in sounds[lang_code] if s not in words} | {s for s in own if s not in words}
-        tokens = {t for code, t in pauses if code == lang_code}
-        for t in sorted(own_sounds | words | {t for t in tokens if odd & set(t)}):
-            if t.isalpha():
-                x.append(book.features(lang_code, t))
-                y.append(float(t in own_sounds))
-                if t not in any_sound:  # as if no list held it
-                    x.append([*x[-1][:-1], False])
-                    y.append(0.0)
-                elif t in own_sounds:
-                    x.append([*x[-1][:-2], False, False])
-                    y.append(1.0)
-    return Fillers(boost.fit(np.array(x, float), np.array(y)), pauses)
+    none = {"session": F.lit(0), "pos": F.lit(0).cast("long"), "speaker": F.lit(None).cast("string"), "at": F.lit(0.0), "to": F.lit(0.0)}
+    rows = texts.select(*(c.alias(k) for k, c in none.items()), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    return fit_fillers(heard(rows.filter(F.col("text").isNotNull())))
 
 
-def cleaned(rows: DataFrame, fillers: Fillers) -> DataFrame:
-    """Of rows (session, pos, speaker, at, to, text, lang) what was said and by whom.
+def worded(said: DataFrame, fillers: Fillers) -> DataFrame:
+    """What was heard without hesitation.
 
-    Columns: session, pos, at, to, known (the speaker that label or tag names), words (lower case,
-    every run of other characters than letters and digits one blank), and for the boundary model
-    ask, len, you, me.
+    Columns: session, pos, at, to, known, words (lower case, every run of other characters than
+    letters and digits one blank), and for the boundary model ask, len, you, me.
     """
-    kind = dict(rows.dtypes)["session"]
+    kind = dict(said.dtypes)["session"]
 
     def clean(batches):
         for b in batches:
             read, met = [], {}
-            for speaker, text, lang in zip(b.column("speaker").to_pylist(), b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
-                code = _code(lang)
-                stripped = MARKS.sub(" ", text) if MARKED.search(text) else text
-                at = 0
-                while (m := TAG_BEFORE.match(stripped, at)) and at < 200:
-                    at = m.end()
-                tokens = TOKEN.findall(stripped[at:].lower())
-                met.setdefault(code, set()).update(tokens)
-                read.append((speaker_name(speaker) or tagged_speaker(text, stripped), code, tokens, stripped.rstrip().endswith("?")))
-            sounds = {code: fillers.learn(code, tokens) for code, tokens in met.items()}
-            out: list[list] = [[] for _ in range(6)]
-            for who, code, tokens, asks in read:
-                own, words = sounds[code], []
-                for t in tokens:
-                    if not own[t]:
-                        if t.isalnum():
-                            words.append(t)
-                        else:
-                            words += PART.split(t)
-                has = set(words)
-                for x, y in zip(out, (who, " ".join(words), asks, len(words), bool(has & YOU), bool(has & ME)), strict=True):
-                    x.append(y)
+            for lang, text in zip(b.column("lang").to_pylist(), b.column("said").to_pylist(), strict=True):
+                text = text.replace(",", "")
+                tokens = set(text.split())
+                met.setdefault(lang, set()).update(tokens)
+                read.append((lang, text, tokens))
+            sounds = {}
+            for lang, tokens in met.items():
+                own = fillers.learn(lang, tokens)
+                sounds[lang] = {t for t in tokens if own[t]}
+            out: list[list] = [[] for _ in range(4)]
+            for lang, text, has in read:
+                own = sounds[lang]
+                if not own.isdisjoint(has):
+                    text = " ".join([t for t in text.split() if t not in own])
+                    has = has - own
+                if PART.search(text):
+                    text = PART.sub(" ", text)
+                    has = set(text.split())
+                out[0].append(text)
+                out[1].append(text.count(" ") + bool(text))
+                out[2].append(not YOU.isdisjoint(has))
+                out[3].append(not ME.isdisjoint(has))
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in ("session", "pos", "at", "to")), pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), *(pa.array(x, pa.float64()) for x in out[2:])],
+                [*(b.column(c) for c in ("session", "pos", "at", "to", "known")), pa.array(out[0], pa.string()), b.column("ask"), *(pa.array(x, pa.float64()) for x in out[1:])],
                 names=["session", "pos", "at", "to", "known", "words", "ask", "len", "you", "me"],
             )
 
-    return rows.mapInArrow(clean, f"session {kind}, pos long, at double, to double, known string, words string, ask double, len double, you double, me double")
+    return said.mapInArrow(clean, f"session {kind}, pos long, at double, to double, known string, words string, ask double, len double, you double, me double")
+
+
+def cleaned(rows: DataFrame, fillers: Fillers) -> DataFrame:
+    """Of rows (session, pos, speaker, at, to, text, lang) what was said and by whom, as ``worded`` has it."""
+    return worded(heard(rows), fillers)
 
 
 def _features(rows: DataFrame) -> DataFrame:
@@ -208,25 +303,22 @@ def _features(rows: DataFrame) -> DataFrame:
     return rows.withColumns(
         {
             "f_label": F.when(F.col("known") == F.col("k0"), 0.0).when(F.col("known") != F.col("k0"), 1.0).otherwise(0.5),
-            "f_gap": F.least(F.greatest(F.coalesce(F.col("at") - F.col("until"), F.lit(0.0)), F.lit(-60.0)), F.lit(60.0)),
+            # In thousandths, so the values that thresholds are taken from are few.
+            "f_gap": F.rint(F.least(F.greatest(F.coalesce(F.col("at") - F.col("until"), F.lit(0.0)), F.lit(-60.0)), F.lit(60.0)) * 1000) / 1000,
         }
     ).withColumnsRenamed(shapes)
 
 
-def train_boundaries(features: DataFrame, max_pairs: int = 20_000, hidden: float = 0.5) -> dict | None:
-    """Boosted boundary model from at most ``max_pairs`` neighbours with known speakers, taken by hash.
+def train_boundaries(features: DataFrame, hidden: float = 0.5) -> dict | None:
+    """Boosted boundary model from all neighbours with known speakers.
 
-    In the share ``hidden`` of them the labels are masked, so the model learns what the gap and
-    the words say. None where there are too few.
+    In the share ``hidden`` of them, told by hash, the labels are masked, so the model learns what the
+    gap and the words say. None where there are too few.
     """
     known = features.filter(F.col("known").isNotNull() & F.col("k0").isNotNull())
-    mix = F.xxhash64("session", "pos")
-    rows = known.select(mix.alias("h"), (F.col("known") != F.col("k0")).cast("double").alias("y"), *FEATURES)
-    got = rows.orderBy("h", *FEATURES).limit(max_pairs).toArrow()
-    x = np.stack([got.column(f).to_numpy().astype(float) for f in FEATURES], 1) if got.num_rows else np.zeros((0, len(FEATURES)))
-    y = got.column("y").to_numpy().astype(float)
-    x[(got.column("h").to_numpy().astype(np.int64) % 1000) < hidden * 1000, 0] = 0.5
-    return boost.fit(x, y)
+    masked = F.pmod(F.xxhash64("session", "pos"), F.lit(1000)) < hidden * 1000
+    label = F.when(masked, 0.5).otherwise(F.col("f_label")).alias("f_label")
+    return boost.fit_table(known.select(label, *FEATURES[1:], (F.col("known") != F.col("k0")).alias("y")), FEATURES, "y")
 
 
 def speaker_turns(
@@ -238,14 +330,12 @@ def speaker_turns(
     start: str = "start_s",
     end: str = "end_s",
     text: str = "text",
-    max_pairs: int = 20_000,
-    max_texts: int = 20_000,
     model: dict | None = None,
 ) -> DataFrame:
     """Clean speaker turns: ``session``, turn_no, speaker_id, start, end, segments, words.
 
-    ``langs`` (``session``, lang) gives each session's language. ``max_pairs`` and ``max_texts`` bound the
-    samples on which the two classifiers are fitted; ``model`` is a boundary model fitted before.
+    ``langs`` (``session``, lang) gives each session's language; ``model`` is a boundary model fitted before.
+    Else both classifiers are fitted on all of the segments.
     Segments go by their earlier time, then position; start and end keep the unit of the input.
 
     Defined cases: swapped times are put in order; of a null time the other counts, segments with
@@ -271,10 +361,10 @@ def speaker_turns(
     else:
         rows = rows.withColumn("lang", F.lit(None).cast("string"))
     rows = rows.withColumns({"at": F.coalesce("at", F.lit(1e18)), "to": F.coalesce("to", F.lit(1e18))})
-    fillers = train_fillers(rows, "lang", "text", max_texts)
-    # Cleaned once; training and scoring both read it.
-    features = _features(cut(cleaned(rows, fillers).filter(F.col("words") != "")))
-    model = model or train_boundaries(features, max_pairs)
+    # Read once for both steps of the fillers; words made once, training and scoring both read them.
+    said = cut(heard(rows).filter(F.col("said") != ""))
+    features = _features(cut(worded(said, fit_fillers(said)).filter(F.col("words") != "")))
+    model = model or train_boundaries(features)
     # Too few known neighbours to learn from: labels alone, and a speaker that nothing names does not change.
     odds = boost.score_column(model, FEATURES) if model else F.col("f_label") - 0.6
     by = Window.partitionBy("session").orderBy("at", "pos", "tie")

@@ -116,3 +116,31 @@ def test_filler_classifier_on_unseen_sounds(spark):
     found = [fillers(lang, t) for lang in new for t in new[lang]]
     wrong = [t for lang in words for t in words[lang] if fillers(lang, t)]
     assert sum(found) >= 11 and wrong == []
+
+
+def test_fillers_count_every_text_to_its_end(spark):
+    texts = spark.range(25_000).select(F.lit("en").alias("lang"), F.lit("well, um, yes").alias("text"))
+    long = spark.createDataFrame([("en", "word " * 1000 + "uhm, there um"), ("de", None)], "lang string, text string")
+    pauses = transcripts.train_fillers(texts.union(long), "lang", "text").pauses
+    assert pauses["en", "um"] == (25_001, 25_001) and pauses["en", "uhm"] == (1, 1)
+
+
+def test_boundaries_are_learned_from_every_pair(spark):
+    """25,001 pairs of which 6,001 change: no 20,000 of them have that share."""
+    i = F.col("id")
+    rows = spark.range(25_001).select(
+        i.alias("session"), F.lit(1).alias("pos"), F.when(i <= 6_000, "client").otherwise("therapist").alias("known"), F.lit("therapist").alias("k0"),
+        *((F.hash(i, F.lit(f)) % 7).cast("double").alias(f) for f in transcripts.FEATURES),
+    )
+    model = transcripts.train_boundaries(rows)
+    assert np.isclose(model["prior"], np.log(6_001 / 19_000), rtol=1e-12)
+
+
+def test_a_table_is_fitted_as_its_rows(spark):
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(3000, 3)), 2)
+    y = (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float)
+    df = spark.createDataFrame([(*map(float, r), float(c)) for r, c in zip(x, y, strict=True)], "a double, b double, c double, y double")
+    whole = boost.fit_table(df.repartition(3), ["a", "b", "c"], "y")
+    assert np.allclose(boost.score(whole, x), boost.score(boost.fit(x, y), x))
+    assert boost.fit_table(df.filter("a > 99"), ["a", "b", "c"], "y") is None and boost.fit_table(df.limit(20), ["a", "b", "c"], "y") is None
